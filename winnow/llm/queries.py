@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.llm.packing import op4_packing
+from winnow.llm.quality import op10_quality
 from winnow.llm.setjoin import op6_near_dedup
 from winnow.llm.token_files import op2_token_files
 from winnow.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_packing, op6_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_packing, op6_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
