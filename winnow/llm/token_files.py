@@ -117,7 +117,7 @@ class ShardReader:
         return b"".join(out)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, frame_bytes: int = 1 << 20, level: int = 3) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, frame_bytes: int = 1 << 20, level: int = 1) -> DataFrame:
     """Write docs (doc_id, text) under path in ascending doc_id order, one file for each range of ids; returns the files' manifest.
 
     A null text counts as empty, so it has the end id alone. Null ids come first. Rows that share an id stand together,

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from codecs import charmap_decode
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +18,9 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 END_ID = 2
-PART = "\x01"
+PART = b" \x01 "
+#: a-z and U+00DF-U+00FF without the division sign: lower-case letters that NFC leaves alone
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -33,9 +37,9 @@ def send_tokenizer(spark: SparkSession, path: str | None = None) -> Broadcast:
 class Encoder:
     """Whole texts (UTF-8 bytes) to ids (little-endian unsigned 32-bit, as bytes), as Tokenizer.encode(text, add_special_tokens=False)."""
 
-    def __init__(self, definition: str, most_bytes: int = 150_000_000):
+    def __init__(self, definition: str, most_words: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         rules = json.loads(definition)
         kinds = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
@@ -43,42 +47,75 @@ class Encoder:
         if kinds != ["NFC", "Replace", "Lowercase"] or split.get("behavior") != "Removed" or rules.get("post_processor"):
             raise ValueError("only a tokenizer that lower-cases and drops white space can be run word by word")
         self.tokenizer = Tokenizer.from_str(definition)
-        (self.part,) = self.tokenizer.encode(PART, add_special_tokens=False).ids
+        (self.part,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.ends = {x: self._alone(x) for x in (b".", b",")}
+        # plain words (lower-case Latin letters) pass the rules unchanged but for the names of their bytes, so they need the model alone
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        name = {}
+        for c in map(chr, [*range(1, 0x80), *range(0xC0, 0x100)]):
+            name.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
+        name[0x20] = " "
+        self.names = "".join(name.get(b, "\ufffe") for b in range(256))
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = {}
-        self.most, self.held = most_bytes, 0
+        self.most = most_words  # about 250 bytes each
 
     def _alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
         """A point or comma after an ASCII letter is always a piece of its own, so the word before it is looked up alone."""
-        stem = lambda w: w[:-1] if w[-1:] in self.ends and w[-2:-1].isalpha() else w
-        stems = [w for w in {stem(w) for w in words} if w not in self.known]
-        for w in [w for w in stems if b"\x01" in w]:
-            self.known[w] = self._alone(w)
-        stems = [w for w in stems if b"\x01" not in w]
-        for at in range(0, len(stems), 512):
-            some = stems[at : at + 512]
-            joined = f" {PART} ".join(w.decode("utf-8", "replace") for w in some)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        known, plain, rest, ended = self.known, set(), set(), []
+        for w in words:
+            if not w.isalpha():
+                if w[-1:] in self.ends and w[-2:-1].isalpha():
+                    ended.append(w)
+                    w = w[:-1]
+                    if w in known:
+                        continue
+                if b"\x01" in w:
+                    known[w] = self._alone(w)
+                    continue
+                if not PLAIN(w):
+                    rest.add(w)
+                    continue
+            elif not w.islower():
+                rest.add(w)
+                continue
+            plain.add(w)
+        self._encode_apart([*plain], self.model, lambda x: charmap_decode(x, "strict", self.names)[0])
+        self._encode_apart([*rest], self.tokenizer, lambda x: x.decode("utf-8", "replace"))
+        for w in ended:
+            known[w] = known[w[:-1]] + self.ends[w[-1:]]
+
+    def _encode_apart(self, words: list[bytes], tokenizer, decoded) -> None:
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(tokenizer.encode_batch_fast([decoded(PART.join(some))], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(ids == self.part) * 4
             raw = ids.tobytes()
             for w, a, b in zip(some, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
                 self.known[w] = raw[a:b]
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self.known[w[:-1]] + self.ends[w[-1:]]
-        self.held += sum(map(len, words)) + 150 * len(words)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if self.held > self.most:
+        if len(self.known) > self.most:
             self.known.clear()
-            self.held = 0
-        docs = [(x if b"<|" in x else x.lower()).split() for x in texts]  # lower-casing ASCII is part of the rules; special tokens are found before it
-        if new := set().union(*docs) - self.known.keys():
+        docs, found, new = [], [], set()
+        for x in texts:
+            words = (x if b"<|" in x else x.lower()).split()  # lower-casing ASCII is part of the rules; special tokens are found before it
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                gaps = [i for i, y in enumerate(ids) if y is None]
+                new.update(map(words.__getitem__, gaps))
+                docs.append((ids, words, gaps))
+            found.append(ids)
+        if new:
             self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in docs]
+        for ids, words, gaps in docs:
+            for i in gaps:
+                ids[i] = self.known[words[i]]
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[int, Encoder] = {}
