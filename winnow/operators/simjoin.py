@@ -61,10 +61,11 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: boo
     nq, nr = (max(1, math.ceil(df.count() / rows)) for df in (queries, references))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("id", "embedding", deal(nq).alias("q")).withColumn("r", every(nr))
-    r = references.select("id", "embedding", deal(nr).alias("r")).withColumn("q", every(nq))
+    q = queries.select("id", "embedding", deal(nq).alias("q")).select("id", "embedding", F.lit(True).alias("asks"), "q", every(nr).alias("r"))
+    r = references.select("id", "embedding", deal(nr).alias("r")).select("id", "embedding", F.lit(False).alias("asks"), every(nq).alias("q"), "r")
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def compare(both: pd.DataFrame) -> pd.DataFrame:
+        left, right = both[both["asks"]], both[~both["asks"]]
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "ref": [], "cosine": []})
 
@@ -84,7 +85,7 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: boo
         return out[np.isfinite(out["cosine"])]
 
     kind = queries.schema["id"].dataType.simpleString()
-    met = q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInPandas(lambda a, b: compare(a, b), f"id {kind}, ref {kind}, cosine double")
+    met = q.unionAll(r).groupBy("q", "r").applyInPandas(lambda both: compare(both), f"id {kind}, ref {kind}, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "ref")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
