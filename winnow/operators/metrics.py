@@ -52,14 +52,14 @@ def _two_classes(value: Column, otherwise: float) -> Column:
 def ranking(c: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """AUROC (A5), average precision (A6), recall at precision (A9), FPR at recall (A10), counts; one class: the fixed row."""
     p, n, tp, fp = (F.col(x).cast("double") for x in ("n_pos", "n_neg", "tp", "fp"))
-    precision, recall, fpr = tp / (tp + fp), tp / p, fp / n
+    precision, recall, fpr = F.try_divide(tp, tp + fp), F.try_divide(tp, p), F.try_divide(fp, n)  # null where a class is missing
     below = n - fp + F.col("neg") / 2
     at = lambda cond, x: F.when(cond, x)
     return c.groupBy(*keys).agg(
-        _two_classes(F.sum(F.when((p > 0) & (n > 0), F.col("pos") * below / p / n)), 0.0).alias("auroc"),
-        _two_classes(F.sum(F.when(p > 0, F.col("pos") / p * precision)), 0.0).alias("auprc"),
-        *[_two_classes(F.coalesce(F.max(at((p > 0) & (precision >= t), recall)), F.lit(0.0)), 0.0).alias(f"recall_at_{t * 100:.0f}_precision") for t in (0.95, 0.99)],
-        *[_two_classes(F.coalesce(F.min(at((p > 0) & (n > 0) & (recall >= t), fpr)), F.lit(1.0)), 1.0).alias(f"fpr_at_{t * 100:.0f}_recall") for t in (0.95, 0.99)],
+        _two_classes(F.sum(F.try_divide(F.try_divide(F.col("pos") * below, p), n)), 0.0).alias("auroc"),
+        _two_classes(F.sum(F.try_divide(F.col("pos").cast("double"), p) * precision), 0.0).alias("auprc"),
+        *[_two_classes(F.coalesce(F.max(at(precision >= t, recall)), F.lit(0.0)), 0.0).alias(f"recall_at_{t * 100:.0f}_precision") for t in (0.95, 0.99)],
+        *[_two_classes(F.coalesce(F.min(at(recall >= t, fpr)), F.lit(1.0)), 1.0).alias(f"fpr_at_{t * 100:.0f}_recall") for t in (0.95, 0.99)],
         F.max("n_pos").alias("n_pos"),
         F.max("n_neg").alias("n_neg"),
     )

@@ -35,7 +35,7 @@ def supcon_loss(batch: DataFrame, temperature: float = 0.1) -> DataFrame:
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return pd.DataFrame({"n": [len(x)], "loss": [supcon(x / np.where(n == 0, 1, n), pdf["label"].to_numpy(), temperature)[0]]})
 
-    return batch.select("embedding", "label").groupBy(F.lit(0)).applyInPandas(lambda pdf: loss(pdf), "n long, loss double")
+    return batch.select("embedding", "label").groupBy().applyInPandas(lambda pdf: loss(pdf), "n long, loss double")
 
 
 def supcon(z: np.ndarray, y: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:

@@ -378,8 +378,18 @@ BOOT_SQL = SCORES_SQL + (
     f"it as (select split, method, iter, sum(pos * (n - fp + neg / 2.0::double) / p / n) as auroc from c where p > 0 and n > 0 group by 1, 2, 3) "
 )
 
+# the point estimate: a group of one class has the fixed value 0
+POINT_SQL = (
+    ", h0 as (select split, method, score, sum(y) as pos, sum(1 - y) as neg from scores group by 1, 2, 3), c0 as (select *, sum(neg) over (partition by split, method order by score desc) as fp, sum(pos) over (partition by split, method) as p, sum(neg) over (partition by split, method) as n from h0), "
+    "pt as (select split, method, sum(case when p > 0 and n > 0 then pos * (n - fp + neg / 2.0::double) / p / n else 0 end) as auroc from c0 group by 1, 2)"
+)
+
 
-@query("bootstrap_auroc_ci", BOOT_SQL + "select split, method, round(quantile_cont(auroc, 0.025), 6) as auroc_lo, round(quantile_cont(auroc, 0.975), 6) as auroc_hi, count(*) as n_valid from it group by 1, 2")
+@query(
+    "bootstrap_auroc_ci",
+    BOOT_SQL + POINT_SQL + ", v as (select split, method, quantile_cont(auroc, 0.025) as lo, quantile_cont(auroc, 0.975) as hi, count(*) as n_valid from it group by 1, 2) "
+    "select split, method, round(case when coalesce(n_valid, 0) < 10 then auroc else lo end, 6) as auroc_lo, round(case when coalesce(n_valid, 0) < 10 then auroc else hi end, 6) as auroc_hi, coalesce(n_valid, 0) as n_valid from pt left join v using (split, method)",
+)
 def _(spark, d):
     i = bootstrap.intervals(scores(spark, d), 50)
     return i.select("split", "method", r6("auroc_lo").alias("auroc_lo"), r6("auroc_hi").alias("auroc_hi"), "n_valid")
@@ -387,9 +397,8 @@ def _(spark, d):
 
 @query(
     "paired_bootstrap",
-    BOOT_SQL + ", h0 as (select split, method, score, sum(y) as pos, sum(1 - y) as neg from scores group by 1, 2, 3), c0 as (select *, sum(neg) over (partition by split, method order by score desc) as fp, sum(pos) over (partition by split, method) as p, sum(neg) over (partition by split, method) as n from h0), "
-    "pt as (select split, method, sum(pos * (n - fp + neg / 2.0::double) / p / n) as auroc from c0 group by 1, 2), df as (select a.split, a.auroc - b.auroc as diff from pt a join pt b on a.split = b.split and a.method = 'sharp' and b.method = 'plain'), "
-    "di as (select a.split, a.auroc - b.auroc as d from it a join it b on a.split = b.split and a.iter = b.iter and a.method = 'sharp' and b.method = 'plain') select df.split, round(max(diff), 6) as difference, round(avg((d * sign(diff) <= 0)::int), 6) as p_value from df join di on df.split = di.split group by 1",
+    BOOT_SQL + POINT_SQL + ", df as (select a.split, a.auroc - b.auroc as diff from pt a join pt b on a.split = b.split and a.method = 'sharp' and b.method = 'plain'), "
+    "di as (select a.split, a.auroc - b.auroc as d from it a join it b on a.split = b.split and a.iter = b.iter and a.method = 'sharp' and b.method = 'plain') select df.split, round(max(diff), 6) as difference, round(coalesce(avg((d * sign(diff) <= 0)::int), 1), 6) as p_value from df left join di on df.split = di.split group by 1",
 )
 def _(spark, d):
     p = bootstrap.paired_p_value(scores(spark, d), "sharp", "plain", 50)
