@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +38,29 @@ def word_features(word: bytes) -> set[int]:
     return found
 
 
-class Lexicon(dict):
-    """word -> its feature ids, for fitting."""
+class Lexicon:
+    """The words of the texts to fit on, each kept once: a text is then an array of word numbers, a word a slice of feature ids."""
 
-    def __missing__(self, word: bytes) -> np.ndarray:
-        self[word] = value = np.array([*word_features(word)], np.int32)
-        return value
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
+
+    def numbered(self, text: bytes) -> np.ndarray:
+        """Numbers of the text's distinct words, ascending by word."""
+        out = array("i")
+        for word in sorted(words_of(text)):
+            n = self.numbers.get(word)
+            if n is None:
+                self.numbers[word] = n = len(self.numbers)
+                self.flat.extend(sorted(word_features(word)))
+                self.ends.append(len(self.flat))
+            out.append(n)
+        return np.array(out, np.int32)
+
+    def features(self, words: np.ndarray) -> np.ndarray:
+        """Feature ids of all these words; what several words have comes several times."""
+        flat = np.frombuffer(self.flat, np.int32)
+        return np.concatenate([np.zeros(0, np.int32), *[flat[self.ends[n] : self.ends[n + 1]] for n in words.tolist()]])
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -119,29 +137,28 @@ def fit(pos: list[bytes], unl: list[bytes], prior: float, n_models: int = 3, min
     if not pos or not unl:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0), -3.0, prior)
     lexicon, size = Lexicon(), 1 << BITS
-    doc_words = [[words_of(x) for x in side] for side in (pos, unl)]
+    docs = [[lexicon.numbered(x) for x in side] for side in (pos, unl)]
 
-    def doc_counts(docs):
+    def doc_counts(side):
         total = np.zeros(size, np.int32)
-        for words in docs:
-            if words:
-                total[np.unique(np.concatenate([lexicon[w] for w in words]))] += 1
+        for words in side:
+            total[np.unique(lexicon.features(words))] += 1
         return total
 
-    in_pos, in_unl = doc_counts(doc_words[0]), doc_counts(doc_words[1])
+    in_pos, in_unl = doc_counts(docs[0]), doc_counts(docs[1])
     share = (prior * in_pos / len(pos) * len(unl) + prior) / (in_unl + 1)
     features = np.flatnonzero((in_pos >= min(min_docs, len(pos))) & (share > 0.5)).astype(np.int32)
     column = np.full(size, -1, np.int64)
     column[features] = np.arange(len(features))
 
-    def rows(docs):
+    def rows(side):
         out = []
-        for words in docs:
-            c = column[np.concatenate([lexicon[w] for w in words])] if words else np.zeros(0, np.int64)
+        for words in side:
+            c = column[lexicon.features(words)]
             out.append(c[c >= 0])
         return out
 
-    p, u = rows(doc_words[0]), rows(doc_words[1])
+    p, u = rows(docs[0]), rows(docs[1])
     rng, fitted = np.random.default_rng(seed), []
     for _ in range(n_models):
         pick = rng.integers(0, len(u), len(u)) if n_models > 1 else np.arange(len(u))
@@ -161,11 +178,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_positives: int = 4000, max_un
     if not n or not prior:
         return fit([], [], 0.0)
     key = F.xxhash64("doc_id")
-    chosen = by_id.where("toxic = 1").orderBy(key, "doc_id").limit(max_positives).select("doc_id", F.lit(1).alias("side"))
-    chosen = chosen.unionAll(by_id.orderBy(key, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("side")))
-    texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "side").agg(F.max("text").alias("text")).select("side", "text").toArrow()
-    side, text = np.array(texts["side"].to_pylist()), as_bytes(texts["text"])
-    return fit([text[i] for i in np.flatnonzero(side == 1)], [text[i] for i in np.flatnonzero(side == 0)], float(prior))
+    positive = by_id.where("toxic = 1").orderBy(key, "doc_id").limit(max_positives).select("doc_id", F.lit(1).alias("side"))
+    unlabelled = by_id.orderBy(key, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(2).alias("side"))
+    chosen = positive.unionAll(unlabelled).groupBy("doc_id").agg(F.sum("side").alias("side"))  # 3: on both sides
+    found = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "side").agg(F.max("text").alias("text")).select("side", "text").toArrow()
+    side, text = found["side"].to_pylist(), found["text"]
+    on = lambda which: [text[i].as_py().encode() for i, s in enumerate(side) if s & which]
+    return fit(on(1), on(2), float(prior))
 
 
 def scores(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> DataFrame:
