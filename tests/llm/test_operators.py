@@ -189,6 +189,40 @@ def test_repeated_passages(docs):
     assert got == expected and {4, 5, 1, 2, 3} <= set(got)
 
 
+def held_passages(rows):
+    """Word places by document that lie in a run of 50 words which another document has too."""
+    runs, out = defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 49):
+            runs[tuple(w[j : j + 50])].add((i, j))
+    for at in runs.values():
+        if len({i for i, _ in at}) > 1:
+            for i, j in at:
+                out[i].update(range(j, j + 50))
+    return out
+
+
+def found_passages(spark, rows):
+    got = defaultdict(set)
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    return got
+
+
+def test_passages_around_a_common_core(spark):
+    """Pairs share 55 words around a core of 30 to 49 that many other texts have too; a text has a shared window twice."""
+    rows = []
+    for c in range(8):
+        core, before, after = prose(500 + c, 30 + c * 19 // 7).split(), prose(600 + c, 30).split(), prose(700 + c, 30).split()
+        own = 55 - len(core)
+        shared = [*before[: own // 2], *core, *after[: own - own // 2]]
+        around = [shared if x < 2 else core for x in range(12)]
+        rows += [(100 * c + x, f"{prose(1000 * c + x, 40)} {' '.join(mid)} {prose(1000 * c + 500 + x, 40)}") for x, mid in enumerate(around)]
+        rows.append((100 * c + 50, f"{' '.join(shared)} {prose(1000 * c + 900, 20)} {' '.join(shared)}"))
+    assert found_passages(spark, rows) == held_passages(rows)
+
+
 def test_minimisers_cover_every_window():
     h = np.random.default_rng(3).integers(0, 50, 300).astype(np.uint64)
     at = suffixes.minimisers(common.mixed(h), 25)

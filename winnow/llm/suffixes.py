@@ -1,19 +1,18 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by windows of words, sampled by minimisers.
 
-Of a text's suffixes (by words) only those at minimiser positions stay: k-mers with the least hash in some window of w. A
-passage of k + w - 1 words or more that two texts share has a common minimiser, whatever stands around it. The suffixes are
-sorted by the hash of their k-mer, then by what follows it; neighbours of different texts are compared, and each pair is
-extended over the texts themselves, right and left, as far as words agree.
+Of a text's k-mers (by words) only minimisers are looked at first: k-mers with the least hash in some window of w. A passage of
+k + w - 1 words or more that two texts share has a common minimiser, whatever stands around it, so only windows whose minimiser
+occurs again can repeat. Of these the hash of the whole window, min_words long, is the key: every text that has a window meets
+one other text with the same window, and each pair is extended over the texts themselves, right and left, as far as words agree.
 
-Texts that are equal as wholes are one text from the start. Sorting deals by range, so a passage that a third of all texts
-share is spread over as many tasks as it fills; the last row of a task meets the first of the next.
+Texts that are equal as wholes are one text from the start. Minimisers are dealt by range, so one that a third of all texts
+share is spread over as many tasks as it fills; where the ranges are cut decides no match, since windows meet by equality alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,8 @@ MIN_WORDS = 50
 K = 26  # so windows have MIN_WORDS - K + 1 k-mers
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-SUFFIX = "seed long, after long, ahead long, text_id long, pos int"
+SEEDS = "seed long, text_id long, pos int"
+WINDOWS = "window long, text_id long, pos int, first int"
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -62,8 +62,8 @@ def minimisers(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(reach == hashes)
 
 
-def suffixes(texts: DataFrame, k: int, w: int) -> DataFrame:
-    """Sampled suffixes of texts (text_id, text): k-mer hash, hashes of what follows and of what stands before, and place."""
+def seeds(texts: DataFrame, k: int, w: int) -> DataFrame:
+    """Minimisers of texts (text_id, text): k-mer hash and place."""
 
     def run(batches):
         hashes, seen = WordHashes(), set()  # a task takes each of its texts once, so few copies are sorted
@@ -78,92 +78,71 @@ def suffixes(texts: DataFrame, k: int, w: int) -> DataFrame:
                     continue
                 runs = window_hashes(h, k)
                 at = minimisers(runs, w)
-                m = w - 1
-                near = np.concatenate((np.zeros(m, np.uint64), h, np.zeros(k + m, np.uint64)))
-                beside = window_hashes(near, m)
-                out.append((runs[at], beside[at + m + k], beside[at], np.full(len(at), text_id), at))
+                out.append((runs[at], np.full(len(at), text_id), at))
             if out:
-                seed, after, ahead, ids, pos = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (seed.view(np.int64), after.view(np.int64), ahead.view(np.int64), ids, pos.astype(np.int32))], names=["seed", "after", "ahead", "text_id", "pos"])
+                seed, ids, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32))], names=["seed", "text_id", "pos"])
 
-    return texts.select("text_id", "text").mapInArrow(run, SUFFIX)
+    return texts.select("text_id", "text").mapInArrow(run, SEEDS)
 
 
-def _partners(seed: np.ndarray, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For sorted rows the place of an earlier row of the same seed and another text to compare with, or -1.
+def repeated_seeds(sorted_seeds: DataFrame) -> DataFrame:
+    """(text_id, pos) of all minimisers that occur again, and of a task's first and last, which may go on in another task."""
 
-    In a run of equal seed and context, whose rows agree over min_words words already, that is the run's first row, so texts
-    that go along with each other meet the same one at most seeds. For the run's first text it is the nearest row before.
-    """
-    n, place = len(seed), np.arange(len(seed))
-    seeds = np.concatenate(([True], seed[1:] != seed[:-1]))
-    runs = seeds | np.concatenate(([True], context[1:] != context[:-1]))
-    first = np.maximum.accumulate(np.where(runs, place, 0))
-    text = seeds | np.concatenate(([True], ids[1:] != ids[:-1]))
-    before = np.maximum.accumulate(np.where(text, place, 0)) - 1
-    nearest = np.where((before >= 0) & (seed[before] == seed) & (ids[before] != ids), before, -1)
-    return np.where(ids[first] != ids, first, nearest)
+    def run(batches):
+        held, kept = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "text_id", "pos")]
+            cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.concatenate(([kept], same)) | np.concatenate((same, [False]))
+            held, kept = [c[-1:] for c in cols], bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in cols[1:]], names=["text_id", "pos"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[1:]], names=["text_id", "pos"])
 
+    return sorted_seeds.mapInArrow(run, "text_id long, pos int")
 
-def neighbours(sorted_suffixes: DataFrame) -> DataFrame:
-    """(part, edge, seed, a, a_pos, b, b_pos) from suffixes sorted by seed, after, text and place.
 
-    Within a seed rows meet in that order and, once more, in the order of what stands before. Rows with `edge` set carry a
-    task's first and last suffix instead, to be matched with the next task's.
+def windows(texts: DataFrame, k: int, w: int) -> DataFrame:
+    """Windows of k + w - 1 words of texts (text_id, text, at) whose minimiser is at one of the places `at`.
+
+    first is the window's first place in its text.
     """
-    names = ["part", "edge", "seed", "a", "a_pos", "b", "b_pos"]
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        held = None
-
-        def found(t):
-            seed, after, ahead, ids, pos = (t[c].to_numpy() for c in ("seed", "after", "ahead", "text_id", "pos"))
-            for order, context in ((np.arange(len(seed)), after), (np.lexsort((pos, ids, ahead, seed)), ahead)):
-                s, i, p = seed[order], ids[order], pos[order]
-                o = _partners(s, context[order], i)
-                at = np.flatnonzero(o >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(np.zeros(len(at), np.int32)), pa.array(s[at]), pa.array(i[o[at]]), pa.array(p[o[at]]), pa.array(i[at]), pa.array(p[at])], names=names)
-
-        def edge(t, which, row):
-            v = [t[c][row].as_py() for c in ("seed", "text_id", "pos")]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([which], pa.int32()), pa.array([v[0]], pa.int64()), pa.array([v[1]], pa.int64()), pa.array([v[2]], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int32())], names=names)
-
-        last = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if held is None:
-                yield edge(t, 1, 0)
-            t = t if held is None else pa.concat_tables([held, t])
-            seed = t["seed"].to_numpy()
-            cut = int(np.searchsorted(seed, seed[-1], "left"))  # the last seed may go on in the next batch
-            if len(seed) - cut > 1_000_000:
-                cut = len(seed) - 1  # a very frequent seed is taken piece by piece, each with the row before it
-            if cut:
-                yield from found(t.slice(0, cut + (len(seed) - cut == 1 and seed[cut - 1] == seed[cut])))
-            held = t.slice(cut)
-            last = t.slice(t.num_rows - 1)
-        if held is not None:
-            yield from found(held)
-            yield edge(last, 2, 0)
+        hashes = WordHashes()
+        for batch in slices(batches):
+            out = []
+            for text_id, text, at in zip(batch.column("text_id").to_pylist(), as_bytes(batch.column("text")), batch.column("at").to_pylist(), strict=True):
+                h = hashes.of(text.split())
+                runs = window_hashes(h, k)
+                pos = np.flatnonzero(np.isin(_sliding(runs, w, np.minimum), runs[at]))
+                window = window_hashes(h, k + w - 1)[pos]
+                _, first, again = np.unique(window, return_index=True, return_inverse=True)
+                out.append((window, np.full(len(pos), text_id), pos, pos[first[again]]))
+            if out:
+                window, ids, pos, first = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (window.view(np.int64), ids, pos.astype(np.int32), first.astype(np.int32))], names=["window", "text_id", "pos", "first"])
+
+    return texts.mapInArrow(run, WINDOWS)
 
-    return sorted_suffixes.mapInArrow(run, "part long, edge int, seed long, a long, a_pos int, b long, b_pos int")
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs of texts with a common window (a, b, at) from windows; at: sorted, the shift from a to b in the upper half of a long, a place in a in the lower.
 
-def _pairs(suffix: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, at), one for each two texts; at: structs of the shift from a to b and a place in a that met."""
-    order = ["seed", "after", "text_id", "pos"]
-    met = saved(neighbours(suffix.repartitionByRange(*order).sortWithinPartitions(*order)), "neighbours")
-    # one first and one last row for each task: last meets the next task's first
-    edges = met.where("edge > 0").select("part", "edge", "seed", "a", "a_pos")
-    w = Window.orderBy("part", "edge")
-    edges = edges.select("edge", F.lag("edge").over(w).alias("_edge"), "seed", F.lag("seed").over(w).alias("_seed"), F.lag("a").over(w).alias("_a"), F.lag("a_pos").over(w).alias("_pos"), "a", "a_pos")
-    across = edges.where("edge = 1 and _edge = 2 and seed = _seed and a <> _a").select(F.col("_a").alias("a"), F.col("_pos").alias("a_pos"), F.col("a").alias("b"), F.col("a_pos").alias("b_pos"))
-    all_met = met.where("edge = 0").select("a", "a_pos", "b", "b_pos").unionAll(across)
-    swap = F.col("a") > F.col("b")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    tidy = all_met.select(pick("a", "b").alias("a"), pick("a_pos", "b_pos").alias("a_pos"), pick("b", "a").alias("b"), pick("b_pos", "a_pos").alias("b_pos"))
-    return tidy.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct((F.col("b_pos") - F.col("a_pos")).alias("shift"), F.col("a_pos").alias("place")))).alias("at"))
+    Each window of a text meets the same window of the least text that has it; those of the least text meet the greatest.
+    """
+    ends = met.groupBy("window").agg(F.min("text_id").alias("lo"), F.min_by("first", "text_id").alias("lo_pos"), F.max("text_id").alias("hi"), F.max_by("first", "text_id").alias("hi_pos")).where("lo <> hi")
+    least = F.col("text_id") == F.col("lo")
+    # the least text's first place is met by the others
+    linked = met.drop("first").join(ends, "window").where(~least | (F.col("pos") != F.col("lo_pos")))
+    place = F.when(least, F.col("pos")).otherwise(F.col("lo_pos")).cast("long")
+    there = F.when(least, F.col("hi_pos")).otherwise(F.col("pos")).cast("long")
+    tidy = linked.select(F.col("lo").alias("a"), F.when(least, F.col("hi")).otherwise(F.col("text_id")).alias("b"), (F.shiftleft(there - place, 32) + place).alias("at"))
+    return tidy.groupBy("a", "b").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
 
 def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -180,19 +159,17 @@ def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _extended(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """(text_id, start, end, other): the words [start, end) of maximal matches of `least` words or more, for both texts."""
 
-    def matches(u: np.ndarray, v: np.ndarray, at: list[dict]):
+    def matches(u: np.ndarray, v: np.ndarray, at: np.ndarray):
         """Ranges of u and of v; at comes sorted by shift, then place."""
-        done = (None, 0)  # the shift, and how far in u its last match went
-        for x in at:
-            shift, place = x["shift"], x["place"]
-            if done[0] == shift and place < done[1]:
-                continue
+        k = 0
+        while k < len(at):
+            shift, place = int(at[k]) >> 32, int(at[k]) & 0xFFFFFFFF
             lo, hi = max(0, -shift), min(len(u), len(v) - shift)
             right = u[place:hi] != v[place + shift : hi + shift]
             left = u[lo:place][::-1] != v[lo + shift : place + shift][::-1]
             e = place + (int(right.argmax()) if right.any() else len(right))
             s = place - (int(left.argmax()) if left.any() else len(left))
-            done = (shift, e)
+            k = max(k + 1, int(np.searchsorted(at, (shift << 32) + e)))  # places within this match are done
             if e - s >= least:
                 yield (s, e), (s + shift, e + shift)
 
@@ -200,8 +177,10 @@ def _extended(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
         hashes = WordHashes()
         for batch in slices(batches, 128):
             rows = []
-            for a, b, at, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at")), as_bytes(batch.column("ta")), as_bytes(batch.column("tb")), strict=True):
-                found = [*matches(hashes.of(x.split()), hashes.of(y.split()), at)]
+            ends = batch.column("at").offsets.to_numpy()
+            places = batch.column("at").values.to_numpy()
+            for a, b, i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), ends, ends[1:], as_bytes(batch.column("ta")), as_bytes(batch.column("tb")), strict=False):
+                found = [*matches(hashes.of(x.split()), hashes.of(y.split()), places[i:j])]
                 rows += [(a, s, e, b) for s, e in _merged([f[0] for f in found])] + [(b, s, e, a) for s, e in _merged([f[1] for f in found])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["text_id", "start", "end", "other"])
@@ -224,10 +203,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
     rows = saved(whole.select("doc_id", "text_id", words.alias("words")), "rows")
     kinds = saved(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.max("words").alias("words")), "kinds")
 
-    suffix = saved(suffixes(whole, k, min_words - k + 1), "suffixes")
-    pairs = saved(_pairs(suffix), "pairs")
-    used = pairs.select(F.col("a").alias("text_id")).unionAll(pairs.select("b")).distinct()
-    texts = saved(whole.select("text_id", "text").join(used, "text_id", "left_semi").dropDuplicates(["text_id"]), "texts")
+    w = min_words - k + 1
+    order = ["seed", "text_id"]
+    seed = saved(seeds(whole, k, w), "seeds")
+    again = repeated_seeds(seed.repartitionByRange(*order).sortWithinPartitions(*order)).groupBy("text_id").agg(F.collect_list("pos").alias("at"))
+    texts = saved(whole.select("text_id", "text").join(again, "text_id").dropDuplicates(["text_id"]), "texts")
+    pairs = saved(_pairs(saved(windows(texts, k, w), "windows")), "pairs")
     found = saved(_extended(pairs, texts, min_words), "matches")
 
     named = found.join(kinds.select(F.col("text_id").alias("other"), "least"), "other")
