@@ -223,6 +223,24 @@ def test_passages_around_a_common_core(spark):
     assert found_passages(spark, rows) == held_passages(rows)
 
 
+def test_passages_whatever_the_partitions(spark):
+    """Pairs share a very common minimiser and 24 words before it, and go on differently; the ranges are cut within its rows."""
+    seed = lambda t: suffixes.window_hashes(common.WordHashes().of(t.encode().split()), 26)[0]
+    core, rows = min((prose(8000 + x, 26) for x in range(2000)), key=seed), []
+    for x in range(120):
+        before = prose(810 + x % 60, 24)
+        rows.append((x, f"{prose(2000 + x, 20)} {before} {core} {prose(3000 + x, 40)}"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        assert found_passages(spark, rows) == held_passages(rows)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_minimisers_cover_every_window():
     h = np.random.default_rng(3).integers(0, 50, 300).astype(np.uint64)
     at = suffixes.minimisers(common.mixed(h), 25)

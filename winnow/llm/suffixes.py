@@ -135,7 +135,8 @@ def _pairs(met: DataFrame) -> DataFrame:
 
     Each window of a text meets the same window of the least text that has it; those of the least text meet the greatest.
     """
-    ends = met.groupBy("window").agg(F.min("text_id").alias("lo"), F.min_by("first", "text_id").alias("lo_pos"), F.max("text_id").alias("hi"), F.max_by("first", "text_id").alias("hi_pos")).where("lo <> hi")
+    # saved, so that the join deals windows itself and a very frequent one can be split over tasks
+    ends = saved(met.groupBy("window").agg(F.min("text_id").alias("lo"), F.min_by("first", "text_id").alias("lo_pos"), F.max("text_id").alias("hi"), F.max_by("first", "text_id").alias("hi_pos")).where("lo <> hi"), "ends")
     least = F.col("text_id") == F.col("lo")
     # the least text's first place is met by the others
     linked = met.drop("first").join(ends, "window").where(~least | (F.col("pos") != F.col("lo_pos")))
