@@ -302,6 +302,42 @@ def test_pii(spark):
     assert (got[4].text, got[5].text, got[6].text) == (None, "", "nothing here") and got[6].n_replaced == 0
 
 
+def test_pii_of_numbers_beside_each_other(spark):
+    """Cards with other numbers before, after and between them; dates of all years."""
+    card = "4944339490429605"
+    spaced = "4944 3394 9042 9605"
+    amex = "3782 822463 10005"
+    texts = [
+        card, f"{card} 12/27", f"{card} 123", f"order 12 {card}", f"{spaced} 100.00", f"12 {spaced} 123", f"{card} {card}-7", f"1234 {amex} 99",
+        f"{card} 2024-02-29", f"{card} 29/02/2024", f"{card} 123-45-6789 12", f"{card} 988.555.2485", f"{card} 70.123.182.155", f"{card} 12a@b.com", f"{card} 988 555 2485",
+        "0987-05-04 04/05/0987 04.05.0987", "2345-06-07", "9999-12-31 0001-01-01", "12 4944339490429606 34", "9" * 3000, "1 " * 5000,
+    ]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.with_pseudonyms(df).collect()}
+    t = [got[i].text for i in range(len(texts))]
+    new = t[0]
+    assert new != card and luhn(new)
+    four = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert t[1:7] == [f"{new} 12/27", f"{new} 123", f"order 12 {new}", f"{four} 100.00", f"12 {four} 123", f"{new} {new}-7"]
+    one = re.fullmatch(r"1234 (\d{4} \d{6} \d{5}) 99", t[7])[1]
+    assert one != amex and luhn(one.replace(" ", ""))
+    for i in range(8, 15):
+        assert t[i].startswith(new + " ") and t[i][17:] != texts[i][17:] and got[i].n_replaced == 2
+    assert t[10].endswith(" 12") and got[6].n_replaced == 2 and got[1].n_replaced == 1
+    iso, slashed, dotted = t[15].split()
+    day = datetime.date.fromisoformat(iso)
+    assert iso != "0987-05-04" and [day.day, day.month, day.year] == [int(x) for x in slashed.split("/")] == [int(x) for x in dotted.split(".")]
+    assert t[16] != texts[16] and datetime.date.fromisoformat(t[16]) and all(x != y and datetime.date.fromisoformat(x) for x, y in zip(t[17].split(), texts[17].split(), strict=True))
+    assert t[18:20] == texts[18:20] and len(t[20]) == len(texts[20])
+
+
+def test_dates_outside_the_calendar_s_period_are_permuted(spark):
+    df = spark.sql("select id, date_format(date_add(date'0001-01-01', cast(id * 97 as int)), 'yyyy-MM-dd') as text from range(37650)")
+    got = pii.with_pseudonyms(df)
+    assert got.select("text").distinct().count() == 37650 and got.where("n_replaced = 0").count() < 5
+    assert got.where("text >= '1700' and text < '2100'").count() == df.where("text >= '1700' and text < '2100'").count()
+
+
 def test_feistel_is_a_bijection(spark):
     df = spark.range(1000).select(F.expr(pii.chars_feistel("lpad(cast(id as string), 3, '0')", pii.DIGITS, "t", "k")).alias("x"), F.expr(pii.sides_feistel("id div 8", "id % 8", (125, 8), "t", "k")).alias("y"))
     assert df.select("x").distinct().count() == 1000 == df.select("y").distinct().count()

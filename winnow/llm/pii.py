@@ -15,6 +15,8 @@ ROUNDS = 10
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 #: 400 years of the Gregorian calendar have 146097 = 209 * 699 days, whatever day they begin with.
 FIRST_DAY, DATE_SIDES = "1700-01-01", (209, 699)
+#: The other days of the years 1 to 9999: 620547 before and the rest after, 3505962 = 762 * 4601 in all.
+DAYS_BEFORE, OTHER_SIDES = 620_547, (762, 4601)
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
 SECRET = r"(?<=(?:password|passwd|secret|token|key)[ \t]{0,3}[=:][ \t]{0,3}[\"']{0,1})[0-9A-Fa-f]{8,}+"
@@ -24,7 +26,14 @@ DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-FOUND = "|".join([EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, CARD])
+#: What can stand beside a card and begins with digits, but has other characters than a run of digits.
+BESIDE = r"[ -](?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9]|[/.-][0-9])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|[/.-][0-9])|(?=[0-9 -]{0,8}[.(])(?:1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|[A-Za-z0-9._%+-]++@)"
+#: Digits with single spaces or hyphens: a card with whatever numbers stand around it.
+RUN = rf"(?<![0-9.])[0-9](?:(?!{BESIDE})[ -]?[0-9]){{12,}}+"
+#: Layouts of cards, tried at each number of a run.
+LAYOUTS = ["[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}"]
+FOUND = "|".join([EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, RUN])
+LEFT = "|".join([DATE, SSN, PHONE, CARD])
 
 
 def _text(s: str) -> str:
@@ -114,9 +123,14 @@ def _ssn(key: str) -> str:
 
 def _date(form: str, key: str) -> str:
     day = f"datediff(cast(try_to_timestamp(m, '{form}') as date), date'{FIRST_DAY}')"
-    new = sides_feistel(f"n div {DATE_SIDES[1]}", f"n % {DATE_SIDES[1]}", DATE_SIDES, "date", key)
-    moved = _let("y", new, f"date_format(date_add(date'{FIRST_DAY}', cast(y.a * {DATE_SIDES[1]} + y.b as int)), '{form}')")
-    return _let("n", day, f"if(n between 0 and {DATE_SIDES[0] * DATE_SIDES[1] - 1}, {moved}, m)")
+
+    def moved(n: str, sides: tuple[int, int], kind: str, back: str) -> str:
+        new = sides_feistel(f"({n}) div {sides[1]}", f"({n}) % {sides[1]}", sides, kind, key)
+        return _let("y", f"transform(array({new}), v -> cast(v.a * {sides[1]} + v.b as int))[0]", f"date_format(date_add(date'{FIRST_DAY}', {back}), '{form}')")
+
+    days = DATE_SIDES[0] * DATE_SIDES[1]
+    others = moved(f"if(n < 0, n, n - {days}) + {DAYS_BEFORE}", OTHER_SIDES, "other-date", f"y - {DAYS_BEFORE} + if(y < {DAYS_BEFORE}, 0, {days})")
+    return _let("n", day, f"if(n between 0 and {days - 1}, {moved('n', DATE_SIDES, 'date', 'y')}, {others})")
 
 
 def pseudonym(key: str) -> str:
@@ -138,13 +152,33 @@ def pseudonym(key: str) -> str:
     return "case " + " ".join(f"when {when} then {then}" for when, then in cases) + " else m end"
 
 
+def _pieces(m: str) -> str:
+    """SQL for the found string m in pieces, structs (old, value): of a run of digits its cards and what stands between them.
+
+    The first valid card of a layout is taken, then the next after it. What is left is searched for the other kinds of
+    numbers and for cards parted in another way.
+    """
+    layouts = "concat(" + ", ".join(f"regexp_extract_all(s.rest, {_text(f'(?<![0-9])(?=({x})(?![0-9]))')}, 1)" for x in LAYOUTS) + ")"
+    at = "regexp_instr(s.rest, concat('(?<![0-9])', c, '(?![0-9])'))"
+    valid = f"transform(filter({layouts}, c -> luhn_check(regexp_replace(c, '[^0-9]', ''))), (c, k) -> named_struct('at', {at}, 'k', k, 'c', c))"
+    taken = "named_struct('out', concat(s.out, array(named_struct('old', left(s.rest, b.at - 1), 'card', false), named_struct('old', b.c, 'card', true))), 'rest', substr(s.rest, b.at + length(b.c)))"
+    step = _let("b", f"array_min({valid})", f"if(b is null, s, {taken})")
+    start = "named_struct('out', cast(array() as array<struct<old:string,card:boolean>>), 'rest', m)"
+    cards = f"aggregate(sequence(1, cast(length(m) div 13 as int)), {start}, (s, i) -> {step}, s -> concat(s.out, array(named_struct('old', s.rest, 'card', false))))"
+    left = _text(LEFT)
+    rest = f"flatten(transform(split(p.old, {left}, -1), (x, k) -> array(named_struct('old', x, 'value', false), named_struct('old', coalesce(get(regexp_extract_all(p.old, {left}, 0), k), ''), 'value', true))))"
+    run = f"flatten(transform({cards}, p -> if(p.card, array(named_struct('old', p.old, 'value', true)), {rest})))"
+    return _let("m", m, f"if(m rlike '^[0-9]([ -]?[0-9]){{12,}}+$', {run}, array(named_struct('old', m, 'value', true)))")
+
+
 def pseudonymised(text: str, key: str) -> Column:
     """Struct (text, n): the column's text with its values replaced, and how many were found valid and changed."""
     found = _text(FOUND)
-    values = f"transform(regexp_extract_all({text}, {found}, 0), m -> named_struct('old', m, 'new', {pseudonym(key)}))"
-    joined = "array_join(transform(r.parts, (p, k) -> concat(p, coalesce(get(r.vals, k).new, ''))), '')"
+    new = _let("m", "x.old", pseudonym(key))
+    values = f"transform(regexp_extract_all({text}, {found}, 0), f -> transform({_pieces('f')}, x -> named_struct('old', x.old, 'new', if(x.value, {new}, x.old))))"
+    joined = "array_join(transform(r.parts, (p, k) -> concat(p, coalesce(array_join(get(r.vals, k).new, ''), ''))), '')"
     pair = f"named_struct('parts', split({text}, {found}, -1), 'vals', {values})"
-    whole = _let("r", pair, f"named_struct('text', {joined}, 'n', size(filter(r.vals, v -> v.old <> v.new)))")
+    whole = _let("r", pair, f"named_struct('text', {joined}, 'n', size(filter(flatten(r.vals), v -> v.old <> v.new)))")
     none = f"named_struct('text', {text}, 'n', 0)"
     return F.expr(f"if({text} rlike '[0-9@]', {whole}, {none})")
 
