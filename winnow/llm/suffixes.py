@@ -213,6 +213,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
     found = saved(_extended(pairs, texts, min_words), "matches")
 
     named = found.join(kinds.select(F.col("text_id").alias("other"), "least"), "other")
+    # the first text of a very common passage has a row for each text that has it too
+    named = named.groupBy("text_id", "start", "end").agg(F.min("least").alias("least"))
     w = Window.partitionBy("text_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     parts = named.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("part", F.sum("new").over(w))
