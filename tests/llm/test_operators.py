@@ -164,6 +164,29 @@ def test_crowds_of_near_copies(spark):
         setjoin.LARGEST_CROWD = before
 
 
+def test_isolated_pairs_in_a_crowd(spark):
+    """Texts on one template, just under the threshold alike, and few pairs over it; nodes hold far fewer than there are texts."""
+    template, rows = prose(900, 80), []
+    for i in range(240):
+        own = [f"o{i}{x}" for x in range(10)]
+        rows.append((i, f"{template} {' '.join(own)}"))
+        if i % 6 == 0:
+            rows.append((1000 + i, f"{template} {' '.join(own[:-1])} other{i}"))
+    expected = brute_components(rows, 4, 80)
+    assert len({c for _, _, c in expected}) == 240
+    before = setjoin.LARGEST_NODE, setjoin.DEPTH
+    setjoin.LARGEST_NODE, setjoin.DEPTH = 8, 1
+    try:
+        got = setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, trees=4).collect()
+    finally:
+        setjoin.LARGEST_NODE, setjoin.DEPTH = before
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+
+
+def test_trees_give_the_recall():
+    assert setjoin.met(8, 0.8) >= setjoin.RECALL > setjoin.met(7, 0.8) and setjoin.trees_for(setjoin.RECALL, 0.8) == 8
+
+
 def test_near_dedup_stage(spark, docs):
     kept = setjoin.near_dedup_stage(spark, docs, "")
     assert kept.columns == docs.columns

@@ -4,7 +4,7 @@ A document is the set of its word shingles, and a row of minwise tokens stands f
 the probability of their Jaccard similarity. A tree starts with all documents at its root. A node picks about 1/threshold of
 the token places at random, and a document goes on to one child for each picked place, the one of the token it has there.
 Nodes of few documents are compared exhaustively, larger ones branch again. Independent trees repeat this; a pair that is as
-similar as the threshold is missed only where all trees part it.
+similar as the threshold is missed only where all trees part it, and there are as many trees as a stated recall needs.
 
 What Spark does with it:
 * documents with equal sets are one class from the start, so copies never meet in pairs;
@@ -17,6 +17,8 @@ What Spark does with it:
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +29,7 @@ from winnow.llm.common import WordHashes, as_bytes, mixed, saved, shingle_hashes
 from winnow.llm.components import connected
 
 TOKENS = 64
-TREES = 8
+RECALL = 0.9985  # of pairs just at the threshold, whatever else there is; it gives the number of trees
 LARGEST_NODE = 4096  # beyond this a node branches on
 LARGEST_CROWD = 20_000_000  # shingles of the classes that one task compares
 DEPTH = 5
@@ -77,6 +79,23 @@ def _picked(node: int, rate: float, n: int) -> np.ndarray:
     return at if len(at) else np.array([h.argmin()])
 
 
+def met(trees: int, threshold: float) -> float:
+    """The probability that two sets at the threshold are in a node together at the last depth of one of the trees."""
+    rate, out = 1 / (threshold * TOKENS), 0.0
+    none = (1 - rate) ** TOKENS  # then one place is picked all the same
+    for m in range(TOKENS + 1):
+        like, parted = m / TOKENS, 0.0
+        for _ in range(DEPTH):
+            stay = 1 - parted
+            parted = (1 - rate * stay) ** m - none + none * (1 - like * stay)
+        out += comb(TOKENS, m) * threshold**m * (1 - threshold) ** (TOKENS - m) * (1 - parted**trees)
+    return out
+
+
+def trees_for(recall: float, threshold: float) -> int:
+    return next(t for t in range(1, 1000) if met(t, threshold) >= recall)
+
+
 def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     """(node, cls, tokens) -> (node, cls) of the children."""
     rate = 1 / (threshold * TOKENS)
@@ -110,9 +129,11 @@ def _nodes(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
         met = saved(children.join(sizes, "node"), "nodes")
         small = met.where(F.col("n") <= LARGEST_NODE).select("node", "cls")
         large = met.where(F.col("n") > LARGEST_NODE)
-        if depth == DEPTH:  # a crowd that stays together: dealt into parts by another hash in each tree, so the trees join the parts
-            part = F.pmod(F.xxhash64("cls", "node"), F.ceil(F.col("n") / LARGEST_NODE))
-            small = small.unionAll(large.select(F.xxhash64("node", part).alias("node"), "cls"))
+        if depth == DEPTH:  # a crowd that stays together: dealt into parts, and each two parts are compared as one node
+            parts = F.ceil(2 * F.col("n") / LARGEST_NODE)
+            dealt = large.select("node", "cls", parts.alias("parts"), F.pmod(F.xxhash64("cls", "node"), parts).alias("part"))
+            each = dealt.select("node", "cls", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).where("part <> other")
+            small = small.unionAll(each.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "cls"))
         leaves = small if leaves is None else leaves.unionAll(small)
         if depth == DEPTH or large.isEmpty():
             return leaves
@@ -255,13 +276,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "cls binary, shingles binary")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int, trees: int = TREES) -> DataFrame:
+def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int, trees: int | None = None) -> DataFrame:
     """Confirmed links (a, b) between classes that connect all linked classes. signed: the saved signatures of docs."""
     of = F.struct("doc_id", "text_key")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min_by(of, of).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
     classes = saved(classes.select("cls", "of.doc_id", "of.text_key", "n_shingles", "tokens"), "classes")
     # a pair at the threshold agrees in fewer tokens than this about three times in 100,000
     least = int(np.floor(TOKENS * (percent / 100) - 4 * np.sqrt(TOKENS * (percent / 100) * (1 - percent / 100))))
+    trees = trees or trees_for(RECALL, percent / 100)
     leaves = saved(_nodes(classes, percent / 100, trees).join(classes.select("cls", "tokens"), "cls"), "leaves")
     crowds = connected(saved(_candidates(leaves, least).distinct(), "candidates"))
     members = classes.join(crowds, classes["cls"] == crowds["node"]).select("cls", "doc_id", "text_key", "n_shingles", "tokens", F.xxhash64("root").alias("crowd"))
@@ -275,7 +297,7 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int, trees:
     return saved(_confirmed(whole.unionAll(parts).join(sets, "cls"), least, percent), "near-links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int | None = None) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Words are lower-cased in A-Z and parted at ASCII white space; fewer than k words are one shingle. Rows link if
