@@ -309,7 +309,7 @@ def test_pii(spark):
         (6, "nothing here"),
         (7, "4944339490429605"),
     ]
-    got = {r.doc_id: r for r in pii.with_pseudonyms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.with_pseudonyms(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     t = got[1].text
     cards = re.findall(r"\d{16}", t)
     assert cards[0] != "4944339490429605" and luhn(cards[0]) and cards[1] == "4944339490429606" and "300.1.1.1" in t
@@ -336,7 +336,7 @@ def test_pii_of_numbers_beside_each_other(spark):
         "0987-05-04 04/05/0987 04.05.0987", "2345-06-07", "9999-12-31 0001-01-01", "12 4944339490429606 34", "9" * 3000, "1 " * 5000,
     ]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.with_pseudonyms(df).collect()}
+    got = {r.doc_id: r for r in pii.with_pseudonyms(df, "k").collect()}
     t = [got[i].text for i in range(len(texts))]
     new = t[0]
     assert new != card and luhn(new)
@@ -356,7 +356,7 @@ def test_pii_of_numbers_beside_each_other(spark):
 
 def test_dates_outside_the_calendar_s_period_are_permuted(spark):
     df = spark.sql("select id, date_format(date_add(date'0001-01-01', cast(id * 97 as int)), 'yyyy-MM-dd') as text from range(37650)")
-    got = pii.with_pseudonyms(df)
+    got = pii.with_pseudonyms(df, "k")
     assert got.select("text").distinct().count() == 37650 and got.where("n_replaced = 0").count() < 5
     assert got.where("text >= '1700' and text < '2100'").count() == df.where("text >= '1700' and text < '2100'").count()
 
@@ -450,7 +450,7 @@ def test_quality_counts_and_classifier(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert packing.pack(none).count() == setjoin.near_duplicates(none).count() == suffixes.repeated_passages(none).count() == 0
-    assert syncmers.fingerprints(none).count() == mixing.assign(none).count() == pii.with_pseudonyms(none).count() == 0
+    assert syncmers.fingerprints(none).count() == mixing.assign(none).count() == pii.with_pseudonyms(none, "k").count() == 0
     assert token_files.read_token_files(token_files.write_token_files(none, common.new_path(spark, "t"))).count() == 0
     assert toxicity.scores(none, toxicity.fit([], [], 0.0)).count() == quality.rules(none, quality.NO_MODEL).count() == 0
 
@@ -459,5 +459,5 @@ def test_clashing_columns(spark, docs):
     more = docs.withColumn("score", F.lit("x")).withColumn("cls", F.lit(1)).withColumn("n_replaced", F.lit("y")).withColumn("place", F.lit(2))
     assert toxicity.scores(more, toxicity.fit([], [], 0.0), "score").columns[-1] == "score"
     assert setjoin.near_dedup_stage(spark, more, "").columns == more.columns
-    assert dict(pii.with_pseudonyms(more).dtypes)["n_replaced"] == "int"
+    assert dict(pii.with_pseudonyms(more, "k").dtypes)["n_replaced"] == "int"
     assert packing.pack(more).count() > 0 and mixing.mixed(more).count() > 0

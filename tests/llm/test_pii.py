@@ -1,0 +1,162 @@
+"""Pseudonyms against a plain Feistel network, and long input of every kind."""
+
+import datetime
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from winnow.llm import pii
+
+KEY = "a test key"
+
+
+def chars(x: str, alphabet: str, kind: str) -> str:
+    """The network over strings in plain Python."""
+    if len(x) < 2:
+        return x
+    halves = [x[: len(x) // 2], x[len(x) // 2 :]]
+    for i in range(1, pii.ROUNDS + 1):
+        side = 0 if i % 2 else 1
+        h = hashlib.sha512(f"{KEY}|{kind}|{i}|{halves[1 - side]}".encode()).hexdigest()
+        moved = [alphabet[(alphabet.index(c) + int(h[4 * (j % 32) : 4 * (j % 32) + 4], 16)) % len(alphabet)] for j, c in enumerate(halves[side])]
+        halves[side] = "".join(moved)
+    return "".join(halves)
+
+
+def sides(a: int, b: int, sizes: tuple[int, int], kind: str) -> tuple[int, int]:
+    for i in range(1, pii.ROUNDS + 1):
+        h = lambda other: int(hashlib.sha256(f"{KEY}|{kind}|{i}|{other}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        if i % 2:
+            a = (a + h(b)) % sizes[0]
+        else:
+            b = (b + h(a)) % sizes[1]
+    return a, b
+
+
+def refill(form: str, fill: str, change=str.isdigit) -> str:
+    new = iter(fill)
+    return "".join(next(new) if change(c) else c for c in form)
+
+
+def luhn_digit(payload: str) -> str:
+    total = 0
+    for k, c in enumerate(reversed(payload)):
+        d = int(c) * (2 if k % 2 == 0 else 1)
+        total += d - 9 if d > 9 else d
+    return str(-total % 10)
+
+
+def card(m: str) -> str:
+    d = "".join(filter(str.isdigit, m))
+    y = d[0] + chars(d[1:-1], pii.DIGITS, "card")
+    return refill(m, y + luhn_digit(y))
+
+
+def email(m: str) -> str:
+    head, _, last = m.lower().rpartition(".")
+    plain = [c for c in head if c.isascii() and c.isalnum()]
+    return refill(head + ".", chars("".join(plain), pii.ALNUM, "email"), lambda c: c.isascii() and c.isalnum()) + last
+
+
+def ip(m: str) -> str:
+    o = [int(x) for x in m.split(".")]
+    a, b = sides(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "ip")
+    return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def ssn(m: str) -> str:
+    area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+    a, b = sides((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, (898 * 99, 9999), "ssn")
+    area = a // 99 + 1
+    return f"{area + (area >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+
+def date(m: str, form: str) -> str:
+    first = datetime.date(1700, 1, 1)
+    n = (datetime.datetime.strptime(m, form).date() - first).days
+    a, b = sides(n // 699, n % 699, pii.DATE_SIDES, "date")
+    return (first + datetime.timedelta(days=a * 699 + b)).strftime(form)
+
+
+def phone(m: str) -> str:
+    d = "".join(filter(str.isdigit, m))
+    t = d[-10:]
+    y = chars(t[1:3] + t[4:], pii.DIGITS, "phone")
+    return refill(m, d[:-10] + t[0] + y[:2] + t[3] + y[2:])
+
+
+def iban(m: str) -> str:
+    d = m.replace(" ", "")
+    y = refill(d[4:], chars("".join(filter(str.isdigit, d[4:])), pii.DIGITS, "iban"))
+    number = "".join(str(int(c, 36)) for c in y + d[:2] + "00")
+    return refill(m, f"{d[:2]}{98 - int(number) % 97:02d}{y}", lambda c: c != " ")
+
+
+def secret(m: str) -> str:
+    return chars(m.lower(), pii.HEX, "secret")
+
+
+def test_values_of_each_kind_are_the_plain_network_s(spark):
+    values = [
+        ("4944339490429605", card), ("4944-3394-9042-9605", card), ("3782 822463 10005", card), ("a.b+c@mail8.example.co.uk", email), ("X@1.2b.c3.org", email),
+        ("70.123.182.155", ip), ("123-45-6789", ssn), ("898-01-0001", ssn), ("2024-02-29", lambda m: date(m, "%Y-%m-%d")), ("29.02.2024", lambda m: date(m, "%d.%m.%Y")),
+        ("31/01/1999", lambda m: date(m, "%d/%m/%Y")), ("(988) 555-2485", phone), ("988-555-2485", phone), ("DE89370400440532013000", iban), ("GB82 WEST 1234 5698 7654 32", iban),
+    ]
+    rows = [(i, f"so {m} it is") for i, (m, _) in enumerate(values)] + [(99, "token: 24be64439e3e49cf"), (98, "key=abcdefab")]
+    got = {r.doc_id: r for r in pii.with_pseudonyms(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for i, (m, plain) in enumerate(values):
+        assert got[i].text == f"so {plain(m)} it is" and got[i].n_replaced == 1, m
+    assert got[99].text == f"token: {secret('24be64439e3e49cf')}" and got[98].text == f"key={secret('abcdefab')}"
+
+
+SIZE = 60_000
+LONG = {
+    "domain": "x@" + "a." * (SIZE // 2) + "com", "no last label": "x@" + "1." * (SIZE // 2), "signs": "a@" * (SIZE // 2), "digits": "9" * SIZE, "spaced": "1 " * (SIZE // 2),
+    "hyphened": "1-" * (SIZE // 2), "zeros": "0000 " * (SIZE // 5), "hex": "key=" + "af" * (SIZE // 2), "blanks": " " * SIZE, "local": "b" * SIZE + "@c.com", "addresses": "ab@cd.com " * (SIZE // 10),
+    "points": "1." * (SIZE // 2), "letters": "DE89" + "A" * SIZE, "groups": "DE89 " + "3704 " * (SIZE // 5), "cards": "4944339490429605 " * (SIZE // 17), "brackets": "(" * SIZE, "phones": "988-555-2485 " * (SIZE // 13),
+}
+
+
+def test_long_input_of_each_kind(spark):
+    df = spark.createDataFrame([(k, v) for k, v in LONG.items()] + [(None, None), ("empty", "")], "doc_id string, text string")
+    got = {r.doc_id: r for r in pii.with_pseudonyms(df, KEY).collect()}
+    assert all(len(got[k].text) == len(v) for k, v in LONG.items()) and got[None].text is None and got["empty"].text == ""
+    for k in ("no last label", "signs", "digits", "spaced", "hyphened", "blanks", "local", "points", "letters", "groups", "brackets"):
+        assert got[k].text == LONG[k] and got[k].n_replaced == 0, k
+    for k, n in {"domain": 1, "zeros": SIZE // 20, "hex": 1, "addresses": SIZE // 10, "cards": SIZE // 17, "phones": SIZE // 13}.items():
+        assert got[k].n_replaced == n, k
+    assert got["cards"].text.split() == [card("4944339490429605")] * (SIZE // 17)
+
+
+def test_addresses_end_where_they_should(spark):
+    texts = ["a@b.com.", "a@b.com.2", "a@b.1.com-x", "a@1and1.co.uk,", "a@b", "a@b.c", "@b.com", f"{'l' * 64}@b.com", f"{'l' * 65}@b.com", "a@b-c.de a@b.com"]
+    got = [r.text for r in pii.with_pseudonyms(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert got == [email("a@b.com") + ".", email("a@b.com") + ".2", email("a@b.1.com") + "-x", email("a@1and1.co.uk") + ",", "a@b", "a@b.c", "@b.com", email(f"{'l' * 64}@b.com"), f"{'l' * 65}@b.com", email("a@b-c.de") + " " + email("a@b.com")]
+
+
+def test_stage_and_clashing_names(spark):
+    rows = [(1, "mail a@bc.com", "en", "s", 99, 7, "p"), (1, "mail a@bc.com", "en", "s", 99, 7, "p"), (None, None, None, None, None, None, None), (2, "", "en", None, 0, 1, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_replaced int, _pii string")
+    out = pii.pii_stage(spark, docs, "")
+    assert out.columns == docs.columns and out.schema["n_replaced"].dataType == docs.schema["n_replaced"].dataType
+    got = sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    assert [tuple(r)[3:] for r in got] == [("s", 13, 7, "p")] * 2 + [(None, 0, 1, "q"), (None, None, None, None)]
+    assert got[0].text == got[1].text != "mail a@bc.com" and pii.with_pseudonyms(docs, KEY).columns[-1] == "n_replaced"
+    assert pii.pii_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_key_is_drawn_once_or_set(spark):
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 64
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.key_of(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    one = lambda key: pii.with_pseudonyms(spark.createDataFrame([(1, "4944339490429605")], "doc_id long, text string"), key).first().text
+    assert one("k1") != one("k2") == one("k2")
+
+
+@pytest.mark.parametrize("text", ["4944339490429605 12/27", "order 12 4944339490429605", "12 4944 3394 9042 9605 123"])
+def test_n_replaced_counts_what_changed(spark, text):
+    assert spark.createDataFrame([(text,)], "text string").select(pii.pseudonymised("text", KEY).alias("x")).select(F.col("x.n")).first()[0] == 1

@@ -16,11 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is named (a local test) is one made here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given as its checkpoint folder.
+
+    A session on one machine without either gets a folder here; on a cluster that is an error, for executors would write to
+    disks of their own.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='winnow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='winnow-')}")
+        base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -35,6 +42,15 @@ def saved(df: DataFrame, label: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,9 +8,13 @@ document and different values stay different; check digits are computed anew.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.llm.common import free_name
+
 ROUNDS = 10
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 #: 400 years of the Gregorian calendar have 146097 = 209 * 699 days, whatever day they begin with.
@@ -18,7 +22,10 @@ FIRST_DAY, DATE_SIDES = "1700-01-01", (209, 699)
 #: The other days of the years 1 to 9999: 620547 before and the rest after, 3505962 = 762 * 4601 in all.
 DAYS_BEFORE, OTHER_SIDES = 620_547, (762, 4601)
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
+#: Up to 64 characters before the sign (RFC 5321). Groups repeat possessively, which Java does in a loop: others recurse, and overflow
+#: the stack on long input. A label may be followed by labels that can't be the last; it goes on where two letters follow a point.
+LOCAL = r"[A-Za-z0-9._%+-]{1,64}+@"
+EMAIL = rf"(?<![A-Za-z0-9._%+-]){LOCAL}(?:[A-Za-z0-9-]++(?:\.(?![A-Za-z]{{2}})[A-Za-z0-9-]++)*+\.(?=[A-Za-z]{{2}}))++[A-Za-z]{{2,}}+"
 SECRET = r"(?<=(?:password|passwd|secret|token|key)[ \t]{0,3}[=:][ \t]{0,3}[\"']{0,1})[0-9A-Fa-f]{8,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -27,11 +34,12 @@ PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 #: What can stand beside a card and begins with digits, but has other characters than a run of digits.
-BESIDE = r"[ -](?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9]|[/.-][0-9])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|[/.-][0-9])|(?=[0-9 -]{0,8}[.(])(?:1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|[A-Za-z0-9._%+-]++@)"
+BESIDE = r"[ -](?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9]|[/.-][0-9])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|[/.-][0-9])|(?=[0-9 -]{0,8}[.(])(?:1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|" + LOCAL + ")"
 #: Digits with single spaces or hyphens: a card with whatever numbers stand around it.
 RUN = rf"(?<![0-9.])[0-9](?:(?!{BESIDE})[ -]?[0-9]){{12,}}+"
-#: Layouts of cards, tried at each number of a run.
-LAYOUTS = ["[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}"]
+#: Digits of the numbers that a card is written as; an unbroken one has 13 to 19. The first layout that gives a valid card counts.
+LAYOUTS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)]
+BLOCK = 256
 FOUND = "|".join([EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, RUN])
 LEFT = "|".join([DATE, SSN, PHONE, CARD])
 
@@ -47,12 +55,15 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def chars_feistel(x: str, alphabet: str, kind: str, key: str) -> str:
-    """The string x over the alphabet, permuted among the strings of its length; under two characters it stays."""
+    """The string x over the alphabet, permuted among the strings of its length; under two characters it stays.
+
+    Works in time in proportion to the length: characters are parted once a round, and the hash's digits come round again after 32.
+    """
     r = len(alphabet)
 
     def shifted(side: str, other: str) -> str:
-        one = f"substr('{alphabet}', cast(pmod(instr('{alphabet}', substr({side}, j, 1)) - 1 + cast(conv(substr(h, 4 * ((j - 1) % 32) + 1, 4), 16, 10) as bigint), {r}) as int) + 1, 1)"
-        return _let("h", f"sha2(concat({_text(key + '|' + kind + '|')}, i, '|', {other}), 512)", f"array_join(transform(sequence(1, length({side})), j -> {one}), '')")
+        one = f"substr('{alphabet}', cast(pmod(instr('{alphabet}', c) - 1 + cast(conv(substr(h, 4 * (j % 32) + 1, 4), 16, 10) as bigint), {r}) as int) + 1, 1)"
+        return _let("h", f"sha2(concat({_text(key + '|' + kind + '|')}, i, '|', {other}), 512)", f"array_join(transform(split({side}, ''), (c, j) -> {one}), '')")
 
     step = f"if(i % 2 = 1, named_struct('a', {shifted('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {shifted('s.b', 's.a')}))"
     walk = f"aggregate(sequence(1, {ROUNDS}), named_struct('a', left(x, cast(length(x) div 2 as int)), 'b', substr(x, cast(length(x) div 2 as int) + 1)), (s, i) -> {step}, s -> concat(s.a, s.b))"
@@ -66,10 +77,9 @@ def sides_feistel(a: str, b: str, sides: tuple[int, int], kind: str, key: str) -
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint)), (s, i) -> {step})"
 
 
-def refilled(form: str, fill: str, keep: str = "[^0-9]") -> str:
-    """form with its characters outside the class `keep` replaced, in order, by those of fill."""
-    step = f"if(c rlike '^{keep}$', named_struct('o', concat(q.o, c), 'k', q.k), named_struct('o', concat(q.o, substr(f, q.k, 1)), 'k', q.k + 1))"
-    return _let("f", fill, f"aggregate(split({form}, ''), named_struct('o', '', 'k', 1), (q, c) -> {step}, q -> q.o)")
+def refilled(form: str, fill: str, change: str = "[0-9]") -> str:
+    """form with its characters of the class `change` replaced, in order, by those of fill."""
+    return _let("f", f"split({fill}, '')", f"array_join(transform(split({form}, '{change}', -1), (c, k) -> concat(c, coalesce(get(f, k), ''))), '')")
 
 
 def luhn_digit(payload: str) -> str:
@@ -84,7 +94,7 @@ def mod_97(chars: str) -> str:
 
 def _email(key: str) -> str:
     at = "length(m) - length(substring_index(m, '.', -1))"  # what comes before the last label changes
-    return _let("e", f"lower(left(m, {at}))", f"concat({refilled('e', chars_feistel('regexp_replace(e, ' + _text('[^a-z0-9]') + ', ' + _text('') + ')', ALNUM, 'email', key), '[^a-z0-9]')}, lower(substring_index(m, '.', -1)))")
+    return _let("e", f"lower(left(m, {at}))", f"concat({refilled('e', chars_feistel('regexp_replace(e, ' + _text('[^a-z0-9]') + ', ' + _text('') + ')', ALNUM, 'email', key), '[a-z0-9]')}, lower(substring_index(m, '.', -1)))")
 
 
 def _card(key: str) -> str:
@@ -104,7 +114,7 @@ def _iban(key: str) -> str:
     moved = refilled("substr(d, 5)", chars_feistel("regexp_replace(substr(d, 5), '[^0-9]', '')", DIGITS, "iban", key))
     check = f"lpad(cast(98 - {mod_97('concat(y, left(d, 2), ' + _text('00') + ')')} as string), 2, '0')"
     whole = _let("y", moved, f"concat(left(d, 2), {check}, y)")
-    return _let("d", "regexp_replace(m, ' ', '')", refilled("m", whole, " "))
+    return _let("d", "regexp_replace(m, ' ', '')", refilled("m", whole, "[^ ]"))
 
 
 def _ip(key: str) -> str:
@@ -152,22 +162,39 @@ def pseudonym(key: str) -> str:
     return "case " + " ".join(f"when {when} then {then}" for when, then in cases) + " else m end"
 
 
+def _cards(nums: str) -> str:
+    """SQL for the array of (at, n) of the valid cards among the numbers, from left to right: n numbers from the place at on."""
+    part = lambda k: f"coalesce(get({nums}, j + {k}), '')" if k else "x"
+    cases = "when length(x) between 13 and 19 and luhn_check(x) then 1 "
+    for layout in LAYOUTS:
+        fits = " and ".join(f"length({part(k)}) = {n}" for k, n in enumerate(layout))
+        cases += f"when {fits} and luhn_check(concat({', '.join(part(k) for k in range(len(layout)))})) then {len(layout)} "
+    valid = f"filter(transform({nums}, (x, j) -> named_struct('at', j, 'n', case {cases}else 0 end)), v -> v.n > 0)"
+    # taken block by block: a growing array is copied at each step
+    nothing = "cast(array() as array<struct<at:int,n:int>>)"
+    inner = f"aggregate(block, named_struct('out', {nothing}, 'next', o.next), (s, v) -> if(v.at < s.next, s, named_struct('out', concat(s.out, array(v)), 'next', v.at + v.n)))"
+    outer = _let("q", inner, "named_struct('out', concat(o.out, array(q.out)), 'next', q.next)")
+    blocks = f"transform(sequence(0, cast(size(vs) div {BLOCK} as int)), b -> slice(vs, b * {BLOCK} + 1, {BLOCK}))"
+    return _let("vs", valid, f"aggregate({blocks}, named_struct('out', array({nothing}), 'next', 0), (o, block) -> {outer}, o -> flatten(o.out))")
+
+
 def _pieces(m: str) -> str:
     """SQL for the found string m in pieces, structs (old, value): of a run of digits its cards and what stands between them.
 
     The first valid card of a layout is taken, then the next after it. What is left is searched for the other kinds of
     numbers and for cards parted in another way.
     """
-    layouts = "concat(" + ", ".join(f"regexp_extract_all(s.rest, {_text(f'(?<![0-9])(?=({x})(?![0-9]))')}, 1)" for x in LAYOUTS) + ")"
-    at = "regexp_instr(s.rest, concat('(?<![0-9])', c, '(?![0-9])'))"
-    valid = f"transform(filter({layouts}, c -> luhn_check(regexp_replace(c, '[^0-9]', ''))), (c, k) -> named_struct('at', {at}, 'k', k, 'c', c))"
-    taken = "named_struct('out', concat(s.out, array(named_struct('old', left(s.rest, b.at - 1), 'card', false), named_struct('old', b.c, 'card', true))), 'rest', substr(s.rest, b.at + length(b.c)))"
-    step = _let("b", f"array_min({valid})", f"if(b is null, s, {taken})")
-    start = "named_struct('out', cast(array() as array<struct<old:string,card:boolean>>), 'rest', m)"
-    cards = f"aggregate(sequence(1, cast(length(m) div 13 as int)), {start}, (s, i) -> {step}, s -> concat(s.out, array(named_struct('old', s.rest, 'card', false))))"
+    # r.nums[j] is followed by r.gaps[j]; what stands between cards k - 1 and k begins with the gap after card k - 1
+    # numbers are looked up one by one: slice() copies the whole array each time
+    upto = lambda u, v: f"array_join(transform(if({v} > {u}, sequence({u}, {v} - 1), cast(array() as array<int>)), j -> concat(get(r.nums, j), coalesce(get(r.gaps, j), ''))), '')"
+    end = "coalesce(get(cs, k - 1).at + get(cs, k - 1).n, 0)"
+    between = f"concat(if(k > 0, coalesce(get(r.gaps, {end} - 1), ''), ''), {upto(end, 'coalesce(get(cs, k).at, size(r.nums))')})"
+    card = f"concat({upto('get(cs, k).at', 'get(cs, k).at + get(cs, k).n - 1')}, get(r.nums, get(cs, k).at + get(cs, k).n - 1))"
     left = _text(LEFT)
-    rest = f"flatten(transform(split(p.old, {left}, -1), (x, k) -> array(named_struct('old', x, 'value', false), named_struct('old', coalesce(get(regexp_extract_all(p.old, {left}, 0), k), ''), 'value', true))))"
-    run = f"flatten(transform({cards}, p -> if(p.card, array(named_struct('old', p.old, 'value', true)), {rest})))"
+    rest = f"flatten(transform(split(o, {left}, -1), (x, q) -> array(named_struct('old', x, 'value', false), named_struct('old', coalesce(get(vs, q), ''), 'value', true))))"
+    rest = _let("o", between, _let("vs", f"regexp_extract_all(o, {left}, 0)", rest))
+    both = f"concat({rest}, if(k < size(cs), array(named_struct('old', {card}, 'value', true)), cast(array() as array<struct<old:string,value:boolean>>)))"
+    run = _let("r", "named_struct('nums', split(m, '[ -]'), 'gaps', regexp_extract_all(m, '[ -]', 0))", _let("cs", _cards("r.nums"), f"flatten(transform(sequence(0, size(cs)), k -> {both}))"))
     return _let("m", m, f"if(m rlike '^[0-9]([ -]?[0-9]){{12,}}+$', {run}, array(named_struct('old', m, 'value', true)))")
 
 
@@ -180,25 +207,41 @@ def pseudonymised(text: str, key: str) -> Column:
     pair = f"named_struct('parts', split({text}, {found}, -1), 'vals', {values})"
     whole = _let("r", pair, f"named_struct('text', {joined}, 'n', size(filter(flatten(r.vals), v -> v.old <> v.new)))")
     none = f"named_struct('text', {text}, 'n', 0)"
-    return F.expr(f"if({text} rlike '[0-9@]', {whole}, {none})")
+    return F.expr(f"if({text} rlike '[0-9@=:]', {whole}, {none})")
 
 
-def with_pseudonyms(docs: DataFrame, key: str = "winnow") -> DataFrame:
+#: The setting that names the key. It is a secret; spark.redaction.string.regex keeps it out of printed plans.
+KEY_SETTING = "spark.winnow.pii.key"
+_drawn: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key in KEY_SETTING; where it is unset a random one, drawn once for each application: values are then linked within it alone."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced and n_replaced added (an input column of that name is replaced).
 
-    Works on whole texts. A null or empty text stays as it is; values that aren't valid stay; every row is kept.
+    Works on whole texts of any length. A null or empty text stays as it is; values that aren't valid stay; every row is kept,
+    repeated rows too, and so are all other columns, whatever their names. No rows: no rows.
     """
-    names = [c for c in docs.columns if c != "n_replaced"]
-    done = docs.select(*names, pseudonymised("text", key).alias("_pii"))
-    return done.select(*[F.col("_pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce("_pii.n", F.lit(0)).alias("n_replaced"))
+    names, pii = [c for c in docs.columns if c != "n_replaced"], free_name(docs, "pii")
+    done = docs.select(*[F.col(f"`{c}`") for c in names], pseudonymised("text", key).alias(pii))
+    return done.select(*[F.col(f"{pii}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(f"{pii}.n", F.lit(0)).alias("n_replaced"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text with pseudonyms, n_replaced of every document."""
-    return with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """doc_id, text with pseudonyms, n_replaced of every document, under the session's key."""
+    return with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key_of(spark))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, their texts with pseudonyms and n_chars counted anew."""
-    done = with_pseudonyms(docs)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Pipeline stage: all documents, their texts with pseudonyms and n_chars counted anew (null for a null text).
+
+    Every row stays, nulls, empty texts and repeated rows too; columns beyond those of documents stay as they are.
+    """
+    pii = free_name(docs, "pii")
+    done = docs.select(*[F.col(f"`{c}`") for c in docs.columns], pseudonymised("text", key_of(spark)).alias(pii))
+    new = {"text": F.col(f"{pii}.text"), "n_chars": F.length(f"{pii}.text").cast("long")}
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
