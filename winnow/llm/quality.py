@@ -21,23 +21,19 @@ from pyspark.sql import functions as F
 from winnow.llm.common import as_bytes, held_out, mixed, slices
 
 GRAMS = (3, 4)
-BITS = 13
-LONGEST_WORD = 64
+BITS = 16
 SPACES = [b"\x20", b"\x09", b"\x0a", b"\x0b", b"\x0c", b"\x0d"]
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
+LEAST_DEVIATION = 3e-3  # about once in 300 words; without it rare n-grams would count for more than they tell
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_PROBABILITY = 50, 50, 0.5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def word_features(word: bytes) -> list[int]:
-    """Hashed features of one word, with repeats."""
+    """Hashed features of one word, with repeats, however long it is."""
     crc, shift = zlib.crc32, 32 - BITS
-    out = [crc(b"\x03" + word) >> shift]
-    if len(word) <= LONGEST_WORD:
-        edged = b"\x01" + word + b"\x02"
-        for n in GRAMS:
-            out += [crc(edged[i : i + n]) >> shift for i in range(len(edged) - n + 1)]
-    return out
+    edged = b"\x01" + word + b"\x02"
+    return [crc(b"\x03" + word) >> shift] + [crc(edged[i : i + n]) >> shift for n in GRAMS for i in range(len(edged) - n + 1)]
 
 
 class Words(dict):
@@ -74,9 +70,10 @@ def repeated_words(numbers: np.ndarray) -> int:
     n = len(numbers)
     if n < 4:
         return 0
-    if numbers.max() >= 1 << 21:
-        numbers = np.unique(numbers, return_inverse=True)[1]
-    windows = numbers[:-2] << 42 | numbers[1:-1] << 21 | numbers[2:]
+    # pairs are numbered first, so that windows of whatever many words fit 64 bits
+    span = int(numbers.max()) + 1
+    pairs = np.unique(numbers[:-1] * span + numbers[1:], return_inverse=True)[1]
+    windows = pairs[:-1] * span + numbers[2:]
     order = windows.argsort(kind="stable")
     same = windows[order[1:]] == windows[order[:-1]]
     again = np.zeros(n - 2, bool)
@@ -107,72 +104,110 @@ class QualityModel:
 NO_MODEL = QualityModel(np.zeros(1 << BITS), 0.0, 0.0, 60.0)
 
 
-def frequencies(texts: list[bytes]) -> np.ndarray:
-    words, cache = Words(), {}
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        found = text.split()
-        if not found:
-            continue
-        numbers = words.of(found)
-        for w in found:
-            if w not in cache:
-                cache[w] = word_features(w)
-        row += np.bincount(np.fromiter((f for w in found for f in cache[w]), np.int64), minlength=1 << BITS)
-        row += np.bincount(pair_features(words.hashes[numbers]), minlength=1 << BITS)
-        row /= len(found)
-    return out
-
-
-def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
+@dataclass
+class Rows:
+    """Texts as sparse rows: of text i the columns and their frequencies stand from ends[i] to ends[i + 1]."""
+
+    columns: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        pick = lambda k, t: np.concatenate([np.zeros(0, t), *(p[k] for p in parts)])
+        return Rows(pick(0, np.int32), pick(1, np.float32), np.cumsum([0, *(len(p[0]) for p in parts)]))
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0.0], np.cumsum(self.values * w[self.columns], dtype=float)))
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
+
+    def gradient(self, e: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.columns, self.values * np.repeat(e, np.diff(self.ends)), width)
+
+
+def frequencies(text: bytes, words: Words, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, frequency of each per word) of a text; known keeps words' features from text to text."""
+    found = text.split()
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    if len(known) > 100_000:
+        known.clear()
+    for w in found:
+        if w not in known:
+            known[w] = word_features(w)
+    numbers = words.of(found)
+    single = np.fromiter((f for w in found for f in known[w]), np.int64)
+    columns, n = np.unique(np.concatenate((single, pair_features(words.hashes[numbers]))), return_counts=True)
+    return columns.astype(np.int32), (n / len(found)).astype(np.float32)
+
+
+def _descend(margins, gradient, width: int, y: np.ndarray, weight: np.ndarray, decay: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
     """Weighted L2 logistic regression by full-batch Adam; the last entry is the bias."""
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(width + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = x @ w[:-1].astype(x.dtype) + w[-1]
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(x.T @ e.astype(x.dtype) + decay * w[:-1], e.sum())
+        e = weight * (1 / (1 + np.exp(-np.clip(margins(w[:-1]) + w[-1], -30, 30))) - y)
+        grad = np.append(gradient(e) + decay * w[:-1], e.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[bytes], good: np.ndarray, calibrate: np.ndarray) -> QualityModel:
-    """good: 0 or 1; calibrate: which texts serve the calibration alone. Without both labels among either part: see NO_MODEL."""
-    if len(set(good[~calibrate].tolist())) < 2:
-        return NO_MODEL
-    x = frequencies(texts)
-    train = ~calibrate
-    mean, std = x[train].mean(axis=0), x[train].std(axis=0) + 1e-4
-    x -= mean
-    x /= std
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, calibrate: np.ndarray) -> QualityModel:
+    """texts: frequencies() of each; good: 0 or 1; calibrate: which texts serve the calibration alone.
+
+    Columns are scaled by their deviation. Without both labels among the rows to train on: see NO_MODEL.
+    """
+    width, at = 1 << BITS, np.flatnonzero(~calibrate)
     y = good.astype(float)
-    share = y[train].mean()
-    weight = np.where(y[train] == 1, 0.5 / share, 0.5 / (1 - share)) / train.sum()
-    w, b = _descend(x[train], y[train], weight, 1e-3, 150, 0.01)
-    margins = x @ w.astype(x.dtype) + b
-    at = calibrate if len(set(good[calibrate].tolist())) == 2 else train
-    n1, n0 = y[at].sum(), (1 - y[at]).sum()
-    smooth = np.where(y[at] == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # Platt's targets
-    slope, shift = _descend(margins[at][:, None].astype(float), smooth, np.full(at.sum(), 1 / at.sum()), 0.0, 800, 0.05)
-    raw = (w / std).astype(float)
-    return QualityModel(raw, float(b - (raw * mean).sum()), max(0.0, float(slope[0])), shift)
+    if len(set(good[at].tolist())) < 2:
+        return NO_MODEL
+    train = Rows.of([texts[i] for i in at])
+    mean = train.gradient(np.ones(len(at)), width) / len(at)
+    square = np.bincount(train.columns, train.values.astype(float) ** 2, width) / len(at)
+    std = np.sqrt(np.maximum(0, square - mean**2)) + LEAST_DEVIATION
+    train.values = (train.values / std[train.columns]).astype(np.float32)
+    share = y[at].mean()
+    weight = np.where(y[at] == 1, 0.5 / share, 0.5 / (1 - share)) / len(at)
+    centre = mean / std
+    w, b = _descend(lambda w: train.margins(w) - centre @ w, lambda e: train.gradient(e, width) - centre * e.sum(), width, y[at], weight, 1e-3, 150, 0.01)
+    raw, b = w / std, b - float(centre @ w)
+    on = np.flatnonzero(calibrate) if len(set(good[calibrate].tolist())) == 2 else at
+    margins = Rows.of([texts[i] for i in on]).margins(raw) + b
+    n1, n0 = y[on].sum(), (1 - y[on]).sum()
+    smooth = np.where(y[on] == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # Platt's targets
+    slope, shift = _descend(lambda s: margins * s[0], lambda e: np.array([(margins * e).sum()]), 1, smooth, np.full(len(on), 1 / len(on)), 0.0, 800, 0.05)
+    return QualityModel(raw, b, max(0.0, float(slope[0])), shift)
+
+
+def _vectors(sample: DataFrame) -> DataFrame:
+    """(quality, calibrate, columns, values) of each text of the sample: 32-bit integers and floats, at most 2^BITS of each."""
+
+    def run(batches):
+        words, known = Words(), {}
+        for batch in slices(batches):
+            found = [frequencies(x, words, known) for x in as_bytes(batch.column("text"))]
+            data = [pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("calibrate"), *data], names=["quality", "calibrate", "columns", "values"])
+
+    return sample.mapInArrow(run, "quality int, calibrate boolean, columns binary, values binary")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, max_low: int = 1200, max_good: int = 1800) -> QualityModel:
     """Fit on at most so many labelled rows of each label: those whose id has the smallest hash.
 
     A fifth of them (crc32 of the id) serves the calibration. Each label has its own bound, so the calibrated odds are
-    corrected by the labels' true shares. Ids labelled twice count as low if any label says so; null labels are not used.
+    corrected by the labels' true shares. Ids labelled twice count as low if any label says so; of an id's several texts the
+    greatest counts; null labels, ids and texts are not used. The driver gets no text, only the sample's frequencies.
     """
-    by_id = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    by_id = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     key = F.xxhash64("doc_id")
     pick = lambda value, most: by_id.where(F.col("quality") == value).orderBy(key, "doc_id").limit(most)
-    chosen = pick(0, max_low).unionAll(pick(1, max_good))
+    chosen = F.broadcast(pick(0, max_low).unionAll(pick(1, max_good)))  # at most as many rows as the two bounds
     texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
-    rows = texts.select("quality", held_out("doc_id").alias("calibrate"), "text").toArrow()
-    good, calibrate = np.array(rows["quality"].to_pylist(), int), np.array(rows["calibrate"].to_pylist(), bool)
-    model = fit(as_bytes(rows["text"]), good, calibrate) if len(good) else NO_MODEL
+    rows = _vectors(texts.select("quality", held_out("doc_id").alias("calibrate"), "text")).orderBy("quality", "calibrate", "columns", "values").collect()
+    good, calibrate = np.array([r.quality for r in rows], int), np.array([r.calibrate for r in rows], bool)
+    model = fit([(np.frombuffer(r.columns, np.int32), np.frombuffer(r["values"], np.float32)) for r in rows], good, calibrate) if rows else NO_MODEL
     counts = dict(by_id.groupBy("quality").count().collect())
     if model is NO_MODEL or not counts.get(0) or not counts.get(1):
         return NO_MODEL
