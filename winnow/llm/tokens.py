@@ -14,8 +14,12 @@ from codecs import charmap_decode
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from winnow.llm.common import as_bytes, slices
 
 END_ID = 2
 PART = b" \x01 "
@@ -128,3 +132,17 @@ def encoder_of(sent: Broadcast) -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(sent.value)
     return _ENCODERS[key]
+
+
+def token_counts(docs: DataFrame, columns: list[str], tokenizer: str | None = None) -> DataFrame:
+    """The named columns of docs, which don't include text, and n_tokens: the text's ids and an end id. Null counts as empty."""
+    sent = send_tokenizer(docs.sparkSession, tokenizer)
+    slim = docs.select(*columns)
+
+    def run(batches):
+        encoder = encoder_of(sent)
+        for batch in slices(batches):
+            n = [len(x) // 4 + 1 for x in encoder.encode(as_bytes(batch.column(batch.num_columns - 1)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*slim.columns, "n_tokens"])
+
+    return docs.select(*columns, "text").mapInArrow(run, slim.limit(0).withColumn("n_tokens", F.lit(0).cast("long")).schema)
