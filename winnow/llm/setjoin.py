@@ -22,10 +22,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.common import WordHashes, as_bytes, mixed, saved, shingle_hashes, slices
+from winnow.llm.common import WordHashes, as_bytes, free_name, mixed, saved, shingle_hashes, slices
 from winnow.llm.components import connected
 
 TOKENS = 64
@@ -119,6 +119,13 @@ def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("node", "cls", "tokens").mapInArrow(run, "node long, cls binary")
 
 
+def _block_pairs(rows: DataFrame, parts: Column, columns: list[str]) -> DataFrame:
+    """(node, columns) of nodes too large for a task: their rows are dealt into parts, and each two parts meet as a node of their own."""
+    dealt = rows.select("node", *columns, parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("cls", "node"), "parts"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> other")
+    return each.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), *columns)
+
+
 def _nodes(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
     """(node, cls) of the nodes to compare, for all trees."""
     roots = classes.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(1, trees + 1)])).alias("node"), "cls", "tokens")
@@ -129,11 +136,8 @@ def _nodes(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
         met = saved(children.join(sizes, "node"), "nodes")
         small = met.where(F.col("n") <= LARGEST_NODE).select("node", "cls")
         large = met.where(F.col("n") > LARGEST_NODE)
-        if depth == DEPTH:  # a crowd that stays together: dealt into parts, and each two parts are compared as one node
-            parts = F.ceil(2 * F.col("n") / LARGEST_NODE)
-            dealt = large.select("node", "cls", parts.alias("parts"), F.pmod(F.xxhash64("cls", "node"), parts).alias("part"))
-            each = dealt.select("node", "cls", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).where("part <> other")
-            small = small.unionAll(each.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "cls"))
+        if depth == DEPTH:  # a crowd that stays together
+            small = small.unionAll(_block_pairs(large, F.ceil(2 * F.col("n") / LARGEST_NODE), ["cls"]))
         leaves = small if leaves is None else leaves.unionAll(small)
         if depth == DEPTH or large.isEmpty():
             return leaves
@@ -292,8 +296,11 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int, trees:
     fits = (F.col("n") <= LARGEST_NODE) & (F.col("total") <= LARGEST_CROWD)
     sets = saved(_sets(docs, members.select("cls", "doc_id", "text_key"), k).dropDuplicates(["cls"]), "sets")
     whole = members.join(sizes.where(fits), "crowd").select("crowd", "cls", "tokens")
-    # a crowd too large for a task is compared node by node instead
-    parts = leaves.join(members.join(sizes.where(~fits), "crowd").select("cls"), "cls", "left_semi").select(F.col("node").alias("crowd"), "cls", "tokens")
+    # a crowd too large for a task is compared node by node instead, and nodes of too many shingles block against block
+    own = leaves.join(members.join(sizes.where(~fits), "crowd").select("cls", "n_shingles"), "cls")
+    totals = own.join(own.groupBy("node").agg(F.sum("n_shingles").alias("total")), "node")
+    cut = _block_pairs(totals.where(F.col("total") > LARGEST_CROWD), F.ceil(2 * F.col("total") / LARGEST_CROWD), ["cls", "tokens"])
+    parts = totals.where(F.col("total") <= LARGEST_CROWD).select("node", "cls", "tokens").unionAll(cut).withColumnRenamed("node", "crowd")
     return saved(_confirmed(whole.unionAll(parts).join(sets, "cls"), least, percent), "near-links")
 
 
@@ -328,7 +335,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Five-word shingles, similarity 0.8. Documents without words all stay; of rows that repeat both id and text one stays.
     """
     found = near_duplicates(docs, k=5, percent=80)
-    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    of_id, of_key = free_name(keyed, "of_id"), free_name(keyed, "of_key")
+    keep = found.where("kept").select(F.col("doc_id").alias(of_id), F.col("text_key").alias(of_key)).distinct()
+    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)
