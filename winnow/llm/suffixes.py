@@ -23,7 +23,7 @@ K = 26  # so windows have MIN_WORDS - K + 1 k-mers
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 SEEDS = "seed long, text_id long, pos int"
-WINDOWS = "window long, text_id long, pos int, first int"
+WINDOWS = "window long, text_id long, least long, pos int, first int"
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def repeated_seeds(sorted_seeds: DataFrame) -> DataFrame:
 
 
 def windows(texts: DataFrame, k: int, w: int) -> DataFrame:
-    """Windows of k + w - 1 words of texts (text_id, text, at) whose minimiser is at one of the places `at`.
+    """Windows of k + w - 1 words of texts (text_id, text, least, at) whose minimiser is at one of the places `at`.
 
     first is the window's first place in its text.
     """
@@ -116,16 +116,17 @@ def windows(texts: DataFrame, k: int, w: int) -> DataFrame:
         hashes = WordHashes()
         for batch in slices(batches):
             out = []
-            for text_id, text, at in zip(batch.column("text_id").to_pylist(), as_bytes(batch.column("text")), batch.column("at").to_pylist(), strict=True):
+            for row, (text, at) in enumerate(zip(as_bytes(batch.column("text")), batch.column("at").to_pylist(), strict=True)):
                 h = hashes.of(text.split())
                 runs = window_hashes(h, k)
                 pos = np.flatnonzero(np.isin(_sliding(runs, w, np.minimum), runs[at]))
                 window = window_hashes(h, k + w - 1)[pos]
                 _, first, again = np.unique(window, return_index=True, return_inverse=True)
-                out.append((window, np.full(len(pos), text_id), pos, pos[first[again]]))
+                out.append((window, np.full(len(pos), row), pos, pos[first[again]]))
             if out:
-                window, ids, pos, first = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (window.view(np.int64), ids, pos.astype(np.int32), first.astype(np.int32))], names=["window", "text_id", "pos", "first"])
+                window, row, pos, first = (np.concatenate(c) for c in zip(*out, strict=True))
+                of = [batch.column(c).take(pa.array(row)) for c in ("text_id", "least")]
+                yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), *of, pa.array(pos.astype(np.int32)), pa.array(first.astype(np.int32))], names=["window", "text_id", "least", "pos", "first"])
 
     return texts.mapInArrow(run, WINDOWS)
 
@@ -133,16 +134,21 @@ def windows(texts: DataFrame, k: int, w: int) -> DataFrame:
 def _pairs(met: DataFrame) -> DataFrame:
     """Pairs of texts with a common window (a, b, at) from windows; at: sorted, the shift from a to b in the upper half of a long, a place in a in the lower.
 
-    Each window of a text meets the same window of the least text that has it; those of the least text meet the greatest.
+    A text's rank is the smallest id of a document that has it. Each window of a text meets the same window of the first text
+    that has it; those of the first text meet the second's.
     """
+    rank = F.struct(F.col("least").isNull().alias("unknown"), "least", "text_id", "first")
     # saved, so that the join deals windows itself and a very frequent one can be split over tasks
-    ends = saved(met.groupBy("window").agg(F.min("text_id").alias("lo"), F.min_by("first", "text_id").alias("lo_pos"), F.max("text_id").alias("hi"), F.max_by("first", "text_id").alias("hi_pos")).where("lo <> hi"), "ends")
-    least = F.col("text_id") == F.col("lo")
-    # the least text's first place is met by the others
-    linked = met.drop("first").join(ends, "window").where(~least | (F.col("pos") != F.col("lo_pos")))
-    place = F.when(least, F.col("pos")).otherwise(F.col("lo_pos")).cast("long")
-    there = F.when(least, F.col("hi_pos")).otherwise(F.col("pos")).cast("long")
-    tidy = linked.select(F.col("lo").alias("a"), F.when(least, F.col("hi")).otherwise(F.col("text_id")).alias("b"), (F.shiftleft(there - place, 32) + place).alias("at"))
+    ends = saved(met.groupBy("window").agg(F.min(rank).alias("lo"), F.min("text_id").alias("one"), F.max("text_id").alias("other")).where("one <> other").select("window", "lo"), "ends")
+    linked = met.join(ends, "window")
+    least = F.col("text_id") == F.col("lo.text_id")
+    second = saved(linked.where(~least).groupBy("window").agg(F.min(rank).alias("next")), "seconds")
+    long = lambda c: F.col(c).cast("long")
+    sides = [F.col("lo.text_id").alias("a"), F.col("text_id").alias("b"), long("lo.first").alias("place"), long("pos").alias("there")]
+    others = linked.where(~least).select(*sides)
+    # the second text's first place is met already
+    firsts = linked.where(least & (F.col("pos") != F.col("lo.first"))).join(second, "window").select("text_id", F.col("next.text_id").alias("b"), long("pos"), long("next.first"))
+    tidy = others.unionAll(firsts).select("a", "b", (F.shiftleft(F.col("there") - F.col("place"), 32) + F.col("place")).alias("at"))
     return tidy.groupBy("a", "b").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
 
@@ -193,22 +199,23 @@ def _extended(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
     """doc_id, start_word, end_word, n_words, other_id: the parts of each document that another document has too.
 
-    Words are parted at ASCII white space and compared as they are. Overlapping matches of a document are one part;
-    other_id is the smallest id of a document that a match of it was found in. Documents whose texts are equal as wholes and
-    have min_words or more are parts from end to end. Null and empty texts have no parts. Every row of docs is taken
-    as a document, also where ids repeat or are null; other_id is null if no document that has the match has an id.
+    Words are parted at ASCII white space and compared as they are. Overlapping matches of a document are one part; other_id
+    is the smallest id of another document that has a match of it. Documents whose texts are equal as wholes and have
+    min_words or more are parts from end to end. Null, empty and shorter texts have no parts; no rows: no parts. Every row of
+    docs is taken as a document, also where ids repeat or are null; other_id is null if no document that has the match has an
+    id. Texts are told apart by 64 bits of hashes; columns beyond doc_id and text aren't looked at.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     text_id = F.xxhash64(F.xxhash64("text"), F.hash("text"), F.length("text"))
     whole = docs.where("text is not null").select("doc_id", "text", text_id.alias("text_id"))
     rows = saved(whole.select("doc_id", "text_id", words.alias("words")), "rows")
-    kinds = saved(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.max("words").alias("words")), "kinds")
+    kinds = saved(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("words").alias("words")), "kinds")
 
     w = min_words - k + 1
     order = ["seed", "text_id"]
     seed = saved(seeds(whole, k, w), "seeds")
     again = repeated_seeds(seed.repartitionByRange(*order).sortWithinPartitions(*order)).groupBy("text_id").agg(F.collect_list("pos").alias("at"))
-    texts = saved(whole.select("text_id", "text").join(again, "text_id").dropDuplicates(["text_id"]), "texts")
+    texts = saved(whole.select("text_id", "text").join(again, "text_id").dropDuplicates(["text_id"]).join(kinds.select("text_id", "least"), "text_id"), "texts")
     pairs = saved(_pairs(saved(windows(texts, k, w), "windows")), "pairs")
     found = saved(_extended(pairs, texts, min_words), "matches")
 
@@ -221,9 +228,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
     parts = parts.groupBy("text_id", "part").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("least").alias("other_id"))
 
     alone = rows.join(parts.join(kinds.where("n = 1").select("text_id"), "text_id").select("text_id", "start_word", "end_word", "other_id"), "text_id")
-    copies = rows.join(kinds.where((F.col("n") > 1) & (F.col("words") >= min_words)).select("text_id", "least", "most"), "text_id")
-    other = F.when(F.col("doc_id") > F.col("least"), F.col("least")).otherwise(F.col("most"))
-    copies = copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), other.alias("other_id"))
+    many = rows.join(kinds.where((F.col("n") > 1) & (F.col("words") >= min_words)).select("text_id", "least"), "text_id")
+    second = many.where("doc_id > least").groupBy("text_id").agg(F.min("doc_id").alias("second"))
+    beyond = parts.groupBy("text_id").agg(F.min("other_id").alias("beyond"))  # what other texts have of it
+    copies = many.join(second, "text_id", "left").join(beyond, "text_id", "left")
+    own = F.when(F.col("doc_id") == F.col("least"), F.coalesce("second", "least")).otherwise(F.col("least"))
+    copies = copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.least(own, "beyond").alias("other_id"))
     out = alone.select("doc_id", "start_word", "end_word", "other_id").unionAll(copies)
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_id")
 
