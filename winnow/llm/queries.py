@@ -11,6 +11,7 @@ from winnow.llm.packing import op4_packing
 from winnow.llm.pii import op8_pii
 from winnow.llm.quality import op10_quality
 from winnow.llm.setjoin import op6_near_dedup
+from winnow.llm.sql import oracle_sql as _sql
 from winnow.llm.suffixes import op7_suffix_dedup
 from winnow.llm.syncmers import op3_fingerprints
 from winnow.llm.token_files import op2_token_files
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _sql()
