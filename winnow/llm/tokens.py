@@ -137,12 +137,13 @@ def encoder_of(sent: Broadcast) -> Encoder:
 def token_counts(docs: DataFrame, columns: list[str], tokenizer: str | None = None) -> DataFrame:
     """The named columns of docs, which don't include text, and n_tokens: the text's ids and an end id. Null counts as empty."""
     sent = send_tokenizer(docs.sparkSession, tokenizer)
-    slim = docs.select(*columns)
+    schema = docs.select(*columns).limit(0).withColumn("n_tokens", F.lit(0).cast("long")).schema
+    names = schema.names
 
     def run(batches):
         encoder = encoder_of(sent)
         for batch in slices(batches):
             n = [len(x) // 4 + 1 for x in encoder.encode(as_bytes(batch.column(batch.num_columns - 1)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*slim.columns, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=names)
 
-    return docs.select(*columns, "text").mapInArrow(run, slim.limit(0).withColumn("n_tokens", F.lit(0).cast("long")).schema)
+    return docs.select(*columns, "text").mapInArrow(run, schema)
