@@ -1,26 +1,16 @@
 """The corpus operators against brute force on small fixtures, with nulls, empty texts, ties and repeated rows."""
 
 import datetime
-import hashlib
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.fixtures import SCHEMA, prose
 from winnow.llm import common, mixing, packing, pii, quality, setjoin, suffixes, syncmers, token_files, tokens, toxicity, warc
 
-WORDS = [f"w{i}" for i in range(400)]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def prose(seed: int, n: int) -> str:
-    rng = np.random.default_rng(seed)
-    return " ".join(WORDS[i] for i in rng.integers(0, len(WORDS), n))
-
-
 @pytest.fixture(scope="module")
 def docs(spark):
     long = prose(1, 300).split()
@@ -270,21 +260,6 @@ def test_minimisers_cover_every_window():
     assert max(np.diff(at)) <= 25 and at[0] < 25 and at[-1] >= 275
 
 
-def test_fingerprints(docs):
-    got = syncmers.fingerprints(docs).collect()
-    rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
-    expected = Counter()
-    for k, (i, t) in enumerate(rows):
-        follow, half = rows[(k + 1) % len(rows)][1], len(t) // 2
-        expected[(i, len(t), hashlib.sha256((t[: len(t) - half] + follow[:half]).encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
-    by_id = {r.doc_id: r for r in got}
-    assert by_id[1].fingerprint == by_id[3].fingerprint != by_id[2].fingerprint
-    assert by_id[6].fingerprint == by_id[7].fingerprint == ""
-    assert by_id[3].near_next > 0.8 and all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
-    assert 0.3 < by_id[11].near_edited < 0.7
-
-
 def test_anchors_are_closed_and_context_free(spark):
     a, b, c = prose(21, 80), prose(22, 30), prose(23, 30)
     df = spark.createDataFrame([(1, a), (2, b + " " + a + " " + c)], "doc_id long, text string")
@@ -366,35 +341,6 @@ def test_feistel_is_a_bijection(spark):
     assert df.select("x").distinct().count() == 1000 == df.select("y").distinct().count()
 
 
-def test_mixing_plan():
-    stats = [("a", 900, 90), ("b", 90, 9), (None, 10, 1)]
-    shares = [0.01, 0.9, 0.09]
-    for limit in (1.5, 4.0):
-        planned = mixing.plan(stats, None, None, limit)
-        assert min(p[3] for p in planned) >= 1 and abs(max(p[3] for p in planned) - limit) < 1e-6
-    e = mixing.find_exponent(shares, target_entropy=0.8)
-    assert abs(mixing.entropy(mixing.tempered(shares, e)) - 0.8) < 1e-9
-    assert mixing.find_exponent(shares, target_entropy=9) == 0 and mixing.find_exponent(shares, target_entropy=0.01) == 1
-
-
-def test_mixing_stream(spark, docs):
-    out = mixing.assign(docs, max_repeats=1.7, block_tokens=500).collect()
-    words = Counter()
-    for i, t in rows_of(docs):
-        words[i] += len(t.split()) + 1
-    assert {r.doc_id for r in out} == {i for i, _ in rows_of(docs)}
-    spent, own, longest = Counter(), {}, {}
-    for r in out:
-        spent[r.source] += r.n_tokens * r.copies
-        own[r.source] = r.weight
-        longest[r.source] = max(longest.get(r.source, 0), r.n_tokens * r.copies)
-    budget = max(sum(n for i, n in words.items() if (i or 0) % 3 and s == "a" or not (i or 0) % 3 and s is None) / w for s, w in own.items())
-    for s, w in own.items():
-        assert w * budget - 1 <= spent[s] <= w * budget + longest[s]
-    assert mixing.mixed(docs).columns == [*docs.columns, "epoch", "block", "place"]
-    assert mixing.mixed(docs).where("doc_id = 13 and epoch = 0").count() == 2
-
-
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/b c", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://d", ""), (5, "http://e", "é\r\n\r\nz"), (None, "http://f", "<p>x</p>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
@@ -416,18 +362,6 @@ def test_arc_versions_and_kinds():
     assert dict(zip(warc.ARC_FIELDS[2], line.rstrip().rsplit(b" ", 9), strict=True))["URL"] == b"http://a b"
 
 
-def test_toxicity(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, prose(i, 60) + (f" {rng.choice(['vile', 'foulword'])}x" if i % 5 == 0 else "")) for i in range(600)]
-    docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (None, "vilex")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(600)] + [(None, 1, None)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit_on(docs, labels)
-    got = {r.doc_id: r.score for r in toxicity.scores(docs, model, "score").collect()}
-    assert got[1000] == got[1001] < 0.5 < got[None]
-    right = [(got[i] >= 0.5) == (i % 5 == 0) for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert np.mean(right) > 0.97
-
-
 def test_quality_counts_and_classifier(spark):
     texts = {i: (" ".join(w + ("*** &&&" if i % 4 == 0 else "") for w in prose(i, 80).split())) for i in range(300)}
     texts |= {1000: None, 1001: "", 1002: "a b\n\na b\na c a b d", 1003: "x y z " * 40}
@@ -452,12 +386,17 @@ def test_empty_tables(spark):
     assert packing.pack(none).count() == setjoin.near_duplicates(none).count() == suffixes.repeated_passages(none).count() == 0
     assert syncmers.fingerprints(none).count() == mixing.assign(none).count() == pii.with_pseudonyms(none, "k").count() == 0
     assert token_files.read_token_files(token_files.write_token_files(none, common.new_path(spark, "t"))).count() == 0
-    assert toxicity.scores(none, toxicity.fit([], [], 0.0)).count() == quality.rules(none, quality.NO_MODEL).count() == 0
+    assert toxicity.scores(none, toxicity.fit([], [], np.zeros(0, np.int32), 0.0)).count() == quality.rules(none, quality.NO_MODEL).count() == 0
 
 
 def test_clashing_columns(spark, docs):
     more = docs.withColumn("score", F.lit("x")).withColumn("cls", F.lit(1)).withColumn("n_replaced", F.lit("y")).withColumn("place", F.lit(2))
-    assert toxicity.scores(more, toxicity.fit([], [], 0.0), "score").columns[-1] == "score"
+    assert toxicity.scores(more, toxicity.fit([], [], np.zeros(0, np.int32), 0.0), "score").columns[-1] == "score"
     assert setjoin.near_dedup_stage(spark, more, "").columns == more.columns
     assert dict(pii.with_pseudonyms(more, "k").dtypes)["n_replaced"] == "int"
     assert packing.pack(more).count() > 0 and mixing.mixed(more).count() > 0
+    odd = docs.withColumns({c: F.lit(c) for c in ("_id", "_key", "_text_key", "_of_id", "_of_key", "_source", "_pii", "_toxicity", "_mix_place", "_mix_doc_id", "epoch", "block", "place", "node", "cls", "crowd")})
+    assert setjoin.near_dedup_stage(spark, odd, "").columns == odd.columns
+    for out in (mixing.mixing_stage(spark, odd, ""), toxicity.scores(odd, toxicity.fit([], [], np.zeros(0, np.int32), 0.0), "toxicity").drop("toxicity")):
+        assert out.columns == odd.columns and out.where("not (_id = '_id' and place = 'place' and _toxicity = '_toxicity' and epoch = 'epoch')").count() == 0 < out.count()
+    assert mixing.mixed(odd).columns == [c for c in odd.columns if c not in ("epoch", "block", "place")] + ["epoch", "block", "place"]

@@ -146,7 +146,9 @@ def _bases(manifest: DataFrame) -> DataFrame:
 
 
 def _tasks(manifest: DataFrame) -> DataFrame:
-    return manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4), "shard")
+    """A task for each file; of very many files, several in turn."""
+    most = 64 * manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.repartitionByRange(max(1, min(most, manifest.count())), "shard")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

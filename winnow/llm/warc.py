@@ -150,7 +150,12 @@ def iso_date(date: bytes) -> str:
 
 
 def _units(files: DataFrame) -> DataFrame:
-    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "file")
+    return files.repartitionByRange(_tasks(files), "file")
+
+
+def _tasks(files: DataFrame) -> int:
+    """A task for each file; of very many files, several in turn."""
+    return max(1, min(64 * files.sparkSession.sparkContext.defaultParallelism, files.count()))
 
 
 def arc_index(files: DataFrame) -> DataFrame:
@@ -211,7 +216,6 @@ def to_warc(name: str, ordinal: int, fields: dict, body: bytes, refers_to: str |
 def convert(files: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """Write a WARC file under path for each ARC file; returns the new files. No records: no file."""
     decisions = saved(decide(saved(arc_index(files), "arc-index"), min_bytes), "arc-decisions")
-    n = max(1, files.sparkSession.sparkContext.defaultParallelism * 4)
 
     def run(batches):
         name, file, source, out, k = None, None, None, None, 0
@@ -237,7 +241,7 @@ def convert(files: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
         if out:
             yield done()
 
-    return saved(decisions.repartition(n, "file").sortWithinPartitions("file", "ordinal").mapInArrow(run, FILES), "warc-files")
+    return saved(decisions.repartitionByRange(_tasks(files), "file").sortWithinPartitions("file", "ordinal").mapInArrow(run, FILES), "warc-files")
 
 
 def stem(uri: str) -> str:
