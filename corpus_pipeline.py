@@ -19,12 +19,16 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained scores, keyed permutations and online packing are beyond SQL; tests hold the stages against plain Python instead.
+#: Trained scores, keyed permutations and online packing are beyond SQL; tests/llm/test_plain.py holds stages and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the last one's rows."""
+    """All stages over documents; the last one's rows, pieces of documents with their ids.
+
+    Rows with nulls, empty or very long texts and repeated rows go through like others: near-duplicate detection keeps one of
+    those that repeat id and text, no other stage drops them. Empty documents give no pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
