@@ -205,7 +205,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_low: int = 1200, max_good: in
     pick = lambda value, most: by_id.where(F.col("quality") == value).orderBy(key, "doc_id").limit(most)
     chosen = F.broadcast(pick(0, max_low).unionAll(pick(1, max_good)))  # at most as many rows as the two bounds
     texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
-    rows = _vectors(texts.select("quality", held_out("doc_id").alias("calibrate"), "text")).orderBy("quality", "calibrate", "columns", "values").collect()
+    rows = _vectors(texts.select("quality", held_out("doc_id").alias("calibrate"), "text")).collect()
+    rows.sort(key=lambda r: (r.quality, r.calibrate, r.columns, r["values"]))  # whatever the order of tasks
     good, calibrate = np.array([r.quality for r in rows], int), np.array([r.calibrate for r in rows], bool)
     model = fit([(np.frombuffer(r.columns, np.int32), np.frombuffer(r["values"], np.float32)) for r in rows], good, calibrate) if rows else NO_MODEL
     counts = dict(by_id.groupBy("quality").count().collect())

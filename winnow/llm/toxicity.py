@@ -187,7 +187,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_positives: int = 4000, max_un
     share = (prior * F.col("in_pos") / max(1, n_pos) * n_unl + prior) / (F.col("in_unl") + 1)
     kept = _document_counts(sample).where((F.col("in_pos") >= min(min_docs, n_pos)) & (share > 0.5)).select("feature").toPandas()  # at most 2^20 numbers
     features = np.sort(kept["feature"].to_numpy(np.int32))
-    rows = [(r.side, np.frombuffer(r.columns, np.int32).astype(np.int64)) for r in _columns(sample, features).orderBy("side", "columns").collect()]
+    found = sorted(_columns(sample, features).collect(), key=lambda r: (r.side, r.columns))  # whatever the order of tasks
+    rows = [(r.side, np.frombuffer(r.columns, np.int32).astype(np.int64)) for r in found]
     return fit([c for s, c in rows if s & 1], [c for s, c in rows if s & 2], features, float(prior))
 
 
