@@ -13,7 +13,6 @@ class EngineConfig:
     divergence_bounds: tuple[float, ...] = (1.0, 0.7, 0.5, 0.3, 0.2, 0.1)
     identity_bounds: tuple[float, ...] = (1.0, 0.9, 0.7, 0.5, 0.3, 0.2)
     divergent_below: float = 0.3
-    ratios: tuple[float, float, float] = (0.60, 0.15, 0.25)
     block_rows: int = 4096
 
 

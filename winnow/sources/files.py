@@ -9,9 +9,10 @@ from pyspark.sql.types import StructType
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """header, text of each record; a record's text may span lines."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    return rows.select(F.trim(F.substring_index("value", "\n", 1)).alias("header"), F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 2)"), r"\s", "").alias("text"))
+    """header, text of each record; a record's text may span lines, and a header may hold '>' (S6)."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>|\r", "").alias("value")).where(F.trim("value") != "")
+    head = F.substring_index("value", "\n", 1)
+    return rows.select(F.trim(head).alias("header"), F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 2)"), r"\s", "").alias("text"))
 
 
 def fasta_records(df: DataFrame, key: str, text: str, tags: list[str]) -> DataFrame:
@@ -61,3 +62,16 @@ def latex_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """One LaTeX table row for each row, doubles with four digits."""
     cells = [F.format_string("%.4f", c) if t == "double" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c, t in df.select(*columns).dtypes]
     return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
+
+
+def interval_text(lo: str, hi: str, known: str):
+    """Column '[lo, hi]' with four digits, '[N/A]' where the column `known` is false or a bound is missing."""
+    return F.when(F.col(known) & F.col(lo).isNotNull() & F.col(hi).isNotNull(), F.format_string("[%.4f, %.4f]", lo, hi)).otherwise(F.lit("[N/A]"))
+
+
+def append_positives(train: DataFrame, extra: DataFrame, key: str = "id", label: str = "y") -> DataFrame:
+    """train and the extra rows, labelled positive (U2). An extra id that train or anything held out already has is an error."""
+    both = extra.join(train, key, "left_semi").limit(1).collect()
+    if both:
+        raise ValueError(f"{both[0][key]} is in both tables")
+    return train.unionByName(extra.withColumn(label, F.lit(1).cast(train.schema[label].dataType)), allowMissingColumns=True)
