@@ -17,6 +17,11 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENTRY).option("mode", "PERMISSIVE").json(path)
 
 
+def entries_of(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The same from a column of JSON records."""
+    return lines.select(F.from_json(column, ENTRY).alias("e")).select("e.*")
+
+
 def parse_entries(raw: DataFrame, family_database: str = "Families", term_database: str = "Terms", term_property: str = "term") -> DataFrame:
     """Flat rows with defaults (P1-P6): name falls back to id, organism to Unknown, length to the text's; last description wins."""
     text = F.col("body.value")

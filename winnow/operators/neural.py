@@ -1,41 +1,64 @@
-"""A small contrastive screener in NumPy: projection head with batch statistics, classifier head, supervised contrastive and
-logistic loss. Fitting runs on the driver over a bounded sample; scoring is a pandas UDF with broadcast weights."""
+"""A small contrastive screener in NumPy: projection head with batch statistics and dropout, classifier head, supervised
+contrastive and logistic loss, validation after each epoch. Fitting runs on the driver over a bounded sample, whose hard
+negatives Spark finds; scoring is a pandas UDF with broadcast weights."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.config import CONFIG
 from winnow.functions import vector as V
+from winnow.operators import simjoin
 from winnow.operators.metrics import metric_rows
-from winnow.operators.sampling import hash_rank, subsample
+from winnow.operators.sampling import numbered, subsample
 
 
 def mixup(rows: DataFrame, weight: float, seed: int = CONFIG.seed) -> DataFrame:
-    """(id, partner, mixed): each row with the next one of its label in hash order, interpolated (M11). weight belongs to the row."""
-    order = Window.partitionBy("label").orderBy("h", "id")
-    o = rows.select("id", "label", "embedding", hash_rank(seed, "id").alias("h"))
-    nxt, first = F.lead(F.struct("id", "embedding")).over(order), F.first(F.struct("id", "embedding")).over(order)
-    return o.withColumn("n", F.coalesce(nxt, first)).select("id", F.col("n.id").alias("partner"), V.interpolate("embedding", "n.embedding", weight).alias("mixed"))
+    """(id, partner, mixed): each row with the next one of its label in hash order, interpolated (M11). weight belongs to the row.
+
+    The last row's partner is the first one; a label's only row is its own. Rows meet by their number within the label.
+    """
+    o = numbered(rows.select("id", "label", "embedding"), "id", seed, ["label"])
+    nxt = o.select(F.col("label").alias("of"), "hash_order", F.col("id").alias("partner"), F.col("embedding").alias("other"))
+    follows = o.withColumn("hash_order", F.col("hash_order") % F.col("stratum_size") + 1)
+    met = follows.join(nxt, (follows["label"].eqNullSafe(nxt["of"])) & (follows["hash_order"] == nxt["hash_order"]))
+    return met.select("id", "partner", V.interpolate("embedding", "other", weight).alias("mixed"))
 
 
-def supcon_loss(batch: DataFrame, temperature: float = 0.1) -> DataFrame:
+def supcon_loss(batch: DataFrame, temperature: float = 0.1, rows: int = CONFIG.block_rows) -> DataFrame:
     """(n, loss) of a batch (id, embedding, label) (M9): each anchor against all others, self excluded, mean over all anchors.
 
-    The batch is bounded by what it is for; it is compared in one block product.
+    Rows are dealt into blocks of about `rows`; each pair of blocks is one group that gives its anchors' partial sums, so a
+    task holds two blocks whatever the size of the batch. An anchor without another of its label counts as 0. Rows without
+    a vector are left out; ids are unique.
     """
-
-    def loss(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([*pdf["embedding"]], dtype=float)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.DataFrame({"n": [len(x)], "loss": [supcon(x / np.where(n == 0, 1, n), pdf["label"].to_numpy(), temperature)[0]]})
-
-    return batch.select("embedding", "label").groupBy().applyInPandas(lambda pdf: loss(pdf), "n long, loss double")
+    x = batch.where("embedding is not null").select("id", "embedding", "label")
+    blocks = max(1, -(-x.count() // rows))
+    deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = x.select("*", deal.alias("a")).select("*", F.lit(True).alias("asks"), every.alias("b"))
+    given = x.select("*", deal.alias("b")).select("*", F.lit(False).alias("asks"), every.alias("a")).select(asked.columns)
+
+    def partial(both: pd.DataFrame) -> pd.DataFrame:
+        u, v = both[both["asks"]], both[~both["asks"]]
+        if u.empty or v.empty:
+            return pd.DataFrame({"id": [], "e": [], "z": [], "same": []})
+        s = simjoin._unit(u["embedding"]) @ simjoin._unit(v["embedding"]).T / temperature
+        other = u["id"].to_numpy()[:, None] != v["id"].to_numpy()[None, :]
+        same = (u["label"].to_numpy()[:, None] == v["label"].to_numpy()[None, :]) & other
+        # cosines are at most 1, so no exponent is above 0
+        return pd.DataFrame({"id": u["id"].to_numpy(), "e": (np.exp(s - 1 / temperature) * other).sum(axis=1), "z": np.where(same, s, 0).sum(axis=1), "same": same.sum(axis=1)})
+
+    kind = batch.schema["id"].dataType.simpleString()
+    sums = asked.unionAll(given).groupBy("a", "b").applyInPandas(lambda both: partial(both), f"id {kind}, e double, z double, same long")
+    per = sums.groupBy("id").agg(F.sum("e").alias("e"), F.sum("z").alias("z"), F.sum("same").alias("same"))
+    loss = F.when(F.col("same") > 0, F.log("e") + 1 / temperature - F.col("z") / F.col("same")).otherwise(0.0)
+    return per.agg(F.count("*").alias("n"), F.avg(loss).alias("loss"))
 
 
 def supcon(z: np.ndarray, y: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
@@ -54,154 +77,325 @@ def supcon(z: np.ndarray, y: np.ndarray, temperature: float) -> tuple[float, np.
     return float(value), (g + g.T) @ z
 
 
-@dataclass(frozen=True)
+class Linear:
+    def __init__(self, n_in: int, n_out: int, rng):
+        edge = 1 / np.sqrt(n_in)
+        self.own = {"w": rng.uniform(-edge, edge, (n_in, n_out)), "b": rng.uniform(-edge, edge, n_out)}
+
+    def forward(self, x, train, rng):
+        self.x = x
+        return x @ self.own["w"] + self.own["b"]
+
+    def backward(self, g):
+        self.grads = {"w": self.x.T @ g, "b": g.sum(axis=0)}
+        return g @ self.own["w"].T
+
+
+class BatchNorm:
+    """By the batch's statistics in training and by their running means in scoring."""
+
+    def __init__(self, n: int):
+        self.own = {"scale": np.ones(n), "shift": np.zeros(n)}
+        self.kept = {"mean": np.zeros(n), "var": np.ones(n)}
+
+    def forward(self, x, train, rng):
+        mean, var = (x.mean(axis=0), x.var(axis=0)) if train else (self.kept["mean"], self.kept["var"])
+        if train:
+            self.kept["mean"] += 0.1 * (mean - self.kept["mean"])
+            self.kept["var"] += 0.1 * (var * len(x) / max(1, len(x) - 1) - self.kept["var"])
+        self.by = np.sqrt(var + 1e-5)
+        self.x = (x - mean) / self.by
+        return self.x * self.own["scale"] + self.own["shift"]
+
+    def backward(self, g):
+        self.grads = {"scale": (g * self.x).sum(axis=0), "shift": g.sum(axis=0)}
+        g = g * self.own["scale"]
+        return (g - g.mean(axis=0) - self.x * (g * self.x).mean(axis=0)) / self.by
+
+
+class Relu:
+    own: dict = {}
+
+    def forward(self, x, train, rng):
+        self.on = x > 0
+        return x * self.on
+
+    def backward(self, g):
+        return g * self.on
+
+
+class Dropout:
+    own: dict = {}
+
+    def __init__(self, rate: float):
+        self.rate = rate
+
+    def forward(self, x, train, rng):
+        self.by = (rng.random(x.shape) >= self.rate) / (1 - self.rate) if train and self.rate else 1.0
+        return x * self.by
+
+    def backward(self, g):
+        return g * self.by
+
+
+def _run(layers: list, x: np.ndarray, train: bool = False, rng=None) -> np.ndarray:
+    for layer in layers:
+        x = layer.forward(x, train, rng)
+    return x
+
+
+def _back(layers: list, g: np.ndarray) -> np.ndarray:
+    for layer in reversed(layers):
+        g = layer.backward(g)
+    return g
+
+
+@dataclass
 class ScreenerModel:
-    layers: list[tuple[np.ndarray, np.ndarray]]  # projection: hidden layers, then the output
-    head: list[tuple[np.ndarray, np.ndarray]]
-    multi_scale: bool
-    history: list[dict]
+    """Projection (in, in/2, in/4, d with batch norm, M6) to unit vectors, and a classifier (M7) of these, or of input and projection."""
+
+    width: int
+    projection_dim: int = 16
+    multi_scale: bool = False
+    dropout: float = 0.1
+    seed: int = CONFIG.seed
+    history: list[dict] = field(default_factory=list)
+
+    def __post_init__(self):
+        rng, drop = np.random.default_rng(self.seed), lambda: Dropout(self.dropout)
+        a, b = max(2, self.width // 2), max(2, self.width // 4)
+        self.projection = [Linear(self.width, a, rng), BatchNorm(a), Relu(), drop(), Linear(a, b, rng), BatchNorm(b), Relu(), drop(), Linear(b, self.projection_dim, rng)]
+        sizes = [self.projection_dim + self.width, 128, 64] if self.multi_scale else [self.projection_dim, 64]
+        hidden = [x for m, n in zip(sizes, sizes[1:], strict=False) for x in (Linear(m, n, rng), Relu(), drop())]
+        self.head = [*hidden, Linear(sizes[-1], 1, rng)]
+
+    def forward(self, x: np.ndarray, train: bool = False, rng=None) -> tuple[np.ndarray, np.ndarray]:
+        """Unit projections and logits."""
+        raw = _run(self.projection, x, train, rng)
+        self.norm = np.maximum(1e-12, np.linalg.norm(raw, axis=1, keepdims=True))
+        self.z = raw / self.norm
+        h = np.concatenate((x, self.z), axis=1) if self.multi_scale else self.z
+        return self.z, _run(self.head, h, train, rng)[:, 0]
+
+    def backward(self, gz: np.ndarray, g_logit: np.ndarray) -> None:
+        gz = gz + _back(self.head, g_logit[:, None])[:, -self.projection_dim :]
+        _back(self.projection, (gz - self.z * (gz * self.z).sum(axis=1, keepdims=True)) / self.norm)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All weights and running statistics by name."""
+        return {f"{part}.{i}.{name}": x for part in ("projection", "head") for i, layer in enumerate(getattr(self, part)) for name, x in {**layer.own, **getattr(layer, "kept", {})}.items()}
+
+    def load_arrays(self, arrays: dict[str, np.ndarray]) -> None:
+        for name, x in self.arrays().items():
+            x[...] = np.asarray(arrays[name], dtype=float).reshape(x.shape)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Weights as Parquet rows (name, shape, values), and the settings."""
+        rows = [(n, list(x.shape), x.ravel().tolist()) for n, x in self.arrays().items()]
+        rows.append(("settings", [], [float(self.width), float(self.projection_dim), float(self.multi_scale), self.dropout, float(self.seed)]))
+        spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ScreenerModel:
+        found = {r["name"]: r["values"] for r in spark.read.parquet(path).collect()}  # one model's weights
+        width, dim, multi, dropout, seed = found.pop("settings")
+        model = ScreenerModel(int(width), int(dim), bool(multi), dropout, int(seed))
+        model.load_arrays(found)
+        return model
+
+    def history_frame(self, spark: SparkSession) -> DataFrame:
+        """epoch, train_loss, train_con, train_bce, val_loss, val_auroc."""
+        return spark.createDataFrame(self.history, "epoch int, train_loss double, train_con double, train_bce double, val_loss double, val_auroc double")
+
+    def _column(self, rows: DataFrame, embedding: str, kind: str):
+        sent = rows.sparkSession.sparkContext.broadcast(replace_history(self))
+
+        @F.pandas_udf(kind)
+        def column(e: pd.Series) -> pd.Series:
+            known = e.notna().to_numpy()
+            values = iter(())
+            if known.any():
+                z, logit = sent.value.forward(np.array([*e[known]], dtype=float))
+                values = iter(1 / (1 + np.exp(-logit)) if kind == "double" else list(z))
+            return pd.Series([next(values) if k else None for k in known], dtype=float if kind == "double" else object)
+
+        return column(embedding)
+
+    def transform(self, rows: DataFrame, embedding: str = "embedding") -> DataFrame:
+        """rows with score (M20); null without a vector."""
+        return rows.withColumn("score", self._column(rows, embedding, "double"))
+
+    def projected(self, rows: DataFrame, embedding: str = "embedding") -> DataFrame:
+        """rows with the unit vector `projection`."""
+        return rows.withColumn("projection", self._column(rows, embedding, "array<double>"))
+
+
+def replace_history(model: ScreenerModel) -> ScreenerModel:
+    """The model without its history, for sending."""
+    out = replace(model, history=[])
+    out.load_arrays(model.arrays())
+    return out
+
+
+def auroc(y: np.ndarray, score: np.ndarray) -> float:
+    """By mean ranks; NaN where a class is missing."""
+    pos = y == 1
+    if pos.all() or not pos.any():
+        return float("nan")
+    ranks = pd.Series(score).rank().to_numpy()
+    return float((ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()))
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        for w, b in self.layers[:-1]:
-            x = np.maximum(0, x @ w + b)
-        x = x @ self.layers[-1][0] + self.layers[-1][1]
-        return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        z = self.project(x)
-        h = np.concatenate((x, z), axis=1) if self.multi_scale else z
-        for w, b in self.head[:-1]:
-            h = np.maximum(0, h @ w + b)
-        return (h @ self.head[-1][0] + self.head[-1][1])[:, 0]
+def _loss(z: np.ndarray, logit: np.ndarray, y: np.ndarray, temperature: float):
+    """Contrastive and logistic loss with their gradients by z and the logits, half each."""
+    con, gz = supcon(z, y, temperature)
+    bce = float((np.logaddexp(0, logit) - y * logit).mean())
+    return con, bce, 0.5 * gz, 0.5 * (1 / (1 + np.exp(-logit)) - y) / len(y)
 
-    def transform(self, rows: DataFrame) -> DataFrame:
-        """rows with score."""
-        sent = rows.sparkSession.sparkContext.broadcast(replace(self, history=[]))
 
-        @F.pandas_udf("double")
-        def score(e: pd.Series) -> pd.Series:
-            return pd.Series(1 / (1 + np.exp(-sent.value.logits(np.array([*e], dtype=float))))) if len(e) else pd.Series([], dtype=float)
+def _mixed_up(x: np.ndarray, y: np.ndarray, rng, alpha: float = 0.2, share: float = 0.5) -> np.ndarray:
+    """With a probability, each row is mixed with another of its class, by one weight for the batch."""
+    if rng.random() > share:
+        return x
+    weight, x = rng.beta(alpha, alpha), x.copy()
+    for c in (0, 1):
+        at = np.flatnonzero(y == c)
+        if len(at) > 1:
+            x[at] = weight * x[at] + (1 - weight) * x[rng.permutation(at)]
+    return x
 
-        return rows.withColumn("score", score("embedding"))
 
+def _drawn(rows: DataFrame, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    pdf = subsample(rows.where("embedding is not null and y is not null").select("id", "embedding", "y"), "id", most, seed).toPandas()
+    return np.array([*pdf["embedding"]], dtype=float), pdf["y"].to_numpy(float)
 
-def train_screener(train: DataFrame, projection_dim: int = 16, temperature: float = 0.1, epochs: int = 50, batch: int = 64, rate: float = 1e-3, decay: float = 1e-4, use_mixup: bool = False, multi_scale: bool = False, negatives: int = 3, most: int = 20_000, seed: int = CONFIG.seed) -> ScreenerModel:
-    """AdamW with cosine schedule and clipping, half contrastive and half logistic loss (M10, M12). train: (id, embedding, y).
 
-    At most `most` rows are fitted on, the first by hash. An epoch has each positive and `negatives` sampled negatives for it.
+def _mined(train: DataFrame, negatives: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each positive followed by its closest negatives (J7, J8); at most `most` rows in all."""
+    ok = train.where("embedding is not null").select("id", "embedding", "y")
+    pos = subsample(ok.where("y = 1"), "id", max(1, most // (1 + negatives)), seed)
+    rows = simjoin.expanded(pos, simjoin.hard_negatives(pos, ok.where("y = 0"), negatives), negatives)
+    pdf = rows.join(ok.select("id", "embedding"), "id").orderBy("anchor", "slot").toPandas()
+    return np.array([*pdf["embedding"]], dtype=float), pdf["y"].to_numpy(float)
+
+
+def train_screener(train: DataFrame, validation: DataFrame | None = None, projection_dim: int = 256, temperature: float = 0.07, epochs: int = 50, batch: int = 64, rate: float = 1e-3, decay: float = 1e-4, use_mixup: bool = False, multi_scale: bool = False, negatives: int = 3, hard_negatives: bool = True, most: int = 20_000, seed: int = CONFIG.seed, drawn: tuple[np.ndarray, np.ndarray] | None = None) -> ScreenerModel:
+    """AdamW, cosine schedule by epoch, gradients clipped to length 1, incomplete batches dropped (M12). Tables: (id, embedding, y).
+
+    At most `most` rows are fitted on, the first by hash: positives each with its hard negatives, or all rows. With a
+    validation table (at most `most` rows of it) the model of the epoch with the greatest AUROC is kept, else the last.
+    drawn: vectors and labels to fit on, where they are at hand.
     """
-    pdf = subsample(train.select("id", "embedding", "y"), "id", most, seed).toPandas()
-    x, y = np.array([*pdf["embedding"]], dtype=float), pdf["y"].to_numpy()
-    rng = np.random.default_rng(seed)
-    d = x.shape[1]
-    sizes = [d, max(2, d // 2), max(2, d // 4), projection_dim]
-    heads = [projection_dim + (d if multi_scale else 0), 64, 1]
-    make = lambda s: [(rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(s, s[1:], strict=False)]
-    layers, head = make(sizes), make(heads)
-    flat = [p for wb in layers + head for p in wb]
-    m, v = [np.zeros_like(p) for p in flat], [np.zeros_like(p) for p in flat]
-    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    per_epoch = max(1, len(pos) * (1 + negatives) // batch)
-    step, history = 0, []
+    x, y = drawn or (_mined(train, negatives, most, seed) if hard_negatives else _drawn(train, most, seed))
+    if len(set(y.tolist())) < 2:
+        raise ValueError("both classes are needed to train on")
+    vx, vy = _drawn(validation, most, seed) if validation is not None else (None, None)
+    model, rng = ScreenerModel(x.shape[1], projection_dim, multi_scale, seed=seed), np.random.default_rng(seed)
+    layers = [layer for layer in model.projection + model.head if layer.own]
+    moments = [{k: (np.zeros_like(p), np.zeros_like(p)) for k, p in layer.own.items()} for layer in layers]
+    batch, step, best = min(batch, len(x)), 0, (-1.0, None)
     for epoch in range(epochs):
-        total = [0.0, 0.0]
-        for _ in range(per_epoch):
-            some = np.concatenate((rng.choice(pos, batch // (1 + negatives)), rng.choice(neg, batch - batch // (1 + negatives))))
-            bx, by = x[some], y[some]
-            if use_mixup and rng.random() < 0.5:
-                lam = rng.beta(0.2, 0.2)
-                for c in (0, 1):
-                    at = np.flatnonzero(by == c)
-                    bx[at] = lam * bx[at] + (1 - lam) * bx[rng.permutation(at)]
-            acts = [bx]
-            for w, b in layers[:-1]:
-                acts.append(np.maximum(0, acts[-1] @ w + b))
-            raw = acts[-1] @ layers[-1][0] + layers[-1][1]
-            n = np.linalg.norm(raw, axis=1, keepdims=True) + 1e-8
-            z = raw / n
-            con, gz = supcon(z, by, temperature)
-            h0 = np.concatenate((bx, z), axis=1) if multi_scale else z
-            h1 = np.maximum(0, h0 @ head[0][0] + head[0][1])
-            logit = (h1 @ head[1][0] + head[1][1])[:, 0]
-            bce = float((np.logaddexp(0, logit) - by * logit).mean())
-            gl = 0.5 * (1 / (1 + np.exp(-logit)) - by)[:, None] / len(by)
-            g_head1 = (h1.T @ gl, gl.sum(axis=0))
-            gh = gl @ head[1][0].T * (h1 > 0)
-            g_head0 = (h0.T @ gh, gh.sum(axis=0))
-            gz = 0.5 * gz + (gh @ head[0][0].T)[:, -projection_dim:]
-            g = (gz - z * (gz * z).sum(axis=1, keepdims=True)) / n
-            grads = []
-            for k in range(len(layers) - 1, -1, -1):
-                grads.insert(0, (acts[k].T @ g, g.sum(axis=0)))
-                if k:
-                    g = g @ layers[k][0].T * (acts[k] > 0)
-            flat_grads = [p for wb in [*grads, g_head0, g_head1] for p in wb]
-            size = np.sqrt(sum((p**2).sum() for p in flat_grads))
+        lr, losses = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs)), []
+        order = rng.permutation(len(x))
+        for at in range(0, len(x) - batch + 1, batch):
+            some = order[at : at + batch]
+            by = y[some]
+            bx = _mixed_up(x[some], by, rng) if use_mixup else x[some]
+            z, logit = model.forward(bx, True, rng)
+            con, bce, gz, gl = _loss(z, logit, by, temperature)
+            losses.append((0.5 * (con + bce), con, bce))
+            model.backward(gz, gl)
+            length = np.sqrt(sum((g**2).sum() for layer in layers for g in layer.grads.values()))
             step += 1
-            lr = rate * 0.5 * (1 + np.cos(np.pi * step / (epochs * per_epoch)))
-            for p, q, a, s in zip(flat, flat_grads, m, v, strict=True):
-                q = q / max(1.0, size)
-                a += 0.1 * (q - a)
-                s += 0.001 * (q**2 - s)
-                p -= lr * (a / (1 - 0.9**step) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + decay * p)
-            total[0] += con
-            total[1] += bce
-        history.append({"epoch": epoch, "train_con": total[0] / per_epoch, "train_bce": total[1] / per_epoch, "train_loss": 0.5 * sum(total) / per_epoch})
-    return ScreenerModel(layers, head, multi_scale, history)
-
-
-def attention_pool(df: DataFrame, states: str, query: np.ndarray, out: str = "pooled", weights: str = "attention") -> DataFrame:
-    """Softmax attention over a row's position vectors, averaged over heads (M8). query: (heads, width)."""
-    sent = df.sparkSession.sparkContext.broadcast(np.asarray(query, dtype=float))
-    schema = df.limit(0).withColumn(out, F.array(F.lit(0.0))).withColumn(weights, F.array(F.lit(0.0))).schema
-
-    def run(batches):
-        for pdf in batches:
-            pooled, att = [], []
-            for s in pdf[states]:
-                x = np.array([*s], dtype=float)
-                e = sent.value @ x.T
-                a = np.exp(e - e.max(axis=1, keepdims=True))
-                a = (a / a.sum(axis=1, keepdims=True)).mean(axis=0)
-                pooled.append((a @ x).tolist())
-                att.append(a.tolist())
-            yield pdf.assign(**{out: pooled, weights: att})
-
-    return df.mapInPandas(run, schema)
-
-
-def embed_texts(df: DataFrame, text: str = "text", width: int = 64, n: int = 3, out: str = "embedding") -> DataFrame:
-    """Hashed character n-grams as unit vectors: the built-in stand-in for a sequence model (M14-M17). Empty texts: zeros."""
-
-    @F.pandas_udf("array<float>")
-    def embed(s: pd.Series) -> pd.Series:
-        import zlib
-
-        def one(t):
-            v = np.zeros(width, np.float32)
-            b = (t or "").encode()
-            for i in range(len(b) - n + 1):
-                h = zlib.crc32(b[i : i + n])
-                v[h % width] += 1 if h & 1 << 31 else -1
-            size = np.linalg.norm(v)
-            return v / size if size else v
-
-        return s.map(one)
-
-    return df.withColumn(out, embed(text))
+            for layer, held in zip(layers, moments, strict=True):
+                for k, p in layer.own.items():
+                    g, (m, v) = layer.grads[k] / max(1.0, length), held[k]
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g**2 - v)
+                    p -= lr * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + decay * p)
+        told = dict(zip(("train_loss", "train_con", "train_bce"), np.mean(losses, axis=0).tolist(), strict=True))
+        model.history.append({"epoch": epoch, **told, "val_loss": None, "val_auroc": None})
+        if vx is not None and len(vx):
+            parts = [slice(i, i + batch) for i in range(0, len(vx), batch)]
+            seen = [model.forward(vx[p]) for p in parts]
+            found = [_loss(z, logit, vy[p], temperature)[:2] for (z, logit), p in zip(seen, parts, strict=True)]
+            area = auroc(vy, np.concatenate([logit for _, logit in seen]))
+            model.history[-1] |= {"val_loss": float(np.mean([0.5 * (c + b) for c, b in found])), "val_auroc": area}
+            if area > best[0]:
+                best = (area, {k: p.copy() for k, p in model.arrays().items()})
+    if best[1]:
+        model.load_arrays(best[1])
+    return model
+
+
+@dataclass(frozen=True)
+class AttentionPool:
+    """Scaled attention of learned queries over a row's position vectors, averaged over heads (M8).
+
+    query: (heads, hidden); key: (width, heads * hidden); value: (width, width).
+    """
+
+    query: np.ndarray
+    key: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def drawn(width: int, hidden: int = 64, heads: int = 4, seed: int = CONFIG.seed) -> AttentionPool:
+        rng = np.random.default_rng(seed)
+        return AttentionPool(rng.normal(size=(heads, hidden)), rng.uniform(-1, 1, (width, heads * hidden)) / np.sqrt(width), rng.uniform(-1, 1, (width, width)) / np.sqrt(width))
+
+    def weights(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """(heads, positions): softmax over the positions whose mask is 1; 0 elsewhere, and everywhere if there are none."""
+        heads, hidden = self.query.shape
+        e = np.einsum("hk,phk->hp", self.query, (x @ self.key).reshape(len(x), heads, hidden)) / np.sqrt(hidden)
+        e = np.where(mask, e, -np.inf)
+        if not mask.any():
+            return np.zeros_like(e)
+        a = np.exp(e - e.max(axis=1, keepdims=True))
+        return a / a.sum(axis=1, keepdims=True)
+
+    def transform(self, df: DataFrame, states: str = "states", mask: str | None = None, out: str = "pooled", attention: str = "attention") -> DataFrame:
+        """df with the pooled vector and the weights by position, both heads' means. No positions: zeros and no weights."""
+        sent = df.sparkSession.sparkContext.broadcast(self)
+        schema = df.drop(out, attention).limit(0).withColumn(out, F.array(F.lit(0.0))).withColumn(attention, F.array(F.lit(0.0))).schema
+
+        def run(batches):
+            width = sent.value.value.shape[1]
+            for pdf in batches:
+                pooled, att = [], []
+                for k in range(len(pdf)):
+                    s = pdf[states].iloc[k]
+                    if s is None or not len(s):
+                        pooled.append(np.zeros(width).tolist())
+                        att.append([])
+                        continue
+                    x = np.array([*s], dtype=float)
+                    on = np.ones(len(x), bool) if mask is None else np.asarray(pdf[mask].iloc[k]) == 1
+                    a = sent.value.weights(x, on).mean(axis=0)
+                    pooled.append((a @ (x @ sent.value.value)).tolist())
+                    att.append(a.tolist())
+                yield pdf.assign(**{out: pooled, attention: att})
+
+        return df.drop(out, attention).mapInPandas(run, schema)
 
 
 def ablation(train: DataFrame, test: DataFrame, grid: dict[str, list], epochs: int = 50) -> DataFrame:
-    """Metric rows with one factor changed at a time."""
-    out = None
+    """Metric rows with one factor changed at a time (M19): ablation_type, ablation_value and the metrics on test."""
+    scored, mined = None, {}
     for kind, values in grid.items():
         for value in values:
-            s = train_screener(train, epochs=epochs, **{kind: value}).transform(test).select(F.lit("test").alias("split"), F.lit("contrastive").alias("method"), "id", "y", "score")
-            row = metric_rows(s).withColumn("ablation_type", F.lit(kind)).withColumn("ablation_value", F.lit(str(value)))
-            out = row if out is None else out.unionByName(row)
-    return out
+            method, n = f"{kind}={value}", value if kind == "negatives" else 3
+            if n not in mined:
+                mined[n] = _mined(train, n, 20_000, CONFIG.seed)
+            s = train_screener(train, epochs=epochs, drawn=mined[n], **{kind: value}).transform(test).select(F.lit("test").alias("split"), F.lit(method).alias("method"), "id", "y", "score")
+            scored = s if scored is None else scored.unionByName(s)
+    rows = metric_rows(scored)
+    part = lambda k: F.element_at(F.split("method", "=", 2), k)
+    return rows.withColumn("ablation_type", part(1)).withColumn("ablation_value", part(2)).drop("method").orderBy("ablation_type", "ablation_value")
 
 
 def best_epoch(history: DataFrame, metric: str) -> DataFrame:
-    """The epoch with the greatest metric, NaN and null left out."""
-    return history.where(F.col(metric).isNotNull() & ~F.isnan(metric)).agg(F.max_by("epoch", metric).alias("epoch"), F.max(metric).alias(metric))
+    """The epoch with the greatest metric, the first on ties; NaN and null left out."""
+    ok = history.where(F.col(metric).isNotNull() & ~F.isnan(metric))
+    best = ok.agg(F.max(F.struct(metric, (-F.col("epoch")).alias("less"))).alias("b"))
+    return best.select((-F.col("b.less")).alias("epoch"), F.col(f"b.{metric}").alias(metric))

@@ -1,8 +1,9 @@
 """Similarity joins: set Jaccard by an inverted index, vectors by blocks.
 
-Sets meet only where they share an element (an equi-join on it), so no pair without a common element is ever formed. Vectors
-are compared block against block: both sides are dealt into blocks of a bounded number of rows, each pair of blocks is one
-group with a NumPy product, and only its k best go on.
+The best reference of each set is found with the references' inverted index, which every task holds a bounded block of: no
+pair is formed or shuffled. Where all pairs are the result, sets meet only where they share an element (an equi-join on it).
+Vectors are compared the same way: a reference side within a checked size is sent to all tasks; beyond it both sides are
+dealt into blocks of a bounded number of rows, each pair of blocks is one group with a NumPy product, and only its k best go on.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,76 +25,140 @@ def _postings(df: DataFrame, key: str, items: Column | str, prefix: str) -> tupl
     return sets.select(prefix), sets.select(prefix, f"{prefix}_n", F.explode("_s").alias("item"))
 
 
-def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of postings (a, a_n, item) and (b, b_n, item): pairs with a common item."""
-    met = left.join(right, "item").groupBy("a", "b").agg(F.count("*").alias("common"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
+def overlaps(left: DataFrame, right: DataFrame, where: Column | None = None) -> DataFrame:
+    """(a, b, jaccard) of postings (a, a_n, item) and (b, b_n, item): pairs with a common item, of those that `where` lets meet."""
+    met = left.join(right, "item")
+    met = (met if where is None else met.where(where)).groupBy("a", "b").agg(F.count("*").alias("common"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
     return met.select("a", "b", (F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))).alias("jaccard"))
 
 
-def max_jaccard(queries: DataFrame, references: DataFrame, query_key: str, reference_key: str, query_items: Column | str, reference_items: Column | str) -> DataFrame:
-    """(id, max_sim) for every query; 0 where nothing is shared."""
-    ids, q = _postings(queries, query_key, query_items, "a")
-    _, r = _postings(references, reference_key, reference_items, "b")
-    best = overlaps(q, r).groupBy("a").agg(F.max("jaccard").alias("max_sim"))
-    return ids.join(best, "a", "left").select(F.col("a").alias("id"), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
+#: Postings and vector components that one task holds of the reference side, a few tens of MB each.
+POSTINGS, COMPONENTS = 2_000_000, 8_000_000
+
+
+def _best_in_block(queries: DataFrame, references: DataFrame, exclude_self: bool) -> DataFrame:
+    """(id, max_sim) of queries (id, items) against references (id, items) of at most POSTINGS items, broadcast as an inverted index."""
+    index: dict[str, list[int]] = {}
+    sizes, ids = [], []
+    for row in references.toLocalIterator():  # a block's bounded items
+        for item in row["items"]:
+            index.setdefault(item, []).append(len(ids))
+        sizes.append(len(row["items"]))
+        ids.append(row["id"])
+    sent = queries.sparkSession.sparkContext.broadcast(({k: np.array(v, np.int32) for k, v in index.items()}, np.array(sizes, float), {x: i for i, x in enumerate(ids)}))
+
+    def run(batches):
+        postings, n_refs, place = sent.value
+        for batch in batches:
+            out = []
+            for own, items in zip(batch.column("id").to_pylist(), batch.column("items"), strict=True):
+                items = items.as_py()
+                met = [x for x in map(postings.get, items) if x is not None]
+                if not met:
+                    out.append(0.0)
+                    continue
+                common = np.bincount(np.concatenate(met), minlength=len(n_refs))
+                if exclude_self and own in place:
+                    common[place[own]] = 0
+                out.append(float((common / (len(items) + n_refs - common)).max()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], names=["id", "max_sim"])
+
+    kind = queries.schema["id"].dataType.simpleString()
+    return queries.mapInArrow(run, f"id {kind}, max_sim double")
+
+
+def max_jaccard(queries: DataFrame, references: DataFrame, query_key: str, reference_key: str, query_items: Column | str, reference_items: Column | str, exclude_self: bool = False) -> DataFrame:
+    """(id, max_sim) for every query; 0 where nothing is shared (J2). A null or empty set shares nothing.
+
+    References are dealt into as many blocks as keep each within POSTINGS items; a query meets one block after another, so
+    the work grows with both sides but nothing of it is shuffled. Keys of the references are unique if exclude_self is set.
+    """
+
+    def sets(df: DataFrame, key: str, items: Column | str) -> DataFrame:
+        c = F.col(items) if isinstance(items, str) else items
+        return df.select(F.col(key).alias("id"), F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))).alias("items"))
+
+    q, r = sets(queries, query_key, query_items), sets(references, reference_key, reference_items).where(F.size("items") > 0)
+    blocks = max(1, math.ceil((r.agg(F.sum(F.size("items"))).first()[0] or 0) / POSTINGS))
+    found = None
+    for k in range(blocks):
+        part = _best_in_block(q, r if blocks == 1 else r.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), exclude_self)
+        found = part if found is None else found.unionAll(part)
+    return found if blocks == 1 else found.groupBy("id").agg(F.max("max_sim").alias("max_sim"))
 
 
 def pairwise_jaccard(df: DataFrame, key: str, items: Column | str) -> DataFrame:
-    """(id_a, id_b, sim) with id_a < id_b, of pairs that share an item."""
+    """(id_a, id_b, sim) with id_a < id_b, of pairs that share an item (J3). The result holds each such pair, so hot items make it large."""
     _, p = _postings(df, key, items, "a")
     other = p.select(F.col("a").alias("b"), F.col("a_n").alias("b_n"), "item")
-    return overlaps(p, other).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("jaccard").alias("sim"))
+    return overlaps(p, other, F.col("a") < F.col("b")).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("jaccard").alias("sim"))
 
 
 def peer_max(df: DataFrame, key: str, items: Column | str) -> DataFrame:
-    """(id, max_sim) to any other row, 0 if none shares an item."""
-    pairs = pairwise_jaccard(df, key, items)
-    both = pairs.select(F.col("id_a").alias("id"), "sim").unionAll(pairs.select(F.col("id_b"), "sim"))
-    best = both.groupBy("id").agg(F.max("sim").alias("max_sim"))
-    return df.select(F.col(key).alias("id")).join(best, "id", "left").select("id", F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
+    """(id, max_sim) to any other row, 0 if none shares an item (J4). Keys are unique."""
+    return max_jaccard(df, df, key, key, items, items, exclude_self=True)
+
+
+def _unit(x) -> np.ndarray:
+    m = np.array([*x], dtype=np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def _best(ids: np.ndarray, left: np.ndarray, refs: np.ndarray, right: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best of unit rows `right`, ordered by ref, for each unit row of `left`."""
+    sims = left @ right.T
+    if exclude_self:
+        sims[ids[:, None] == refs[None, :]] = -np.inf
+    order = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
+    out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "ref": refs[order].ravel(), "cosine": np.take_along_axis(sims, order, 1).ravel()})
+    return out[np.isfinite(out["cosine"])]
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool = False, rows: int = CONFIG.block_rows) -> DataFrame:
     """(id, ref, cosine, rank): the k references (id, embedding) with the greatest cosine; ties by the smaller ref.
 
-    Zero vectors have cosine 0 with everything. Blocks hold about `rows` rows, so a task holds two blocks whatever the size
-    of either side.
+    Zero vectors have cosine 0 with everything; rows without an embedding or id meet nothing. References of up to COMPONENTS
+    numbers, which is counted first, go to all tasks, and nothing is shuffled. More are dealt with the queries into blocks of
+    about `rows` rows, so a task holds two blocks whatever the size of either side.
     """
-    nq, nr = (max(1, math.ceil(df.count() / rows)) for df in (queries, references))
+    q, r = (df.where("id is not null and embedding is not null").select("id", "embedding") for df in (queries, references))
+    numbers, n_refs = r.agg(F.sum(F.size("embedding")), F.count("*")).first()
+    kind = queries.schema["id"].dataType.simpleString()
+    if (numbers or 0) <= COMPONENTS:
+        held = r.orderBy("id").toPandas()  # within the checked size
+        sent = queries.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), _unit(held["embedding"]) if len(held) else None))
+
+        def compare(batches):
+            refs, right = sent.value
+            for pdf in batches:
+                for at in range(0, len(pdf) if len(refs) else 0, 256):
+                    some = pdf.iloc[at : at + 256]
+                    found = _best(some["id"].to_numpy(), _unit(some["embedding"]), refs, right, k, exclude_self)
+                    yield found.assign(rank=(found.groupby("id", sort=False).cumcount() + 1).astype("int32"))
+
+        return q.mapInPandas(compare, f"id {kind}, ref {kind}, cosine double, rank int")
+    nq, nr = max(1, math.ceil(q.count() / rows)), max(1, math.ceil(n_refs / rows))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("id", "embedding", deal(nq).alias("q")).select("id", "embedding", F.lit(True).alias("asks"), "q", every(nr).alias("r"))
-    r = references.select("id", "embedding", deal(nr).alias("r")).select("id", "embedding", F.lit(False).alias("asks"), every(nq).alias("q"), "r")
+    asked = q.select("id", "embedding", deal(nq).alias("q")).select("id", "embedding", F.lit(True).alias("asks"), "q", every(nr).alias("r"))
+    given = r.select("id", "embedding", deal(nr).alias("r")).select("id", "embedding", F.lit(False).alias("asks"), every(nq).alias("q"), "r")
 
-    def compare(both: pd.DataFrame) -> pd.DataFrame:
-        left, right = both[both["asks"]], both[~both["asks"]]
+    def meet(both: pd.DataFrame) -> pd.DataFrame:
+        left, right = both[both["asks"]], both[~both["asks"]].sort_values("id")
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "ref": [], "cosine": []})
+        return _best(left["id"].to_numpy(), _unit(left["embedding"]), right["id"].to_numpy(), _unit(right["embedding"]), k, exclude_self)
 
-        def unit(x):
-            m = np.array([*x], dtype=np.float64)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            return m / np.where(n == 0, 1, n)
-
-        refs = right["id"].to_numpy()
-        sims = unit(left["embedding"]) @ unit(right["embedding"]).T
-        ids = left["id"].to_numpy()
-        if exclude_self:
-            sims[ids[:, None] == refs[None, :]] = -np.inf
-        by_ref = np.argsort(refs, kind="stable")
-        order = by_ref[np.argsort(-np.round(sims[:, by_ref], 12), axis=1, kind="stable")[:, :k]]
-        out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "ref": refs[order].ravel(), "cosine": np.take_along_axis(sims, order, 1).ravel()})
-        return out[np.isfinite(out["cosine"])]
-
-    kind = queries.schema["id"].dataType.simpleString()
-    met = q.unionAll(r).groupBy("q", "r").applyInPandas(lambda both: compare(both), f"id {kind}, ref {kind}, cosine double")
+    met = asked.unionAll(given).groupBy("q", "r").applyInPandas(lambda both: meet(both), f"id {kind}, ref {kind}, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "ref")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def cosine_topk_mean(queries: DataFrame, positives: DataFrame, k: int = CONFIG.neighbours) -> DataFrame:
-    """(id, score): mean cosine of the k nearest positives, of all of them if there are fewer."""
-    return nearest(queries, positives, k).groupBy("id").agg(F.avg("cosine").alias("score"))
+    """(id, score): mean cosine of the k nearest positives, of all of them if there are fewer (J5); 0 if there are none or the query has no vector."""
+    near = nearest(queries, positives, k).groupBy("id").agg(F.avg("cosine").alias("score"))
+    return queries.select("id").join(near, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def knn_vote(queries: DataFrame, labelled: DataFrame, k: int = CONFIG.neighbours) -> DataFrame:

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.config import CONFIG
 from winnow.functions import text as T
 from winnow.functions import vector as V
 from winnow.operators import bootstrap, metrics, sampling, simjoin
-from winnow.operators.ingest import first_wins, running_totals, with_hard_flag
-from winnow.plans.frames import SCORES_SQL, positives, scores, vector_parts, vectors
+from winnow.operators.ingest import capped, entries_of, first_wins, parse_entries, running_totals, with_hard_flag, within_length
+from winnow.plans.frames import SCORES_SQL, positives, raw_entries, scores, vector_parts, vectors
 from winnow.session import table
-from winnow.sources.files import fasta_records, latex_rows
+from winnow.sources.files import append_positives, fasta_records, latex_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -249,7 +249,7 @@ def _(spark, d):
     return sampling.train_test_split(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 0.25, strata=["lang"])
 
 
-@query("fraction_sample", f"select doc_id from (select doc_id, {RANK.format(by='1')} as rn, count(*) over () as n from documents) where rn <= round(n * 0.3::double)")
+@query("fraction_sample", f"select doc_id from (select doc_id, {RANK.format(by='1')} as rn, count(*) over () as n from documents) where rn <= round_even(n * 0.3::double, 0)")
 def _(spark, d):
     return sampling.fraction(table(spark, d, "documents").select("doc_id"), "doc_id", 0.3)
 
@@ -268,11 +268,38 @@ def _labelled(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").withColumn("hard", F.col("quality") == 0)
 
 
-@query("split_counts")
+def _ranks(by: str, seed: int) -> str:
+    return f"row_number() over (partition by {by} order by ('0x' || substr(md5('{seed}|' || doc_id::varchar), 1, 8))::bigint, doc_id)"
+
+
+SPLITS_SQL = PEERS + (
+    ", mx as (select id, max(sim) as s from (select id_a as id, sim from j union all select id_b, sim from j) group by 1), "
+    "f as (select l.doc_id, toxic, lang, case when toxic = 1 then case when coalesce(s, 0) < 0.3 then 'divergent' else 'positive' end when quality = 0 then 'hard' else 'easy' end as kind from labels l join documents d on l.doc_id = d.doc_id left join mx on mx.id = l.doc_id and toxic = 1), "
+    "g as (select *, case when kind = 'positive' then lang end as stratum, count(*) over (partition by kind) < 10 as few from f where kind <> 'divergent'), "
+    f"a as (select *, not few and {_ranks('kind, stratum', 42)} <= ceil(count(*) over (partition by kind, stratum) * case kind when 'hard' then 0.5 else 0.25 end::double) as tested, "
+    f"few and (kind <> 'hard' or {_ranks('kind', 42)} <= round_even(count(*) over (partition by kind) * 0.5::double, 0)) as trained from g), "
+    f"v as (select *, {_ranks('kind', 43)} <= case when few then round_even(count(*) over (partition by kind) * 0.5::double, 0) else ceil(count(*) over (partition by kind) * case kind when 'hard' then 0.3 else 0.2 end::double) end as val from a where not tested and not trained), "
+    f"t as (select *, kind <> 'positive' and {_ranks('kind', 44)} <= round_even(count(*) over (partition by kind) * 0.3::double, 0) as mix from (select doc_id, toxic, kind from a where tested union all select doc_id, toxic, kind from v where few and not val)), "
+    f"w as (select doc_id, toxic, {_ranks('kind', 42)} as i, {_ranks('kind', 43)} as j from g where few and kind = 'positive'), "
+    "o as (select doc_id, toxic, 'train' as split from a where trained union all select doc_id, toxic, case when val then 'val' else 'train' end from v where val or not few union all select doc_id, toxic, 'test_standard' from t where kind <> 'hard' or mix "
+    "union all select doc_id, toxic, 'test_hard_negative' from t where kind <> 'easy' union all select doc_id, toxic, 'test_seq_divergent' from t where mix union all select doc_id, toxic, 'test_seq_divergent' from f where kind = 'divergent' "
+    "union all select doc_id, toxic, 'val' from w where i <= 5 union all select doc_id, toxic, unnest(['test_standard', 'test_hard_negative']) from w where j <= 5) "
+)
+
+
+def _splits(spark, d):
+    sims = simjoin.peer_max(positives(spark, d), "doc_id", T.shingles("text", 3)).withColumnRenamed("id", "doc_id")
+    return sampling.create_splits(_labelled(spark, d).select("doc_id", "toxic", "hard", "lang"), sims, "doc_id", "toxic", "hard", "lang", small="reuse")
+
+
+@query("split_rows", SPLITS_SQL + "select doc_id, split from o")
+def _(spark, d):
+    return _splits(spark, d).select("doc_id", "split")
+
+
+@query("split_counts", SPLITS_SQL + "select split, count(*) as n, sum(toxic)::bigint as n_pos from o group by 1")
 def _(spark, d):
-    sims = simjoin.peer_max(positives(spark, d), "doc_id", T.shingles("text", 3)).withColumnRenamed("id", "doc_id").cache()
-    out = sampling.create_splits(_labelled(spark, d).select("doc_id", "toxic", "hard"), sims, "doc_id", "toxic", "hard")
-    return out.groupBy("split").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_pos")).orderBy("split")
+    return _splits(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_pos"))
 
 
 @query(
@@ -288,7 +315,8 @@ def _(spark, d):
 # --- metrics -----------------------------------------------------------------------------------------------------------
 
 CURVE_SQL = SCORES_SQL + ", h as (select split, method, score, sum(y) as pos, sum(1 - y) as neg from scores group by 1, 2, 3), c as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over a as p, sum(neg) over a as n from h window w as (partition by split, method order by score desc), a as (partition by split, method)) "
-RANKING_SQL = "round(sum(pos * (n - fp + neg / 2.0::double) / p / n), 6) as auroc, round(sum(pos / p::double * tp / (tp + fp)), 6) as auprc"
+BOTH = "p > 0 and n > 0"
+RANKING_SQL = f"round(sum(case when {BOTH} then pos * (n - fp + neg / 2.0::double) / p / n else 0 end), 6) as auroc, round(sum(case when {BOTH} then pos / p::double * tp / (tp + fp) else 0 end), 6) as auprc"
 
 
 @query("roc_points", CURVE_SQL + "select split, method, score, round(fp / n::double, 6) as fpr, round(tp / p::double, 6) as tpr from c where p > 0 and n > 0")
@@ -301,19 +329,23 @@ def _(spark, d):
     return metrics.pr_points(scores(spark, d)).select("split", "method", "score", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
-@query("auroc_average_precision", CURVE_SQL + f"select split, method, {RANKING_SQL} from c where p > 0 and n > 0 group by 1, 2")
+@query("auroc_average_precision", CURVE_SQL + f"select split, method, {RANKING_SQL} from c group by 1, 2")
 def _(spark, d):
-    r = metrics.ranking(metrics.curve(scores(spark, d))).where("n_pos > 0 and n_neg > 0")
+    r = metrics.ranking(metrics.curve(scores(spark, d)))
     return r.select("split", "method", r6("auroc").alias("auroc"), r6("auprc").alias("auprc"))
 
 
 @query(
     "recall_and_fpr_at",
-    CURVE_SQL + "select split, method, round(coalesce(max(tp / p::double) filter (tp / (tp + fp)::double >= 0.95), 0), 6) as recall_at_95_precision, round(coalesce(max(tp / p::double) filter (tp / (tp + fp)::double >= 0.99), 0), 6) as recall_at_99_precision, "
-    "round(coalesce(min(fp / n::double) filter (tp / p::double >= 0.95), 1), 6) as fpr_at_95_recall, round(coalesce(min(fp / n::double) filter (tp / p::double >= 0.99), 1), 6) as fpr_at_99_recall from c where p > 0 and n > 0 group by 1, 2",
+    CURVE_SQL
+    + "select split, method, "
+    + ", ".join(f"round(case when max({BOTH}::int) = 1 then coalesce(max(tp / p::double) filter (tp / (tp + fp)::double >= {t}), 0) else 0 end, 6) as recall_at_{t * 100:.0f}_precision" for t in (0.95, 0.99))
+    + ", "
+    + ", ".join(f"round(case when max({BOTH}::int) = 1 then coalesce(min(fp / n::double) filter (tp / p::double >= {t}), 1) else 1 end, 6) as fpr_at_{t * 100:.0f}_recall" for t in (0.95, 0.99))
+    + " from c group by 1, 2",
 )
 def _(spark, d):
-    r = metrics.ranking(metrics.curve(scores(spark, d))).where("n_pos > 0 and n_neg > 0")
+    r = metrics.ranking(metrics.curve(scores(spark, d)))
     return r.select("split", "method", *[r6(c).alias(c) for c in ("recall_at_95_precision", "recall_at_99_precision", "fpr_at_95_recall", "fpr_at_99_recall")])
 
 
@@ -330,9 +362,9 @@ def _(spark, d):
 
 
 @query("metric_rows", F1_SQL.replace("with u", "with u", 1) + ", h as (select split, method, score, sum(y) as pos, sum(1 - y) as neg from scores group by 1, 2, 3), c as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over a as p, sum(neg) over a as n from h window w as (partition by split, method order by score desc), a as (partition by split, method)), "
-       f"m as (select split, method, {RANKING_SQL}, max(p)::bigint as n_pos, max(n)::bigint as n_neg from c where p > 0 and n > 0 group by 1, 2) select m.split, m.method, auroc, auprc, round(f1, 6) as f1_optimal, round(acc, 6) as accuracy_optimal, n_pos + n_neg as n_samples, n_pos, n_neg from m join b on m.split = b.split and m.method = b.method where rn = 1")
+       f"m as (select split, method, {RANKING_SQL}, max(p)::bigint as n_pos, max(n)::bigint as n_neg from c group by 1, 2) select m.split, m.method, auroc, auprc, round(case when n_pos > 0 and n_neg > 0 then f1 else 0 end, 6) as f1_optimal, round(case when n_pos > 0 and n_neg > 0 then acc else 0 end, 6) as accuracy_optimal, n_pos + n_neg as n_samples, n_pos, n_neg from m join b on m.split = b.split and m.method = b.method where rn = 1")
 def _(spark, d):
-    m = metrics.metric_rows(scores(spark, d)).where("n_pos > 0 and n_neg > 0")
+    m = metrics.metric_rows(scores(spark, d))
     return m.select("split", "method", *[r6(c).alias(c) for c in ("auroc", "auprc", "f1_optimal", "accuracy_optimal")], "n_samples", "n_pos", "n_neg")
 
 
@@ -358,9 +390,9 @@ def _(spark, d):
     return metrics.false_positives(scores(spark, d)).groupBy("method").agg(r6(F.avg("fpr")).alias("macro_fpr"))
 
 
-@query("pivot_auroc", CURVE_SQL + f", m as (select split, method, {RANKING_SQL} from c where p > 0 and n > 0 group by 1, 2) select split, max(auroc) filter (method = 'plain') as plain, max(auroc) filter (method = 'sharp') as sharp from m group by 1")
+@query("pivot_auroc", CURVE_SQL + f", m as (select split, method, {RANKING_SQL} from c group by 1, 2) select split, max(auroc) filter (method = 'plain') as plain, max(auroc) filter (method = 'sharp') as sharp from m group by 1")
 def _(spark, d):
-    r = metrics.ranking(metrics.curve(scores(spark, d))).where("n_pos > 0 and n_neg > 0")
+    r = metrics.ranking(metrics.curve(scores(spark, d)))
     return r.groupBy("split").pivot("method", ["plain", "sharp"]).agg(F.first(F.round("auroc", 6)))
 
 
@@ -371,11 +403,11 @@ def _(spark, d):
 
 BOOT_SQL = SCORES_SQL + (
     ", r as (select *, row_number() over (partition by split, method order by id) - 1 as row, count(*) over (partition by split, method) as n from scores), z as (select split, method, max(n) as n from r group by 1, 2), "
-    "dr as (select split, method, n, iter, unnest(range(0, n)) as draw from (select split, method, n, unnest(range(0, 50)) as iter from z)), "
+    f"dr as (select split, method, n, iter, unnest(range(0, n)) as draw from (select split, method, n, unnest(range(0, {CONFIG.iterations})) as iter from z)), "
     "x as (select split, method, iter, (('0x' || substr(md5(iter::varchar || '|' || draw::varchar), 1, 8))::bigint % n) as row, count(*) as times from dr group by 1, 2, 3, 4), "
     "h as (select r.split, r.method, iter, score, sum(y * times) as pos, sum((1 - y) * times) as neg from r join x on r.split = x.split and r.method = x.method and r.row = x.row group by 1, 2, 3, 4), "
     "c as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over a as p, sum(neg) over a as n from h window w as (partition by split, method, iter order by score desc), a as (partition by split, method, iter)), "
-    f"it as (select split, method, iter, sum(pos * (n - fp + neg / 2.0::double) / p / n) as auroc from c where p > 0 and n > 0 group by 1, 2, 3) "
+    "it as (select split, method, iter, sum(pos * (n - fp + neg / 2.0::double) / p / n) as auroc, sum(pos / p::double * tp / (tp + fp)) as auprc from c where p > 0 and n > 0 group by 1, 2, 3) "
 )
 
 # the point estimate: a group of one class has the fixed value 0
@@ -391,7 +423,7 @@ POINT_SQL = (
     "select split, method, round(case when coalesce(n_valid, 0) < 10 then auroc else lo end, 6) as auroc_lo, round(case when coalesce(n_valid, 0) < 10 then auroc else hi end, 6) as auroc_hi, coalesce(n_valid, 0) as n_valid from pt left join v using (split, method)",
 )
 def _(spark, d):
-    i = bootstrap.intervals(scores(spark, d), 50)
+    i = bootstrap.intervals(scores(spark, d))
     return i.select("split", "method", r6("auroc_lo").alias("auroc_lo"), r6("auroc_hi").alias("auroc_hi"), "n_valid")
 
 
@@ -401,14 +433,47 @@ def _(spark, d):
     "di as (select a.split, a.auroc - b.auroc as d from it a join it b on a.split = b.split and a.iter = b.iter and a.method = 'sharp' and b.method = 'plain') select df.split, round(max(diff), 6) as difference, round(coalesce(avg((d * sign(diff) <= 0)::int), 1), 6) as p_value from df left join di on df.split = di.split group by 1",
 )
 def _(spark, d):
-    p = bootstrap.paired_p_value(scores(spark, d), "sharp", "plain", 50)
+    p = bootstrap.paired_p_value(scores(spark, d), "sharp", "plain")
     return p.select("split", r6("difference").alias("difference"), r6("p_value").alias("p_value"))
 
 
-@query("detection_bin_ci")
+@query(
+    "metric_rows_ci",
+    BOOT_SQL + ", h0 as (select split, method, score, sum(y) as pos, sum(1 - y) as neg from scores group by 1, 2, 3), c0 as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over a as p, sum(neg) over a as n from h0 window w as (partition by split, method order by score desc), a as (partition by split, method)), "
+    f"pt as (select split, method, sum(case when {BOTH} then pos * (n - fp + neg / 2.0::double) / p / n else 0 end) as auroc, sum(case when {BOTH} then pos / p::double * tp / (tp + fp) else 0 end) as auprc, max(p)::bigint as n_pos, max(n)::bigint as n_neg from c0 group by 1, 2), "
+    "v as (select split, method, quantile_cont(auroc, 0.025) as al, quantile_cont(auroc, 0.975) as ah, quantile_cont(auprc, 0.025) as pl, quantile_cont(auprc, 0.975) as ph, count(*) as k from it group by 1, 2) "
+    "select split, method, n_pos, n_neg, round(auroc, 6) as auroc, round(auprc, 6) as auprc, "
+    + ", ".join(f"round(case when n_pos = 0 or n_neg = 0 then null when coalesce(k, 0) < 10 then {m} else {e} end, 6) as {m}_{o}" for m, e, o in (("auroc", "al", "lo"), ("auroc", "ah", "hi"), ("auprc", "pl", "lo"), ("auprc", "ph", "hi")))
+    + " from pt left join v using (split, method)",
+)
+def _(spark, d):
+    m = bootstrap.metric_rows_with_intervals(scores(spark, d))
+    return m.select("split", "method", "n_pos", "n_neg", *[r6(c).alias(c) for c in ("auroc", "auprc", "auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")])
+
+
+@query(
+    "detection_bin_ci",
+    SCORES_SQL + f", b as (select split, method, id, score, bin_lo, row_number() over (partition by split, method, bin_lo order by id) - 1 as row, count(*) over (partition by split, method, bin_lo) as n from (select *, {BIN_SQL} as bin_lo from (select *, (id % 100) / 99.0::double as s from scores where y = 1))), "
+    f"z as (select split, method, bin_lo, max(n) as n, unnest(range(0, {CONFIG.iterations})) as iter from b group by 1, 2, 3), dr as (select split, method, bin_lo, n, iter, unnest(range(0, n)) as draw from z), "
+    "x as (select split, method, bin_lo, iter, (('0x' || substr(md5(iter::varchar || '|' || draw::varchar), 1, 8))::bigint % n) as row from dr), "
+    "r as (select b.split, b.method, b.bin_lo, iter, avg((score >= 0.5)::int) as rate from b join x on b.split = x.split and b.method = x.method and b.bin_lo = x.bin_lo and b.row = x.row group by 1, 2, 3, 4), "
+    "e as (select split, method, bin_lo, quantile_cont(rate, 0.025) as lo, quantile_cont(rate, 0.975) as hi from r group by 1, 2, 3) "
+    "select b.split, b.method, b.bin_lo, round(avg((score >= 0.5)::int), 6) as detection_rate, count(*) as n_samples, round(min(lo), 6) as ci_lower, round(min(hi), 6) as ci_upper from b join e using (split, method, bin_lo) group by 1, 2, 3",
+)
 def _(spark, d):
     sims = table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100 / 99.0).alias("similarity"))
-    return bootstrap.detection_intervals(scores(spark, d), sims, CONFIG.divergence_bounds, 50)
+    i = bootstrap.detection_intervals(scores(spark, d), sims, CONFIG.divergence_bounds)
+    return i.select("split", "method", "bin_lo", r6("detection_rate").alias("detection_rate"), "n_samples", r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"))
+
+
+@query(
+    "detection_by_identity",
+    SCORES_SQL + ", s as (select split, method, score, (id % 100) / 99.0::double as s from scores where y = 1) select split, method, case when s >= 1 then 1.0 when s >= 0.9 then 0.9 when s >= 0.7 then 0.7 when s >= 0.5 then 0.5 when s >= 0.3 then 0.3 when s >= 0.2 then 0.2 else 0.0 end::double as bin_lo, round(avg((score >= 0.5)::int), 6) as detection_rate, count(*) as n_samples from s group by 1, 2, 3",
+)
+def _(spark, d):
+    sims = table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100 / 99.0).alias("similarity"))
+    b = metrics.detection_by_bin(scores(spark, d), sims, CONFIG.identity_bounds)
+    return b.select("split", "method", "bin_lo", r6("detection_rate").alias("detection_rate"), "n_samples")
 
 
 @query("held_out_detection", SCORES_SQL + "select method, round(avg((score >= 0.5)::int), 6) as detection_rate, count(*) as n from scores where y = 1 group by 1")
@@ -441,7 +506,8 @@ def _(spark, d):
     from winnow.operators.neural import train_screener
 
     train, test = vector_parts(spark, d)
-    return train_screener(train, epochs=10).transform(test).select("id", "y", "score")
+    val, fit = train.where("id % 5 = 1"), train.where("id % 5 <> 1")
+    return train_screener(fit, val).transform(test).select("id", "y", "score")
 
 
 @query("ablation_grid")
@@ -449,7 +515,7 @@ def _(spark, d):
     from winnow.operators.neural import ablation
 
     train, test = vector_parts(spark, d)
-    return ablation(train, test, {"projection_dim": [8, 16], "temperature": [0.05, 0.2], "use_mixup": [True]}, epochs=5)
+    return ablation(train, test, {"projection_dim": [128, 256, 512, 1024], "negatives": [1, 3, 5], "temperature": [0.05, 0.07, 0.1, 0.2], "multi_scale": [True], "use_mixup": [True]})
 
 
 @query("certification_grid")
@@ -457,7 +523,7 @@ def _(spark, d):
     from winnow.operators.certify import certification_grid, word_share_scorer
 
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(1).alias("y"))
-    return certification_grid(items, word_share_scorer("e"), groups={"vowels": "aeiou"}, kinds=["grouped", "random"], counts=[1, 5], samples=100)
+    return certification_grid(items, word_share_scorer("e"), groups={"vowels": "aeiou"}, kinds=["grouped", "random"], counts=[1, 2, 3, 5, 10, 20])
 
 
 @query("pca_map")
@@ -467,4 +533,100 @@ def _(spark, d):
     return pca_map(vectors(spark, d))
 
 
-__all__ = ["ORACLES", "QUERIES", "Window"]
+@query("train_auroc")
+def _(spark, d):
+    from winnow.operators.scorers import NeighbourScreener, train_auroc
+
+    train, _ = vector_parts(spark, d)
+    return train_auroc(NeighbourScreener().fit(train), train)
+
+
+@query("ngram_embeddings")
+def _(spark, d):
+    from winnow.operators.embedders import HashedNgrams, embedded
+
+    return embedded(table(spark, d, "documents").select("doc_id", "text"), HashedNgrams()).select("doc_id", "embedding")
+
+
+@query("attention_positions")
+def _(spark, d):
+    """Positions that attention pooling weighs most, over hidden states of the benchmark's texts."""
+    from winnow.operators.embedders import HashedNgrams, hidden_states
+    from winnow.operators.neural import AttentionPool
+
+    states = hidden_states(table(spark, d, "benchmark"), HashedNgrams(16)).select("item_id", "states")
+    pooled = AttentionPool.drawn(16).transform(states)
+    return pooled.select("item_id", F.explode(T.top_positions("attention")).alias("top")).select("item_id", "top.pos", "top.weight")
+
+
+# --- ingest and small expressions --------------------------------------------------------------------------------------
+
+
+@query(
+    "curated_entries",
+    "select 'e' || doc_id as id, case when doc_id % 3 <> 0 then 'n' || doc_id else 'e' || doc_id end as name, n_chars::int as length, case when doc_id % 4 <> 0 then lang else 'Unknown' end as organism, 'f' || (doc_id % 5) as families, 't' || (doc_id % 7) || ':' || source || '|u:' as terms, source as description "
+    "from documents where doc_id % 50 <> 7 and n_chars between 50 and 2000",
+)
+def _(spark, d):
+    e = within_length(parse_entries(entries_of(raw_entries(spark, d))))
+    return e.select("id", "name", "length", "organism", F.array_join("family_ids", "|").alias("families"), F.array_join("terms", "|").alias("terms"), "description")
+
+
+@query("capped_per_source", "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as rn from documents) where rn <= 5")
+def _(spark, d):
+    return capped(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"], 5)
+
+
+@query("appended_vectors", "select vec_id as id, case when label = 0 or vec_id % 5 = 0 then 1 else 0 end as y from embeddings")
+def _(spark, d):
+    train, test = vector_parts(spark, d)
+    return append_positives(train.select("id", "y"), test.select("id"))
+
+
+@query(
+    "text_functions",
+    f"with p as (select p_partkey, p_size, 'id=' || p_partkey || case when p_partkey % 7 = 0 then ', score=x' when p_partkey % 5 = 0 then '' else ', score=' || p_size || '.5' end as header, {kmers_sql('p_name', 3)} as a, {kmers_sql('p_type', 3)} as b, case when p_partkey % 3 = 0 then null else p_size / 50.0::double end as s from part) "
+    "select p_partkey, round(case when len(list_distinct(a || b)) = 0 then 0 else len(list_intersect(a, b)) / len(list_distinct(a || b))::double end, 6) as jaccard, coalesce(try_cast(nullif(regexp_extract(header, '(?:^|[ ,])score=(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') as double), 0) as score, coalesce(s, 1) as identity, "
+    "case when coalesce(s, 1) >= 0.9 then '>90%' when coalesce(s, 1) >= 0.7 then '70%-90%' when coalesce(s, 1) >= 0.5 then '50%-70%' when coalesce(s, 1) >= 0.3 then '30%-50%' when coalesce(s, 1) >= 0.2 then '20%-30%' else '<20%' end as identity_label, "
+    "case when coalesce(s, 1) >= 1 then '[1.0, 1.0)' when coalesce(s, 1) >= 0.7 then '[0.7, 1.0)' when coalesce(s, 1) >= 0.5 then '[0.5, 0.7)' when coalesce(s, 1) >= 0.3 then '[0.3, 0.5)' when coalesce(s, 1) >= 0.2 then '[0.2, 0.3)' when coalesce(s, 1) >= 0.1 then '[0.1, 0.2)' else '[0.0, 0.1)' end as bin_label from p",
+)
+def _(spark, d):
+    number = F.when(F.col("p_partkey") % 7 == 0, ", score=x").when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit(", score="), "p_size", F.lit(".5")))
+    p = table(spark, d, "part").withColumn("header", F.concat(F.lit("id="), "p_partkey", number))
+    p = p.withColumn("identity", T.filled(F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") / 50)))
+    lo, hi = metrics.similarity_bin(F.col("identity"), CONFIG.divergence_bounds)
+    return p.select("p_partkey", r6(T.set_jaccard(T.kmers("p_name", 3), T.kmers("p_type", 3))).alias("jaccard"), T.header_number("header", "score").alias("score"), "identity", T.identity_label("identity", CONFIG.identity_bounds).alias("identity_label"), T.bin_label(lo, hi).alias("bin_label"))
+
+
+FIVE = "list_slice(embedding, 1, 5)"
+
+
+@query(
+    "vector_functions",
+    f"with v as (select vec_id as id, [x::double for x in {FIVE}] as a, [x::double for x in list_slice(embedding, 6, 10)] as b from embeddings) "
+    "select id, round(exp(a[1] - list_max(a)) / list_sum([exp(x - list_max(a)) for x in a]), 6) as softmax_first, round(1 / (1 + exp(-a[1])), 6) as sigmoid_first, "
+    f"round({cos_sql('a', 'b')}, 6) as cosine, round(a[1] / (sqrt({DOT.format(a='a', b='a')}) + 1e-8), 6) as unit_first, round(0.3 * a[2] + 0.7 * b[2], 6) as between_second, "
+    "(select string_agg(i - 1, ',' order by a[i] desc, i) from (select unnest(range(1, 6)) as i) where (select count(*) from (select unnest(range(1, 6)) as k) where a[k] > a[i] or (a[k] = a[i] and k < i)) < 3) as top_three from v",
+)
+def _(spark, d):
+    v = vectors(spark, d).select("id", F.slice("embedding", 1, 5).alias("a"), F.slice("embedding", 6, 5).alias("b"))
+    top = F.array_join(F.transform(T.top_positions("a", 3), lambda x: x["pos"].cast("string")), ",")
+    return v.select("id", r6(V.softmax("a")[0]).alias("softmax_first"), r6(V.sigmoid(F.col("a")[0].cast("double"))).alias("sigmoid_first"), r6(V.cosine("a", "b")).alias("cosine"), r6(V.unit("a", 1e-8)[0]).alias("unit_first"), r6(V.interpolate("a", "b", 0.3)[1]).alias("between_second"), top.alias("top_three"))
+
+
+HISTORY = [(0, 0.9, 0.61), (1, 0.7, float("nan")), (2, 0.6, 0.83), (3, 0.55, 0.83), (4, 0.5, None)]
+
+
+@query("best_epoch", "select epoch, val_auroc from (values (0, 0.61::double), (2, 0.83), (3, 0.83)) as h(epoch, val_auroc) order by val_auroc desc, epoch limit 1")
+def _(spark, d):
+    from winnow.operators.neural import best_epoch
+
+    return best_epoch(spark.createDataFrame(HISTORY, "epoch int, train_loss double, val_auroc double"), "val_auroc")
+
+
+@query("hourly_alerts", "select time_bucket(interval 1 hour, ts) as hour, event_type, round(avg((value >= 50)::int), 6) as alert_rate, count(*) as n from events group by 1, 2")
+def _(spark, d):
+    from winnow.streaming.scoring import alert_rates
+
+    a = alert_rates(table(spark, d, "events"), 50.0)
+    return a.select(F.col("w.start").alias("hour"), "event_type", r6("alert_rate").alias("alert_rate"), "n")
