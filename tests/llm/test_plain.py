@@ -333,6 +333,16 @@ def test_pipeline_is_its_stages_and_the_plain_outcome(spark, tmp_path, tokenizer
     assert packed == run == Counter({(i, 0, tokenizer(text[i])): n for i, n in counts.items()})
 
 
+def test_no_rows_and_stages(spark, tmp_path):
+    for name, schema in (("documents", SCHEMA), ("pages", "page_id long, url string, html string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, f in queries().items():
+        assert f(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    none = spark.createDataFrame([], SCHEMA)
+    assert all(stage(spark, none, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_sql_is_there_where_it_can_be():
     assert set(oracle_sql()) == {"op3_fingerprints", "op6_near_dedup", "op7_suffix_dedup", "op9_warc"} and set(oracle_sql()) < set(queries())
 

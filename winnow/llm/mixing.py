@@ -121,7 +121,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, weight, epoch, block, place of each time that a document is in the stream."""
+    """doc_id, source, n_tokens, weight, epoch, block, place of each time that a document is in the stream.
+
+    Nulls in any column, empty and long texts and repeated rows are in it like others, each row by itself; see assign().
+    """
     out = assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "place")
 

@@ -121,10 +121,13 @@ def _digests(pieces: DataFrame) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document.
+
+    A null or empty text is the end id alone; repeated rows and null ids are packed one by one; see pack().
+    """
     return _digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents, with their ids."""
+    """Pipeline stage: the pieces of all documents, with their ids; nulls, empty texts and repeated rows as in pack()."""
     return pack(docs)

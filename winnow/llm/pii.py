@@ -232,7 +232,10 @@ def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text with pseudonyms, n_replaced of every document, under the session's key."""
+    """doc_id, text with pseudonyms, n_replaced of every document, under the session's key.
+
+    Null and empty texts stay as they are, repeated rows are kept; see with_pseudonyms().
+    """
     return with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key_of(spark))
 
 

@@ -247,6 +247,9 @@ def rules(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and probability of every document."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and probability of every document.
+
+    A null text counts as empty, has counts of 0 and fails; repeated rows and null ids are rows of their own; see rules().
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return rules(docs, fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -325,7 +325,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int |
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document, on 4-word shingles."""
+    """doc_id, n_shingles, component_id, kept of every document, on 4-word shingles.
+
+    Null and empty texts have no shingles and link with nothing; repeated rows and null ids as in near_duplicates().
+    """
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80).drop("text_key")
 
 

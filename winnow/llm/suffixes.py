@@ -239,5 +239,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, start_word, end_word, n_words, other_id of every passage of 50 words or more that another document has too."""
+    """doc_id, start_word, end_word, n_words, other_id of every passage of 50 words or more that another document has too.
+
+    Null, empty and short texts have none; repeated rows are documents of their own; see repeated_passages().
+    """
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

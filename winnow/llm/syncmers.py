@@ -103,7 +103,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document's, by
-    descending id. A null text counts as empty and has an empty fingerprint. One row alone follows itself.
+    descending id. A null text counts as empty and has an empty fingerprint. Rows of one id follow each other by their texts'
+    hashes, null ids come last. One row alone follows itself; no rows give none; other columns aren't looked at.
     """
     pairs = _with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -116,5 +117,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+
+    A null text counts as empty; null ids come last, repeated rows follow each other; see fingerprints().
+    """
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -206,6 +206,9 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files that were written."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files that were written.
+
+    A null or empty text is the end id alone; null ids come first; repeated rows are written one by one.
+    """
     manifest = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "token-files"))
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

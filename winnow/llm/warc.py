@@ -158,19 +158,32 @@ def _tasks(files: DataFrame) -> int:
     return max(1, min(64 * files.sparkSession.sparkContext.defaultParallelism, files.count()))
 
 
+def _batches(rows, types: list[pa.DataType], names: list[str], most: int = 2000):
+    """Arrow batches of rows as they come, so a file of many records isn't held as a list."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+
 def arc_index(files: DataFrame) -> DataFrame:
     """file, path, ordinal, key, payload_bytes, digest of every record but the version blocks."""
 
-    def run(batches):
+    def records(batches):
         for batch in batches:
             for file, uri in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                rows = []
                 for ordinal, (_, body) in enumerate(read_arc(uri)):
                     if ordinal:
                         at = payload_at(body)
-                        rows.append((file, uri, ordinal, http_header(body[:at], b"X-Record-Key"), len(body) - at, digest(body[at:])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["file", "path", "ordinal", "key", "payload_bytes", "digest"])
+                        yield file, uri, ordinal, http_header(body[:at], b"X-Record-Key"), len(body) - at, digest(body[at:])
+
+    def run(batches):
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield from _batches(records(batches), types, ["file", "path", "ordinal", "key", "payload_bytes", "digest"])
 
     return _units(files).mapInArrow(run, "file long, path string, ordinal long, key long, payload_bytes long, digest string")
 
@@ -266,10 +279,9 @@ def read_warc(uri: str):
 def warc_records(files: DataFrame) -> DataFrame:
     """record_id, key, record_type, payload_bytes, payload_digest, refers_to_id of each record but warcinfo; digests are checked."""
 
-    def run(batches):
+    def records(batches):
         for batch in batches:
             for uri in batch.column("path").to_pylist():
-                rows = []
                 for h, block in read_warc(uri):
                     if h["warc-type"] == "warcinfo":
                         continue
@@ -278,9 +290,11 @@ def warc_records(files: DataFrame) -> DataFrame:
                     if not again and digest(block[at:]) != told or digest(block) != h["warc-block-digest"].removeprefix("sha1:"):
                         raise ValueError(f"{uri}: {h['warc-record-id']} doesn't match its digest")
                     n = http_header(block[:at], b"Content-Length") if again else len(block) - at
-                    rows.append((h["warc-record-id"], http_header(block[:at], b"X-Record-Key"), h["warc-type"], n, told, h.get("warc-refers-to")))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()], strict=True)], names=["record_id", "key", "record_type", "payload_bytes", "payload_digest", "refers_to_id"])
+                    yield h["warc-record-id"], http_header(block[:at], b"X-Record-Key"), h["warc-type"], n, told, h.get("warc-refers-to")
+
+    def run(batches):
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        yield from _batches(records(batches), types, ["record_id", "key", "record_type", "payload_bytes", "payload_digest", "refers_to_id"])
 
     return _units(files).mapInArrow(run, "record_id string, key long, record_type string, payload_bytes long, payload_digest string, refers_to_id string")
 
@@ -288,7 +302,8 @@ def warc_records(files: DataFrame) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from WARC files converted from ARC files.
 
-    Null html is an empty payload; a null page_id comes back as null and never takes a response from a page with an id.
+    Null html is an empty payload; a null page_id comes back as null and never takes a response from a page with an id. Repeated
+    rows are records of their own, the first in file order being the response; no pages: no records. Other columns aren't read.
     """
     arcs = write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "arc"))
     records = saved(warc_records(convert(arcs, new_path(spark, "warc"))), "warc-records")
