@@ -140,3 +140,16 @@ def test_mixup_partners(spark):
     for i, r in got.items():
         assert of[r.partner][1] == of[i][1] and np.allclose(r.mixed, 0.25 * of[i][0] + 0.75 * of[r.partner][0])
     assert len({r.partner for r in got.values()}) == len(rows)
+
+
+def test_models_are_scored_together(spark, rows):
+    models = {n: neural.ScreenerModel(8, 4, n == "b", seed=2) for n in "ab"}
+    both = neural.scored_by(models, rows.unionByName(spark.createDataFrame([(9, None, 0)], rows.schema))).toPandas()
+    for n, m in models.items():
+        mine = both[both["method"] == n].sort_values("id")
+        assert np.allclose(mine["score"], m.transform(rows).orderBy("id").toPandas()["score"])
+
+
+def test_ablation_rows(spark, rows):
+    got = neural.ablation(rows.where("id < 160"), rows.where("id >= 160"), {"negatives": [1, 3], "multi_scale": [True]}, epochs=3).collect()
+    assert [(r.ablation_type, r.ablation_value) for r in got] == [("multi_scale", "True"), ("negatives", "1"), ("negatives", "3")] and all(r.n_samples == 80 for r in got)

@@ -379,17 +379,31 @@ class AttentionPool:
         return df.drop(out, attention).mapInPandas(run, schema)
 
 
+def scored_by(models: dict[str, ScreenerModel], rows: DataFrame) -> DataFrame:
+    """(method, id, y, score) of every model over rows (id, embedding, y), in one pass; rows without a vector have no score."""
+    sent = rows.sparkSession.sparkContext.broadcast({n: replace_history(m) for n, m in models.items()})
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["embedding"].notna()]
+            x = np.array([*pdf["embedding"]], dtype=float)
+            for name, model in sent.value.items() if len(pdf) else ():
+                yield pd.DataFrame({"method": name, "id": pdf["id"], "y": pdf["y"], "score": 1 / (1 + np.exp(-model.forward(x)[1]))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select("id", "embedding", "y").mapInPandas(run, f"method string, id {kinds['id']}, y {kinds['y']}, score double")
+
+
 def ablation(train: DataFrame, test: DataFrame, grid: dict[str, list], epochs: int = 50) -> DataFrame:
     """Metric rows with one factor changed at a time (M19): ablation_type, ablation_value and the metrics on test."""
-    scored, mined = None, {}
+    models, mined = {}, {}
     for kind, values in grid.items():
         for value in values:
-            method, n = f"{kind}={value}", value if kind == "negatives" else 3
+            n = value if kind == "negatives" else 3
             if n not in mined:
                 mined[n] = _mined(train, n, 20_000, CONFIG.seed)
-            s = train_screener(train, epochs=epochs, drawn=mined[n], **{kind: value}).transform(test).select(F.lit("test").alias("split"), F.lit(method).alias("method"), "id", "y", "score")
-            scored = s if scored is None else scored.unionByName(s)
-    rows = metric_rows(scored)
+            models[f"{kind}={value}"] = train_screener(train, epochs=epochs, drawn=mined[n], **{kind: value})
+    rows = metric_rows(scored_by(models, test).withColumn("split", F.lit("test")))
     part = lambda k: F.element_at(F.split("method", "=", 2), k)
     return rows.withColumn("ablation_type", part(1)).withColumn("ablation_value", part(2)).drop("method").orderBy("ablation_type", "ablation_value")
 

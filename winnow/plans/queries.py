@@ -523,7 +523,7 @@ def _(spark, d):
     from winnow.operators.certify import certification_grid, word_share_scorer
 
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(1).alias("y"))
-    return certification_grid(items, word_share_scorer("e"), groups={"vowels": "aeiou"}, kinds=["grouped", "random"], counts=[1, 2, 3, 5, 10, 20])
+    return certification_grid(items, word_share_scorer("e"), groups={"vowels": "aeiou"}, kinds=["grouped", "random"], counts=[1, 2, 3, 5, 8, 10])
 
 
 @query("pca_map")
@@ -605,13 +605,13 @@ FIVE = "list_slice(embedding, 1, 5)"
     "vector_functions",
     f"with v as (select vec_id as id, [x::double for x in {FIVE}] as a, [x::double for x in list_slice(embedding, 6, 10)] as b from embeddings) "
     "select id, round(exp(a[1] - list_max(a)) / list_sum([exp(x - list_max(a)) for x in a]), 6) as softmax_first, round(1 / (1 + exp(-a[1])), 6) as sigmoid_first, "
-    f"round({cos_sql('a', 'b')}, 6) as cosine, round(a[1] / (sqrt({DOT.format(a='a', b='a')}) + 1e-8), 6) as unit_first, round(0.3 * a[2] + 0.7 * b[2], 6) as between_second, "
+    f"len(a || b) as joined_width, round({cos_sql('a', 'b')}, 6) as cosine, round(a[1] / (sqrt({DOT.format(a='a', b='a')}) + 1e-8), 6) as unit_first, round(0.3 * a[2] + 0.7 * b[2], 6) as between_second, "
     "(select string_agg(i - 1, ',' order by a[i] desc, i) from (select unnest(range(1, 6)) as i) where (select count(*) from (select unnest(range(1, 6)) as k) where a[k] > a[i] or (a[k] = a[i] and k < i)) < 3) as top_three from v",
 )
 def _(spark, d):
     v = vectors(spark, d).select("id", F.slice("embedding", 1, 5).alias("a"), F.slice("embedding", 6, 5).alias("b"))
     top = F.array_join(F.transform(T.top_positions("a", 3), lambda x: x["pos"].cast("string")), ",")
-    return v.select("id", r6(V.softmax("a")[0]).alias("softmax_first"), r6(V.sigmoid(F.col("a")[0].cast("double"))).alias("sigmoid_first"), r6(V.cosine("a", "b")).alias("cosine"), r6(V.unit("a", 1e-8)[0]).alias("unit_first"), r6(V.interpolate("a", "b", 0.3)[1]).alias("between_second"), top.alias("top_three"))
+    return v.select("id", r6(V.softmax("a")[0]).alias("softmax_first"), r6(V.sigmoid(F.col("a")[0].cast("double"))).alias("sigmoid_first"), F.size(V.joined("a", "b")).cast("long").alias("joined_width"), r6(V.cosine("a", "b")).alias("cosine"), r6(V.unit("a", 1e-8)[0]).alias("unit_first"), r6(V.interpolate("a", "b", 0.3)[1]).alias("between_second"), top.alias("top_three"))
 
 
 HISTORY = [(0, 0.9, 0.61), (1, 0.7, float("nan")), (2, 0.6, 0.83), (3, 0.55, 0.83), (4, 0.5, None)]
