@@ -36,28 +36,39 @@ def overlaps(left: DataFrame, right: DataFrame, where: Column | None = None) ->
 POSTINGS, COMPONENTS = 2_000_000, 8_000_000
 
 
-def _best_in_block(queries: DataFrame, references: DataFrame, exclude_self: bool) -> DataFrame:
+def _sets(column: pa.Array, k: int | None):
+    """The set of each row: of its items, or (given k) of its text's substrings of k code points."""
+    for x in column.to_pylist():
+        yield set(x or ()) if k is None else {x[i : i + k] for i in range(len(x or "") - k + 1)}
+
+
+def _best_in_block(queries: DataFrame, references: DataFrame, exclude_self: bool, k: int | None) -> DataFrame:
     """(id, max_sim) of queries (id, items) against references (id, items) of at most POSTINGS items, broadcast as an inverted index."""
     index: dict[str, list[int]] = {}
     sizes, ids = [], []
     for row in references.toLocalIterator():  # a block's bounded items
-        for item in row["items"]:
+        (own,) = _sets(pa.array([row["items"]]), k)
+        for item in own:
             index.setdefault(item, []).append(len(ids))
-        sizes.append(len(row["items"]))
+        sizes.append(len(own))
         ids.append(row["id"])
-    sent = queries.sparkSession.sparkContext.broadcast(({k: np.array(v, np.int32) for k, v in index.items()}, np.array(sizes, float), {x: i for i, x in enumerate(ids)}))
+    # the references of item i stand from ends[i] to ends[i + 1]
+    ends = np.cumsum([0, *map(len, index.values())])
+    flat = np.fromiter((x for v in index.values() for x in v), np.int32, int(ends[-1]))
+    sent = queries.sparkSession.sparkContext.broadcast(({x: i for i, x in enumerate(index)}, ends, flat, np.array(sizes, float), {x: i for i, x in enumerate(ids)}))
 
     def run(batches):
-        postings, n_refs, place = sent.value
+        number, ends, flat, n_refs, place = sent.value
         for batch in batches:
             out = []
-            for own, items in zip(batch.column("id").to_pylist(), batch.column("items"), strict=True):
-                items = items.as_py()
-                met = [x for x in map(postings.get, items) if x is not None]
-                if not met:
+            for own, items in zip(batch.column("id").to_pylist(), _sets(batch.column("items"), k), strict=True):
+                met = np.fromiter((number[x] for x in items if x in number), np.int64)
+                if not len(met):
                     out.append(0.0)
                     continue
-                common = np.bincount(np.concatenate(met), minlength=len(n_refs))
+                n = ends[met + 1] - ends[met]
+                at = np.repeat(ends[met] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(flat[at], minlength=len(n_refs))
                 if exclude_self and own in place:
                     common[place[own]] = 0
                 out.append(float((common / (len(items) + n_refs - common)).max()))
@@ -76,13 +87,24 @@ def max_jaccard(queries: DataFrame, references: DataFrame, query_key: str, refer
 
     def sets(df: DataFrame, key: str, items: Column | str) -> DataFrame:
         c = F.col(items) if isinstance(items, str) else items
-        return df.select(F.col(key).alias("id"), F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))).alias("items"))
+        return df.select(F.col(key).alias("id"), c.alias("items"))
+
+    return _best(sets(queries, query_key, query_items), sets(references, reference_key, reference_items), exclude_self, None)
+
+
+def max_kmer_jaccard(queries: DataFrame, references: DataFrame, query_key: str, reference_key: str, text: str = "text", k: int = CONFIG.k, exclude_self: bool = False) -> DataFrame:
+    """The same over the texts' distinct substrings of k code points, which tasks cut themselves, so texts and not sets are sent to them."""
+    slim = lambda df, key: df.select(F.col(key).alias("id"), F.col(text).alias("items"))
+    return _best(slim(queries, query_key), slim(references, reference_key), exclude_self, k)
+
 
-    q, r = sets(queries, query_key, query_items), sets(references, reference_key, reference_items).where(F.size("items") > 0)
-    blocks = max(1, math.ceil((r.agg(F.sum(F.size("items"))).first()[0] or 0) / POSTINGS))
+def _best(q: DataFrame, r: DataFrame, exclude_self: bool, k: int | None) -> DataFrame:
+    size = F.size("items") if k is None else F.length("items")
+    r = r.where(size > 0)
+    blocks = max(1, math.ceil((r.agg(F.sum(size)).first()[0] or 0) / POSTINGS))
     found = None
-    for k in range(blocks):
-        part = _best_in_block(q, r if blocks == 1 else r.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), exclude_self)
+    for i in range(blocks):
+        part = _best_in_block(q, r if blocks == 1 else r.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), exclude_self, k)
         found = part if found is None else found.unionAll(part)
     return found if blocks == 1 else found.groupBy("id").agg(F.max("max_sim").alias("max_sim"))
 
@@ -105,7 +127,7 @@ def _unit(x) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def _best(ids: np.ndarray, left: np.ndarray, refs: np.ndarray, right: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+def _closest(ids: np.ndarray, left: np.ndarray, refs: np.ndarray, right: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
     """The k best of unit rows `right`, ordered by ref, for each unit row of `left`."""
     sims = left @ right.T
     if exclude_self:
@@ -134,7 +156,7 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: boo
             for pdf in batches:
                 for at in range(0, len(pdf) if len(refs) else 0, 256):
                     some = pdf.iloc[at : at + 256]
-                    found = _best(some["id"].to_numpy(), _unit(some["embedding"]), refs, right, k, exclude_self)
+                    found = _closest(some["id"].to_numpy(), _unit(some["embedding"]), refs, right, k, exclude_self)
                     yield found.assign(rank=(found.groupby("id", sort=False).cumcount() + 1).astype("int32"))
 
         return q.mapInPandas(compare, f"id {kind}, ref {kind}, cosine double, rank int")
@@ -148,7 +170,7 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: boo
         left, right = both[both["asks"]], both[~both["asks"]].sort_values("id")
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "ref": [], "cosine": []})
-        return _best(left["id"].to_numpy(), _unit(left["embedding"]), right["id"].to_numpy(), _unit(right["embedding"]), k, exclude_self)
+        return _closest(left["id"].to_numpy(), _unit(left["embedding"]), right["id"].to_numpy(), _unit(right["embedding"]), k, exclude_self)
 
     met = asked.unionAll(given).groupBy("q", "r").applyInPandas(lambda both: meet(both), f"id {kind}, ref {kind}, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "ref")

@@ -111,7 +111,7 @@ def _(spark, d):
     "select doc_id as id, round(coalesce(s, 0), 6) as max_sim from documents left join b on doc_id = id",
 )
 def _(spark, d):
-    m = simjoin.max_jaccard(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", T.kmers("text", 5), T.kmers("text", 5))
+    m = simjoin.max_kmer_jaccard(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", k=5)
     return m.select("id", r6("max_sim").alias("max_sim"))
 
 
