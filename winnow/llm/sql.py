@@ -71,6 +71,64 @@ WARC = (
     f"select page_id, payload_bytes, {BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f"
 )
 
+#: crc32 by the reflected polynomial's table; crc(x) is for a list of byte numbers.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, j: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+CRC = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+BYTES = "[('0x' || substr({hex}, 2 * i + 1, 2))::bigint for i in range(0, length({hex}) // 2)]"
+
+RESAMPLING = (
+    f"with crc as (select {CRC_TABLE} as t), "
+    "texts as (select doc_id as id, true as own, text from documents union all select item_id, false, text from benchmark), "
+    f"w as (select id, own, regexp_extract_all(coalesce({LOWER}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts), "
+    "f as (select id, own, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as f from w), "
+    "d as (select f, hex(encode(f)) as h from (select distinct f from f)), "
+    f"b as (select f, {CRC.format(bytes=BYTES.format(hex='h'))} % 10000 as bucket from d, crc), "
+    "n as (select bucket, count(*) filter (where own)::bigint as s, count(*) filter (where not own)::bigint as t from f join b using (f) group by 1), "
+    "total as (select sum(s)::double as s, sum(t)::double as t from n), "
+    "g as (select bucket, floor(1000 * ln((n.t + 1)::double * (total.s + 10000) / ((n.s + 1)::double * (total.t + 10000))))::bigint as gain from n, total), "
+    "x as (select id as doc_id, count(*) as n_features, floor(sum(gain) / count(*)::double)::bigint as weight from f join b using (f) join g using (bucket) where own group by 1), "
+    "y as (select id as doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, ('0x' || substr(sha256('7:' || id::varchar), 1, 8))::bigint as h from w left join x on x.doc_id = w.id where own), "
+    "z as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from y), "
+    "r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from z where n_words >= 20) "
+    "select doc_id, n_features, weight, score, case when rank <= 25 * n // 100 then rank end as rank from z left join r using (doc_id)"
+)
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _merkle_levels(name: str, leaves: str) -> str:
+    """CTEs name_n: all nodes (g, level, pos, size, hash); name_s: with each node's siblings l, r and parent."""
+    up = f"select g, level + 1 as level, pos // 8 as pos, (any_value(size) + 7) // 8 as size, sha256(string_agg(hash, '' order by pos)) as hash from {name}_n where size > 1 group by g, level, pos // 8"
+    side = lambda sign: f"coalesce(string_agg(b.hash, '' order by b.pos) filter (where b.pos {sign} a.pos), '')"
+    return (
+        f"{name}_n as (select g, 0::bigint as level, pos, size, hash from {leaves} union all {up}), "
+        f"{name}_s as (select a.g, a.level, a.pos, {side('<')} as l, {side('>')} as r from {name}_n a join {name}_n b on a.g is not distinct from b.g and a.level = b.level and a.pos // 8 = b.pos // 8 where a.size > 1 group by 1, 2, 3)"
+    )
+
+
+MERKLE = (
+    f"with recursive crc as (select {CRC_TABLE} as t), "
+    f"d as (select documents.*, {CRC.format(bytes='[ascii(c) for c in string_split(doc_id::varchar, ' + chr(39) * 2 + ')]')} % 3 = 0 as hit from documents, crc), "
+    f"h as (select doc_id, lang, {_leaf('text')} as leaf, case when hit then {_leaf(LOWER)} else {_leaf('text')} end as later from d), "
+    "p as (select doc_id, lang as g, leaf as hash, later, row_number() over (partition by lang order by doc_id, leaf) - 1 as pos, count(*) over (partition by lang) as size from h), "
+    + _merkle_levels("a", "p")
+    + ", sub as (select g as lang, hash from a_n where size = 1), "
+    "q as (select 0 as g, lang, hash, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as size from sub), "
+    + _merkle_levels("b", "q")
+    + ", root as (select hash as root from b_n where size = 1), "
+    "f as (select doc_id, g, 0::bigint as level, pos, later as h, ''::varchar as proof from p union all select f.doc_id, f.g, f.level + 1, f.pos // 8, sha256(s.l || f.h || s.r), f.proof || s.l || s.r from f join a_s s on s.g is not distinct from f.g and s.level = f.level and s.pos = f.pos), "
+    "e as (select doc_id, g, h, proof from (select *, row_number() over (partition by doc_id order by level desc) as k from f) where k = 1), "
+    "t as (select e.doc_id, e.g, 0::bigint as level, q.pos, e.h, e.proof from e join q on q.lang is not distinct from e.g union all select t.doc_id, t.g, t.level + 1, t.pos // 8, sha256(s.l || t.h || s.r), t.proof || s.l || s.r from t join b_s s on s.level = t.level and s.pos = t.pos), "
+    "o as (select doc_id, h, proof from (select *, row_number() over (partition by doc_id order by level desc) as k from t) where k = 1) "
+    "select p.doc_id, p.hash as leaf, sub.hash as subroot, root, sha256(o.proof) as proof_sha256, o.h as folded_root, o.h = root as verified from p join sub on sub.lang is not distinct from p.g join o using (doc_id), root"
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fingerprints": FINGERPRINTS, "op6_near_dedup": NEAR_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP, "op9_warc": WARC}
+    return {"op3_fingerprints": FINGERPRINTS, "op6_near_dedup": NEAR_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP, "op9_warc": WARC, "op11_resampling": RESAMPLING, "op13_merkle": MERKLE}
