@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from winnow.llm.html_text import op12_html_text
 from winnow.llm.merkle import op13_merkle
 from winnow.llm.mixing import op5_mixing
 from winnow.llm.packing import op4_packing
@@ -22,7 +23,7 @@ from winnow.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_packing, op5_mixing, op6_near_dedup, op7_suffix_dedup, op8_pii, op9_warc, op10_quality, op11_resampling, op13_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_fingerprints, op4_packing, op5_mixing, op6_near_dedup, op7_suffix_dedup, op8_pii, op9_warc, op10_quality, op11_resampling, op12_html_text, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
