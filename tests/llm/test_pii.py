@@ -18,8 +18,9 @@ def chars(x: str, alphabet: str, kind: str) -> str:
     halves = [x[: len(x) // 2], x[len(x) // 2 :]]
     for i in range(1, pii.ROUNDS + 1):
         side = 0 if i % 2 else 1
-        h = hashlib.sha512(f"{KEY}|{kind}|{i}|{halves[1 - side]}".encode()).hexdigest()
-        moved = [alphabet[(alphabet.index(c) + int(h[4 * (j % 32) : 4 * (j % 32) + 4], 16)) % len(alphabet)] for j, c in enumerate(halves[side])]
+        d = hashlib.sha512(f"{KEY}|{kind}|{i}|{halves[1 - side]}".encode()).hexdigest()
+        h = d + "".join(hashlib.sha512(f"{KEY}|{kind}|{d}|{b}".encode()).hexdigest() for b in range(1, (len(halves[side]) - 1) // 32 + 1))
+        moved = [alphabet[(alphabet.index(c) + int(h[4 * j : 4 * j + 4], 16)) % len(alphabet)] for j, c in enumerate(halves[side])]
         halves[side] = "".join(moved)
     return "".join(halves)
 
@@ -160,3 +161,23 @@ def test_key_is_drawn_once_or_set(spark):
 @pytest.mark.parametrize("text", ["4944339490429605 12/27", "order 12 4944339490429605", "12 4944 3394 9042 9605 123"])
 def test_n_replaced_counts_what_changed(spark, text):
     assert spark.createDataFrame([(text,)], "text string").select(pii.pseudonymised("text", KEY).alias("x")).select(F.col("x.n")).first()[0] == 1
+
+
+@pytest.mark.parametrize("size", [40, 128, 129, 1000])
+def test_no_two_characters_of_long_values_share_a_shift(spark, size):
+    x = "".join(hashlib.sha256(f"{size}|{k}".encode()).hexdigest() for k in range(size // 64 + 1))[:size]
+    df = spark.createDataFrame([(f"key={x}",), (f"mail a{x}a@b.com" if size < 60 else None,)], "text string")
+    new = pii.with_pseudonyms(df, KEY).first().text[4:]
+    assert new == secret(x) and len(new) == size
+    first = [(int(b, 16) - int(a, 16)) % 16 for a, b in zip(x, new, strict=True)][: size // 2]
+    same = sum(a == b for a, b in zip(first, first[32:], strict=False))
+    assert same <= 0.3 * max(10, len(first) - 32)
+
+
+def test_names_that_differ_in_case_and_dates_with_the_year_first(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "on 2024/03/05 and 2024/13/05", 9, 8)], "doc_id long, Text string, N_Replaced int, N_CHARS long")
+    pii.with_pseudonyms(docs, KEY).write.parquet(f"{tmp_path}/a")
+    pii.pii_stage(spark, docs, "").write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    assert a.columns == ["doc_id", "Text", "N_CHARS", "n_replaced"] and b.columns == docs.columns
+    assert a.first().Text == f"on {date('2024/03/05', '%Y/%m/%d')} and 2024/13/05" and a.first().n_replaced == 1 and b.first().N_CHARS == 28

@@ -15,6 +15,7 @@ import corpus_pipeline
 from tests.llm.fixtures import SCHEMA, prose, words
 from tests.llm.test_operators import brute_components
 from winnow.llm import mixing, packing, pii, quality, setjoin, syncmers, tokens, toxicity
+from winnow.llm.common import saved
 from winnow.llm.queries import oracle_sql, queries
 
 
@@ -29,6 +30,7 @@ def odd_rows():
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, prose(3, 90)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -334,7 +336,7 @@ def test_pipeline_is_its_stages_and_the_plain_outcome(spark, tmp_path, tokenizer
 
 
 def test_no_rows_and_stages(spark, tmp_path):
-    for name, schema in (("documents", SCHEMA), ("pages", "page_id long, url string, html string"), ("labels", "doc_id long, quality int, toxic int")):
+    for name, schema in (("documents", SCHEMA), ("pages", "page_id long, url string, html string"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, f in queries().items():
         assert f(spark, str(tmp_path)).count() == 0, name
@@ -344,7 +346,7 @@ def test_no_rows_and_stages(spark, tmp_path):
 
 
 def test_sql_is_there_where_it_can_be():
-    assert set(oracle_sql()) == {"op3_fingerprints", "op6_near_dedup", "op7_suffix_dedup", "op9_warc"} and set(oracle_sql()) < set(queries())
+    assert set(oracle_sql()) == {"op3_fingerprints", "op6_near_dedup", "op7_suffix_dedup", "op9_warc", "op11_resampling", "op13_merkle"} and set(oracle_sql()) < set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -354,7 +356,7 @@ def test_same_rows_as_sql(spark, name, folder, tmp_path):
     pages = [(i, f"http://h/{i}", None if i == 3 else "<p>é</p>" * (i % 5)) for i in range(30)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
-    for t, at in (("documents", folder), ("pages", tmp_path)):
+    for t, at in (("documents", folder), ("pages", tmp_path), ("benchmark", folder)):
         con.execute(f"create view {t} as select * from read_parquet('{at}/{t}.parquet/*.parquet')")
     mine = queries()[name](spark, str(tmp_path) if name == "op9_warc" else folder)
     theirs = con.sql(oracle_sql()[name])
@@ -376,3 +378,22 @@ def test_nodes_of_too_many_shingles_meet_in_blocks(spark):
     finally:
         setjoin.LARGEST_CROWD = before
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 80)
+
+
+def test_blocks_stay_in_order_through_mixing_and_packing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 30 + i % 50), "big" if i % 3 else f"s{i % 5}") for i in range(600)], "doc_id long, text string, source string").repartition(6)
+    stream = mixing.assign
+    monkeypatch.setattr(mixing, "assign", lambda d, **o: stream(d, block_tokens=4000, **o))
+    expected = [(r.block, r.place, r.doc_id) for r in stream(docs, block_tokens=4000).orderBy("block", "place").collect()]
+    written = saved(mixing.mixing_stage(spark, docs, ""), "ordered")
+    again = written.select("_metadata.file_name", "_metadata.row_index", "doc_id").orderBy("file_name", "row_index")
+    assert [r.doc_id for r in again.collect()] == [i for _, _, i in expected] and expected[-1][0] > 5
+    at = defaultdict(list)
+    for k, (_, _, i) in enumerate(expected):
+        at[i].append(k)
+    read = packing.in_file_order(written).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("n"), "doc_id").orderBy("n").collect()
+    assert [r.doc_id for r in read] == [i for _, _, i in expected]
+    once = {i: k[0] for i, k in at.items() if len(k) == 1}
+    firsts = sorted((r.sequence_id, once[r.doc_id]) for r in packing.packing_stage(spark, written, "").where("offset = 0 and start = 0").collect() if r.doc_id in once)
+    assert len(firsts) > 10 and [k for _, k in firsts] == sorted(k for _, k in firsts)
+    assert packing.in_file_order(docs).columns == docs.columns

@@ -132,6 +132,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document at least once, small sources' up to twice, with the documents' own columns.
 
-    Nulls in any column, empty texts and repeated rows stay, each row as often as its source asks; no rows give no rows.
+    The rows come in the stream's order, by block and by place in it: each partition, and so each file that is written, has the
+    next stretch. Nulls in any column, empty texts and repeated rows stay, each row as often as its source asks; no rows give
+    no rows.
     """
-    return _streamed(docs)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
+    out, (_, block, place) = _streamed(docs)
+    return out.repartitionByRange(block, place).sortWithinPartitions(block, place).select(*[F.col(f"`{c}`") for c in docs.columns])

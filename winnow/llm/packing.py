@@ -14,10 +14,11 @@ from bisect import bisect_left, insort
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.common import as_bytes, saved, slices
+from winnow.llm.common import as_bytes, free_name, saved, slices
 from winnow.llm.tokens import END_ID, encoder_of, send_tokenizer
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
@@ -128,6 +129,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs as they were written: by file name, which Spark numbers by partition, and row. A scan deals large files out first.
+
+    Without files, or with columns that no longer show their files, docs as they are.
+    """
+    names = [free_name(docs, "file"), free_name(docs, "place")]
+    try:
+        placed = docs.withColumns({names[0]: F.col("_metadata.file_name"), names[1]: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs
+    return placed.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents, with their ids; nulls, empty texts and repeated rows as in pack()."""
-    return pack(docs)
+    """Pipeline stage: the pieces of all documents, with their ids; nulls, empty texts and repeated rows as in pack().
+
+    Documents are taken in the order in which the stage before wrote them, so windows follow it, by sequence_id, as far as a
+    document waits in an open window at most.
+    """
+    return pack(in_file_order(docs))

@@ -29,7 +29,7 @@ EMAIL = rf"(?<![A-Za-z0-9._%+-]){LOCAL}(?:[A-Za-z0-9-]++(?:\.(?![A-Za-z]{{2}})[A
 SECRET = r"(?<=(?:password|passwd|secret|token|key)[ \t]{0,3}[=:][ \t]{0,3}[\"']{0,1})[0-9A-Fa-f]{8,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
+DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
@@ -57,13 +57,15 @@ def _let(name: str, value: str, body: str) -> str:
 def chars_feistel(x: str, alphabet: str, kind: str, key: str) -> str:
     """The string x over the alphabet, permuted among the strings of its length; under two characters it stays.
 
-    Works in time in proportion to the length: characters are parted once a round, and the hash's digits come round again after 32.
+    Works in time in proportion to the length: characters are parted once a round. A hash has digits for 32 characters; each
+    further 32 have a hash of their own, keyed and made from the first one, so no two characters share a shift.
     """
     r = len(alphabet)
 
     def shifted(side: str, other: str) -> str:
-        one = f"substr('{alphabet}', cast(pmod(instr('{alphabet}', c) - 1 + cast(conv(substr(h, 4 * (j % 32) + 1, 4), 16, 10) as bigint), {r}) as int) + 1, 1)"
-        return _let("h", f"sha2(concat({_text(key + '|' + kind + '|')}, i, '|', {other}), 512)", f"array_join(transform(split({side}, ''), (c, j) -> {one}), '')")
+        one = f"substr('{alphabet}', cast(pmod(instr('{alphabet}', c) - 1 + cast(conv(substr(get(hs, cast(j div 32 as int)), 4 * (j % 32) + 1, 4), 16, 10) as bigint), {r}) as int) + 1, 1)"
+        blocks = f"transform(sequence(0, cast((length({side}) - 1) div 32 as int)), b -> if(b = 0, d, sha2(concat({_text(key + '|' + kind + '|')}, d, '|', b), 512)))"
+        return _let("d", f"sha2(concat({_text(key + '|' + kind + '|')}, i, '|', {other}), 512)", _let("hs", blocks, f"array_join(transform(split({side}, ''), (c, j) -> {one}), '')"))
 
     step = f"if(i % 2 = 1, named_struct('a', {shifted('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {shifted('s.b', 's.a')}))"
     walk = f"aggregate(sequence(1, {ROUNDS}), named_struct('a', left(x, cast(length(x) div 2 as int)), 'b', substr(x, cast(length(x) div 2 as int) + 1)), (s, i) -> {step}, s -> concat(s.a, s.b))"
@@ -149,6 +151,7 @@ def pseudonym(key: str) -> str:
     cases = [
         ("contains(m, '@')", _email(key)),
         ("m rlike '^[0-9]{4}-' and m rlike '^[0-9-]{10}$' and " + real("yyyy-MM-dd"), _date("yyyy-MM-dd", key)),
+        ("m rlike '^[0-9]{4}/../..$' and " + real("yyyy/MM/dd"), _date("yyyy/MM/dd", key)),
         ("m rlike '^../../....$' and " + real("dd/MM/yyyy"), _date("dd/MM/yyyy", key)),
         ("m rlike '^../../....$' and " + real("MM/dd/yyyy"), _date("MM/dd/yyyy", key)),
         ("m rlike '^..[.]..[.]....$' and " + real("dd.MM.yyyy"), _date("dd.MM.yyyy", key)),
@@ -221,14 +224,14 @@ def key_of(spark: SparkSession) -> str:
 
 
 def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
-    """docs with text replaced and n_replaced added (an input column of that name is replaced).
+    """docs with text replaced and n_replaced added (an input column of that name, in whatever case, is replaced).
 
     Works on whole texts of any length. A null or empty text stays as it is; values that aren't valid stay; every row is kept,
     repeated rows too, and so are all other columns, whatever their names. No rows: no rows.
     """
-    names, pii = [c for c in docs.columns if c != "n_replaced"], free_name(docs, "pii")
+    names, pii = [c for c in docs.columns if c.lower() != "n_replaced"], free_name(docs, "pii")
     done = docs.select(*[F.col(f"`{c}`") for c in names], pseudonymised("text", key).alias(pii))
-    return done.select(*[F.col(f"{pii}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(f"{pii}.n", F.lit(0)).alias("n_replaced"))
+    return done.select(*[F.col(f"{pii}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names], F.coalesce(f"{pii}.n", F.lit(0)).alias("n_replaced"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,4 +250,4 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pii = free_name(docs, "pii")
     done = docs.select(*[F.col(f"`{c}`") for c in docs.columns], pseudonymised("text", key_of(spark)).alias(pii))
     new = {"text": F.col(f"{pii}.text"), "n_chars": F.length(f"{pii}.text").cast("long")}
-    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*[new[c.lower()].alias(c) if c.lower() in new else F.col(f"`{c}`") for c in docs.columns])
