@@ -169,16 +169,6 @@ def test_metrics_of_one_class_and_missing_scores(spark):
     assert ci["s"].auroc_lo is None and ci["t"].auroc_lo is not None
 
 
-def test_resamples_are_n_of_n(spark, monkeypatch):
-    monkeypatch.setattr(bootstrap, "BLOCK", 4)  # so that an iteration's draws come in several rows
-    df = spark.createDataFrame([("s", "m", f"k{i:02d}" if s else str(i), i % 2, i / 10) for i in range(10) for s in (1,)], "split string, method string, id string, y int, score double")
-    got = {}
-    for r in bootstrap.resampled(df, 6).collect():
-        got.setdefault(r.iter, Counter())[r.id] += r.times
-    pick = lambda i, j: int(__import__("hashlib").md5(f"{i}|{j}".encode()).hexdigest()[:8], 16) % 10
-    assert got == {i: Counter(f"k{pick(i, j):02d}" for j in range(10)) for i in range(6)}
-
-
 def test_lower_bounds():
     assert certify.lower_bound(0, 10) == 0 and abs(certify.lower_bound(10, 10) - 0.001 ** (1 / 10)) < 1e-9
     n, k, a = 30, 21, 0.05

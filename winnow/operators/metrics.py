@@ -1,7 +1,7 @@
 """Ranking metrics over a long frame of scores (split, method, id, y, score), exact with ties.
 
-Everything is built on counts by distinct score. Running counts are taken in two steps, over coarse score bins and within a
-bin, so no window holds all scores of a method.
+Everything is built on counts by distinct score. Running counts over them come from ranges of scores, so no window holds all
+scores of a method.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.config import CONFIG
+from winnow.operators.prefix import joined, running
 
 KEYS = ["split", "method"]
-BINS = 1024
 
 
 def by_score(scores: DataFrame, keys: list[str] = KEYS, weight: Column | None = None) -> DataFrame:
@@ -22,16 +22,21 @@ def by_score(scores: DataFrame, keys: list[str] = KEYS, weight: Column | None =
     return ok.groupBy(*keys, "score").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("neg"))
 
 
-def curve(scores: DataFrame, keys: list[str] = KEYS, weight: Column | None = None) -> DataFrame:
-    """For each distinct score, taken as a threshold: tp, fp, and the totals n_pos, n_neg."""
-    h = by_score(scores, keys, weight).withColumn("bin", F.floor(F.col("score") * BINS))
-    bins = h.groupBy(*keys, "bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("bin"))
-    whole = Window.partitionBy(*keys)
-    bins = bins.select(*keys, "bin", (F.sum("bp").over(down) - F.col("bp")).alias("above_p"), (F.sum("bn").over(down) - F.col("bn")).alias("above_n"), F.sum("bp").over(whole).alias("n_pos"), F.sum("bn").over(whole).alias("n_neg"))
-    inside = Window.partitionBy(*keys, "bin").orderBy(F.desc("score"))
-    h = h.withColumn("tp", F.sum("pos").over(inside)).withColumn("fp", F.sum("neg").over(inside)).join(bins, [*keys, "bin"])
-    return h.select(*keys, "score", "pos", "neg", (F.col("tp") + F.col("above_p")).alias("tp"), (F.col("fp") + F.col("above_n")).alias("fp"), "n_pos", "n_neg")
+def curve(scores: DataFrame, keys: list[str] = KEYS, weight: Column | None = None, many_groups: bool = False) -> DataFrame:
+    """For each distinct score, taken as a threshold: tp, fp, and the totals n_pos, n_neg.
+
+    Running counts are over ranges of (keys, score), so equal scores are one row and any number of distinct ones, however close,
+    are spread over tasks. many_groups: where groups are many and alike, as the iterations of a bootstrap are, each group's
+    distinct scores are sorted by one task instead, which writes nothing. Groups and scores as in by_score().
+    """
+    h = by_score(scores, keys, weight)
+    if many_groups:
+        down, whole = Window.partitionBy(*keys).orderBy(F.desc("score")), Window.partitionBy(*keys)
+        sums = {f: F.sum(c).over(w) for f, c, w in (("tp", "pos", down), ("fp", "neg", down), ("n_pos", "pos", whole), ("n_neg", "neg", whole))}
+        return h.withColumns(sums).select(*keys, "score", "pos", "neg", *sums)
+    h = running(h, keys, [F.col("score").desc()], {"pos": "tp", "neg": "fp"})
+    totals = h.groupBy(*keys).agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"))
+    return joined(h, totals, keys).select(*keys, "score", "pos", "neg", "tp", "fp", "n_pos", "n_neg")
 
 
 def roc_points(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:

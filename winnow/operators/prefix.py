@@ -65,3 +65,12 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str
     for g, m in zip(group, mine, strict=True):
         on = on & F.col(f"`{g}`").eqNullSafe(F.col(m))
     return within.join(totals, on).select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_w{k}") + F.col(f"_b{k}")).alias(out) for k, out in enumerate(sums.values())])
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on columns that may be null, which then match; right's own copies of them go. They can come from one frame."""
+    right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_on_{c}`"))
+    return left.join(right, same).drop(*[f"_on_{c}" for c in on])

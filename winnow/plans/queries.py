@@ -401,14 +401,37 @@ def _(spark, d):
     return metrics.score_histogram(scores(spark, d))
 
 
-BOOT_SQL = SCORES_SQL + (
-    ", r as (select *, row_number() over (partition by split, method order by id) - 1 as row, count(*) over (partition by split, method) as n from scores), z as (select split, method, max(n) as n from r group by 1, 2), "
-    f"dr as (select split, method, n, iter, unnest(range(0, n)) as draw from (select split, method, n, unnest(range(0, {CONFIG.iterations})) as iter from z)), "
-    "x as (select split, method, iter, (('0x' || substr(md5(iter::varchar || '|' || draw::varchar), 1, 8))::bigint % n) as row, count(*) as times from dr group by 1, 2, 3, 4), "
-    "h as (select r.split, r.method, iter, score, sum(y * times) as pos, sum((1 - y) * times) as neg from r join x on r.split = x.split and r.method = x.method and r.row = x.row group by 1, 2, 3, 4), "
+# the smallest k whose binomial distribution function reaches u: nn draws of probability p
+QUANTILE_SQL = (
+    "list_reduce(list_transform(range(lo, hi + 1), lambda k: exp(lgamma(nn + 1) - lgamma(k + 1) - lgamma(nn - k + 1) + k * ln(p) + (nn - k) * ln(1 - p))), "
+    "lambda s, x: {'c': s.c + x, 'k': s.k + (s.c + x < u)::bigint}, {'c': 0.0::double, 'k': lo}).k"
+)
+
+
+def draws_sql(cells: str, keys: str, order: str) -> str:
+    """CTEs from cells (keys, n, ...) to drawn: cells with iter and times; each cell in turn gets a binomial part of the draws left."""
+    same = " and ".join(f"a.{k.strip()} is not distinct from b.{k.strip()}" for k in keys.split(","))
+    spread = "8 * sqrt(nn * p * (1 - p)) + 8"
+    return (
+        f", ce as (select *, row_number() over w - 1 as i, sum(n) over (partition by {keys} order by {order} rows between current row and unbounded following) as rest from {cells} window w as (partition by {keys} order by {order})), "
+        f"ch as (select distinct {keys}, -1::bigint as i, iter, 0::bigint as times, total as nleft from (select {keys}, sum(n)::bigint as total from {cells} group by {keys}), (select unnest(range(0, {CONFIG.iterations})) as iter) "
+        f"union all select {keys}, i, iter, times, nleft - times from (select {keys}, i, iter, nleft, case when n = rest then nleft else {QUANTILE_SQL} end as times from ("
+        f"select *, greatest(0, floor(nn * p - ({spread})))::bigint as lo, least(nn, ceil(nn * p + {spread}))::bigint as hi from ("
+        f"select {', '.join('a.' + k.strip() for k in keys.split(','))}, b.i, a.iter, a.nleft, a.nleft as nn, b.n, b.rest, b.n / b.rest::double as p, (('0x' || substr(md5(a.iter || '|' || b.i), 1, 8))::bigint + 0.5::double) / 4294967296::double as u from ch a join ce b on b.i = a.i + 1 and {same})))), "
+        f"drawn as (select b.*, a.iter, a.times from ch a join ce b on a.i = b.i and {same} where a.times > 0) "
+    )
+
+
+BOOT_SQL = SCORES_SQL.replace("with u as", "with recursive u as", 1) + ", cl as (select split, method, score, y, count(*) as n from scores group by 1, 2, 3, 4)" + draws_sql("cl", "split, method", "score, y") + (
+    ", h as (select split, method, iter, score, sum(y * times) as pos, sum((1 - y) * times) as neg from drawn group by 1, 2, 3, 4), "
     "c as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over a as p, sum(neg) over a as n from h window w as (partition by split, method, iter order by score desc), a as (partition by split, method, iter)), "
     "it as (select split, method, iter, sum(pos * (n - fp + neg / 2.0::double) / p / n) as auroc, sum(pos / p::double * tp / (tp + fp)) as auprc from c where p > 0 and n > 0 group by 1, 2, 3) "
 )
+PAIRED_SQL = SCORES_SQL.replace("with u as", "with recursive u as", 1) + ", pr as (select split, id, y, max(score) filter (method = 'sharp') as a, max(score) filter (method = 'plain') as b from scores group by 1, 2, 3), cl as (select split, y, a, b, count(*) as n from pr group by 1, 2, 3, 4)" + draws_sql("cl", "split", "y, a, b") + (
+    ", e as (select split, iter, y, times, unnest(['sharp', 'plain']) as method, unnest([a, b]) as score from drawn), h as (select split, method, iter, score, sum(y * times) as pos, sum((1 - y) * times) as neg from e group by 1, 2, 3, 4), "
+    "c as (select *, sum(neg) over (partition by split, method, iter order by score desc) as fp, sum(pos) over (partition by split, method, iter) as p, sum(neg) over (partition by split, method, iter) as n from h), "
+    "it as (select split, method, iter, sum(pos * (n - fp + neg / 2.0::double) / p / n) as auroc from c where p > 0 and n > 0 group by 1, 2, 3) "
+)
 
 # the point estimate: a group of one class has the fixed value 0
 POINT_SQL = (
@@ -429,7 +452,7 @@ def _(spark, d):
 
 @query(
     "paired_bootstrap",
-    BOOT_SQL + POINT_SQL + ", df as (select a.split, a.auroc - b.auroc as diff from pt a join pt b on a.split = b.split and a.method = 'sharp' and b.method = 'plain'), "
+    PAIRED_SQL + POINT_SQL + ", df as (select a.split, a.auroc - b.auroc as diff from pt a join pt b on a.split = b.split and a.method = 'sharp' and b.method = 'plain'), "
     "di as (select a.split, a.auroc - b.auroc as d from it a join it b on a.split = b.split and a.iter = b.iter and a.method = 'sharp' and b.method = 'plain') select df.split, round(max(diff), 6) as difference, round(coalesce(avg((d * sign(diff) <= 0)::int), 1), 6) as p_value from df left join di on df.split = di.split group by 1",
 )
 def _(spark, d):
@@ -453,12 +476,11 @@ def _(spark, d):
 
 @query(
     "detection_bin_ci",
-    SCORES_SQL + f", b as (select split, method, id, score, bin_lo, row_number() over (partition by split, method, bin_lo order by id) - 1 as row, count(*) over (partition by split, method, bin_lo) as n from (select *, {BIN_SQL} as bin_lo from (select *, (id % 100) / 99.0::double as s from scores where y = 1))), "
-    f"z as (select split, method, bin_lo, max(n) as n, unnest(range(0, {CONFIG.iterations})) as iter from b group by 1, 2, 3), dr as (select split, method, bin_lo, n, iter, unnest(range(0, n)) as draw from z), "
-    "x as (select split, method, bin_lo, iter, (('0x' || substr(md5(iter::varchar || '|' || draw::varchar), 1, 8))::bigint % n) as row from dr), "
-    "r as (select b.split, b.method, b.bin_lo, iter, avg((score >= 0.5)::int) as rate from b join x on b.split = x.split and b.method = x.method and b.bin_lo = x.bin_lo and b.row = x.row group by 1, 2, 3, 4), "
+    SCORES_SQL.replace("with u as", "with recursive u as", 1) + f", bs as (select *, {BIN_SQL} as bin_lo from (select *, (id % 100) / 99.0::double as s from scores where y = 1)), cl as (select split, method, bin_lo, score >= 0.5 as hit, count(*) as n from bs group by 1, 2, 3, 4)"
+    + draws_sql("cl", "split, method, bin_lo", "hit")
+    + ", r as (select split, method, bin_lo, iter, sum(hit::int * times) / sum(times)::double as rate from drawn group by 1, 2, 3, 4), "
     "e as (select split, method, bin_lo, quantile_cont(rate, 0.025) as lo, quantile_cont(rate, 0.975) as hi from r group by 1, 2, 3) "
-    "select b.split, b.method, b.bin_lo, round(avg((score >= 0.5)::int), 6) as detection_rate, count(*) as n_samples, round(min(lo), 6) as ci_lower, round(min(hi), 6) as ci_upper from b join e using (split, method, bin_lo) group by 1, 2, 3",
+    "select b.split, b.method, b.bin_lo, round(avg((score >= 0.5)::int), 6) as detection_rate, count(*) as n_samples, round(min(lo), 6) as ci_lower, round(min(hi), 6) as ci_upper from bs b join e using (split, method, bin_lo) group by 1, 2, 3",
 )
 def _(spark, d):
     sims = table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100 / 99.0).alias("similarity"))
