@@ -1,7 +1,7 @@
 """Similarity joins: set Jaccard by an inverted index, vectors by blocks.
 
-The best reference of each set is found with the references' inverted index, which every task holds a bounded block of: no
-pair is formed or shuffled. Where all pairs are the result, sets meet only where they share an element (an equi-join on it).
+The best reference of each set is found with the references' inverted index, which every task holds if it is within a bound; beyond it by
+prefix joins on the rarest items, in rounds of falling similarity. Where all pairs are the result, sets meet only where they share an element (an equi-join on it).
 Vectors are compared the same way: a reference side within a checked size is sent to all tasks; beyond it both sides are
 dealt into blocks of a bounded number of rows, each pair of blocks is one group with a NumPy product, and only its k best go on.
 """
@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.config import CONFIG
+from winnow.functions.text import kmers
+from winnow.operators.prefix import joined
+from winnow.session import saved
 
 
 def _postings(df: DataFrame, key: str, items: Column | str, prefix: str) -> tuple[DataFrame, DataFrame]:
@@ -32,8 +35,10 @@ def overlaps(left: DataFrame, right: DataFrame, where: Column | None = None) ->
     return met.select("a", "b", (F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))).alias("jaccard"))
 
 
-#: Postings and vector components that one task holds of the reference side, a few tens of MB each.
+#: Items of the reference side that one task holds, and components of vectors, a few tens of MB each.
 POSTINGS, COMPONENTS = 2_000_000, 8_000_000
+#: Similarities that more and more of the queries are asked for, the high ones first.
+ROUNDS = (0.9, 0.6, 0.3, 0.1)
 
 
 def _sets(column: pa.Array, k: int | None):
@@ -42,71 +47,139 @@ def _sets(column: pa.Array, k: int | None):
         yield set(x or ()) if k is None else {x[i : i + k] for i in range(len(x or "") - k + 1)}
 
 
-def _best_in_block(queries: DataFrame, references: DataFrame, exclude_self: bool, k: int | None) -> DataFrame:
-    """(id, max_sim) of queries (id, items) against references (id, items) of at most POSTINGS items, broadcast as an inverted index."""
-    index: dict[str, list[int]] = {}
-    sizes, ids = [], []
-    for row in references.toLocalIterator():  # a block's bounded items
-        (own,) = _sets(pa.array([row["items"]]), k)
-        for item in own:
-            index.setdefault(item, []).append(len(ids))
-        sizes.append(len(own))
-        ids.append(row["id"])
-    # the references of item i stand from ends[i] to ends[i + 1]
-    ends = np.cumsum([0, *map(len, index.values())])
-    flat = np.fromiter((x for v in index.values() for x in v), np.int32, int(ends[-1]))
-    sent = queries.sparkSession.sparkContext.broadcast(({x: i for i, x in enumerate(index)}, ends, flat, np.array(sizes, float), {x: i for i, x in enumerate(ids)}))
-
-    def run(batches):
-        number, ends, flat, n_refs, place = sent.value
-        for batch in batches:
-            out = []
-            for own, items in zip(batch.column("id").to_pylist(), _sets(batch.column("items"), k), strict=True):
-                met = np.fromiter((number[x] for x in items if x in number), np.int64)
-                if not len(met):
-                    out.append(0.0)
-                    continue
-                n = ends[met + 1] - ends[met]
-                at = np.repeat(ends[met] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                common = np.bincount(flat[at], minlength=len(n_refs))
-                if exclude_self and own in place:
-                    common[place[own]] = 0
-                out.append(float((common / (len(items) + n_refs - common)).max()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], names=["id", "max_sim"])
+class SetIndex:
+    """References whose best match is asked for; made once, asked as often as wanted, by streams too.
 
-    kind = queries.schema["id"].dataType.simpleString()
-    return queries.mapInArrow(run, f"id {kind}, max_sim double")
+    references (id, items): items is an array, or with k a text that stands for its substrings of k code points. Up to POSTINGS
+    items, which is counted, are sent to all tasks as an inverted index: no query is shuffled. More stay in tables, and
+    queries meet them by prefix joins; the driver holds nothing of either side. Both ways give the same.
+    """
 
+    def __init__(self, references: DataFrame, k: int | None = None):
+        self.k, self.spark = k, references.sparkSession
+        size = F.size("items") if k is None else F.length("items")
+        self.references = references.where(size > 0)
+        self.held = (self.references.agg(F.sum(size)).first()[0] or 0) <= POSTINGS
+        if self.held:
+            self._broadcast()
+        else:
+            self._tables()
+
+    def _broadcast(self) -> None:
+        index: dict[str, list[int]] = {}
+        sizes, ids = [], []
+        for row in self.references.toLocalIterator():  # within the counted bound
+            (own,) = _sets(pa.array([row["items"]]), self.k)
+            for item in own:
+                index.setdefault(item, []).append(len(ids))
+            sizes.append(len(own))
+            ids.append(row["id"])
+        # the references of item i stand from ends[i] to ends[i + 1]
+        ends = np.cumsum([0, *map(len, index.values())])
+        flat = np.fromiter((x for v in index.values() for x in v), np.int32, int(ends[-1]))
+        place: dict = {}
+        for i, x in enumerate(ids):
+            place.setdefault(x, []).append(i)
+        self.sent = self.spark.sparkContext.broadcast(({x: i for i, x in enumerate(index)}, ends, flat, np.array(sizes, float), place))
+
+    def _postings(self, df: DataFrame) -> DataFrame:
+        """(row, own, n, item) of (row, own, items), n the size of the whole set."""
+        items = F.array_distinct("items") if self.k is None else kmers("items", self.k)
+        return df.select("row", "own", items.alias("s")).select("row", "own", F.size("s").alias("n"), F.explode("s").alias("item"))
+
+    def _ordered(self, postings: DataFrame) -> DataFrame:
+        """(row, own, n, s): each set's items that a reference has, the rarest among references first."""
+        known = postings.join(self.counts, "item").groupBy("row", "own", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"))
+        return known.withColumn("s", F.transform("s", lambda x: x["item"]))
+
+    def _tables(self) -> None:
+        rows = saved(self.references.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("own"), "items"), "set-rows")
+        postings = saved(self._postings(rows), "set-postings")
+        self.counts = saved(postings.groupBy("item").agg(F.count("*").alias("df")), "set-items")
+        # equal sets are one, with the least and the greatest of their ids
+        sets = self._ordered(postings).groupBy(F.col("n").alias("rn"), F.col("s").alias("rs")).agg(F.min("own").alias("low"), F.max("own").alias("high"))
+        self.sets = saved(sets.withColumn("ref", F.monotonically_increasing_id()), "set-references")
+
+    def best(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
+        """(id, max_sim) for every row of queries (id, items); 0 where nothing is shared. exclude_self: not with references of its id."""
+        return self._best_held(queries, exclude_self) if self.held else self._best_joined(queries, exclude_self)
+
+    def _best_held(self, queries: DataFrame, exclude_self: bool) -> DataFrame:
+        sent, k = self.sent, self.k
+
+        def run(batches):
+            number, ends, flat, n_refs, place = sent.value
+            for batch in batches:
+                out = []
+                for own, items in zip(batch.column("id").to_pylist(), _sets(batch.column("items"), k), strict=True):
+                    met = np.fromiter((number[x] for x in items if x in number), np.int64)
+                    if not len(met):
+                        out.append(0.0)
+                        continue
+                    n = ends[met + 1] - ends[met]
+                    at = np.repeat(ends[met] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    common = np.bincount(flat[at], minlength=len(n_refs))
+                    if exclude_self and own in place:
+                        common[place[own]] = 0
+                    out.append(float((common / (len(items) + n_refs - common)).max()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], names=["id", "max_sim"])
+
+        kind = queries.schema["id"].dataType.simpleString()
+        return queries.select("id", "items").mapInArrow(run, f"id {kind}, max_sim double")
+
+    def _best_joined(self, queries: DataFrame, exclude_self: bool) -> DataFrame:
+        """By prefix joins in rounds of falling similarity t, with the best so far of each query.
+
+        Sets of n and m items with a similarity of t or more share ceil(t * max(n, m)) items, so one of the n - ceil(t * n) + 1
+        rarest of the one is among the m - ceil(t * m) + 1 rarest of the other. Pairs that meet there, are near enough in size
+        and have enough items left behind the meeting place are compared as whole sets. A query whose best is t or more
+        is done; one that has a best below asks for that much in the next rounds, and in the last one without for any shared item.
+        """
+        other = ~(F.col("low").eqNullSafe(F.col("own")) & F.col("high").eqNullSafe(F.col("own"))) if exclude_self else F.lit(True)
+        asked = saved(queries.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("own"), "items"), "set-queries")
+        rows = saved(self._ordered(self._postings(asked)), "set-asked")
+        # queries with equal sets ask once, and what equals a reference is done
+        by = ["n", "s", "own"] if exclude_self else ["n", "s"]
+        groups = saved(rows.groupBy(*by).agg(F.count("*").alias("copies")).withColumn("g", F.monotonically_increasing_id()), "set-groups")
+        equal = groups.join(self.sets, (F.col("n") == F.col("rn")) & (F.col("s") == F.col("rs"))).where(other).select("g", F.lit(1.0).alias("best"))
+        left = saved(groups.join(equal, "g", "left").withColumn("best", F.coalesce("best", F.lit(0.0))), "set-left")
+        done, left = left.where("best = 1").select("g", "best"), left.where("best < 1")
+        need = lambda n: F.greatest(F.lit(1), F.ceil(F.col("t") * F.col(n) - 1e-9))  # noqa: E731  what a pair must share at least
+        for t in (*ROUNDS, 0.0):
+            now = left.withColumn("t", F.greatest(F.lit(t), F.col("best")))
+            gone = F.col("n") - F.size("s")  # items that no reference has stand before all others
+            q = now.withColumn("prefix", F.greatest(F.lit(0), F.col("n") - need("n") + 1 - gone).cast("int"))
+            q = q.select("g", "n", "t", *(["own"] if exclude_self else []), F.size("s").alias("m"), F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("i", "item"))
+            r = self.sets.select("ref", "rn", "low", "high", F.posexplode("rs").alias("j", "item"))
+            near = (F.col("rn") >= F.col("t") * F.col("n") - 1e-9) & (F.col("t") * F.col("rn") <= F.col("n") + 1e-9) & (F.col("j") <= F.col("rn") - need("rn"))
+            enough = F.least(F.col("m") - F.col("i"), F.col("rn") - F.col("j")) >= F.ceil(F.col("t") / (1 + F.col("t")) * (F.col("n") + F.col("rn")) - 1e-9)
+            pairs = q.join(r, "item").where(near & enough & other).select("g", "ref").distinct()
+            whole = pairs.join(left.select("g", "n", "s"), "g").join(self.sets.select("ref", "rn", "rs"), "ref")
+            common = F.size(F.array_intersect("s", "rs"))
+            found = whole.select("g", (common / (F.col("n") + F.col("rn") - common)).alias("sim")).groupBy("g").agg(F.max("sim").alias("sim"))
+            after = left.join(found, "g", "left").withColumn("best", F.greatest("best", F.coalesce("sim", F.lit(0.0)))).drop("sim")
+            after = saved(after, "set-left")
+            done, left = done.unionAll(after.where(F.col("best") >= t).select("g", "best")), after.where(F.col("best") < t)
+            if left.isEmpty():
+                break
+        told = joined(rows.select("row", *by), groups.select("g", *by), by).join(done, "g").select("row", "best")
+        return asked.select("row", F.col("own").alias("id")).join(told, "row", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("max_sim"))
 
-def max_jaccard(queries: DataFrame, references: DataFrame, query_key: str, reference_key: str, query_items: Column | str, reference_items: Column | str, exclude_self: bool = False) -> DataFrame:
-    """(id, max_sim) for every query; 0 where nothing is shared (J2). A null or empty set shares nothing.
 
-    References are dealt into as many blocks as keep each within POSTINGS items; a query meets one block after another, so
-    the work grows with both sides but nothing of it is shuffled. Keys of the references are unique if exclude_self is set.
-    """
+def max_jaccard(queries: DataFrame, references: DataFrame, query_key: str, reference_key: str, query_items: Column | str, reference_items: Column | str, exclude_self: bool = False) -> DataFrame:
+    """(id, max_sim) for every query; 0 where nothing is shared (J2). A null or empty set shares nothing, nor does a null item."""
 
     def sets(df: DataFrame, key: str, items: Column | str) -> DataFrame:
         c = F.col(items) if isinstance(items, str) else items
-        return df.select(F.col(key).alias("id"), c.alias("items"))
+        return df.select(F.col(key).alias("id"), F.filter(c, lambda x: x.isNotNull()).alias("items"))
 
-    return _best(sets(queries, query_key, query_items), sets(references, reference_key, reference_items), exclude_self, None)
+    return SetIndex(sets(references, reference_key, reference_items)).best(sets(queries, query_key, query_items), exclude_self)
 
 
 def max_kmer_jaccard(queries: DataFrame, references: DataFrame, query_key: str, reference_key: str, text: str = "text", k: int = CONFIG.k, exclude_self: bool = False) -> DataFrame:
     """The same over the texts' distinct substrings of k code points, which tasks cut themselves, so texts and not sets are sent to them."""
     slim = lambda df, key: df.select(F.col(key).alias("id"), F.col(text).alias("items"))
-    return _best(slim(queries, query_key), slim(references, reference_key), exclude_self, k)
-
-
-def _best(q: DataFrame, r: DataFrame, exclude_self: bool, k: int | None) -> DataFrame:
-    size = F.size("items") if k is None else F.length("items")
-    r = r.where(size > 0)
-    blocks = max(1, math.ceil((r.agg(F.sum(size)).first()[0] or 0) / POSTINGS))
-    found = None
-    for i in range(blocks):
-        part = _best_in_block(q, r if blocks == 1 else r.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), exclude_self, k)
-        found = part if found is None else found.unionAll(part)
-    return found if blocks == 1 else found.groupBy("id").agg(F.max("max_sim").alias("max_sim"))
+    return SetIndex(slim(references, reference_key), k).best(slim(queries, query_key), exclude_self)
 
 
 def pairwise_jaccard(df: DataFrame, key: str, items: Column | str) -> DataFrame:
