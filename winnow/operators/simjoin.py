@@ -2,8 +2,8 @@
 
 The best reference of each set is found with the references' inverted index, which every task holds if it is within a bound; beyond it by
 prefix joins on the rarest items, in rounds of falling similarity. Where all pairs are the result, sets meet only where they share an element (an equi-join on it).
-Vectors are compared the same way: a reference side within a checked size is sent to all tasks; beyond it both sides are
-dealt into blocks of a bounded number of rows, each pair of blocks is one group with a NumPy product, and only its k best go on.
+Vectors: a reference side within a checked size is sent to all tasks; beyond it references are parted into lists around
+centres, and a query meets only the lists that the triangle inequality doesn't exclude, block by block.
 """
 
 from __future__ import annotations
@@ -194,60 +194,139 @@ def peer_max(df: DataFrame, key: str, items: Column | str) -> DataFrame:
     return max_jaccard(df, df, key, key, items, items, exclude_self=True)
 
 
+#: Lists that references are parted into at most, those that a query visits first, and what angles may be off by.
+LISTS, FIRST_LISTS, SLACK = 2048, 4, 1e-6
+
+
 def _unit(x) -> np.ndarray:
     m = np.array([*x], dtype=np.float64)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1, n)
 
 
-def _closest(ids: np.ndarray, left: np.ndarray, refs: np.ndarray, right: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The k best of unit rows `right`, ordered by ref, for each unit row of `left`."""
+def _closest(rows: np.ndarray, ids: np.ndarray, left: np.ndarray, refs: np.ndarray, right: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """(row, id, ref, cosine): the k best of unit rows `right`, ordered by ref, for each unit row of `left`."""
     sims = left @ right.T
     if exclude_self:
         sims[ids[:, None] == refs[None, :]] = -np.inf
     order = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
-    out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "ref": refs[order].ravel(), "cosine": np.take_along_axis(sims, order, 1).ravel()})
+    width = order.shape[1]
+    out = pd.DataFrame({"row": np.repeat(rows, width), "id": np.repeat(ids, width), "ref": refs[order].ravel(), "cosine": np.take_along_axis(sims, order, 1).ravel()})
     return out[np.isfinite(out["cosine"])]
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """(id, embedding) of the rows that can be compared."""
+    return df.where("id is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x))").select("id", "embedding")
+
+
 def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool = False, rows: int = CONFIG.block_rows) -> DataFrame:
     """(id, ref, cosine, rank): the k references (id, embedding) with the greatest cosine; ties by the smaller ref.
 
-    Zero vectors have cosine 0 with everything; rows without an embedding or id meet nothing. References of up to COMPONENTS
-    numbers, which is counted first, go to all tasks, and nothing is shuffled. More are dealt with the queries into blocks of
-    about `rows` rows, so a task holds two blocks whatever the size of either side.
+    Each row of the queries has ranks of its own, rows that repeat an id too; exclude_self leaves out references of its id. Zero
+    vectors have cosine 0 with everything; rows without an id, without an embedding or with a null or NaN in it meet nothing.
+    References of up to COMPONENTS numbers, which is counted first, go to all tasks, and nothing is shuffled. More are parted
+    into lists, of which a query visits only those that can hold one of its k best; see _by_lists(). Both ways give the same.
     """
-    q, r = (df.where("id is not null and embedding is not null").select("id", "embedding") for df in (queries, references))
-    numbers, n_refs = r.agg(F.sum(F.size("embedding")), F.count("*")).first()
+    q, r = _whole(queries), _whole(references)
+    numbers = r.agg(F.sum(F.size("embedding"))).first()[0] or 0
     kind = queries.schema["id"].dataType.simpleString()
-    if (numbers or 0) <= COMPONENTS:
-        held = r.orderBy("id").toPandas()  # within the checked size
-        sent = queries.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), _unit(held["embedding"]) if len(held) else None))
-
-        def compare(batches):
-            refs, right = sent.value
-            for pdf in batches:
-                for at in range(0, len(pdf) if len(refs) else 0, 256):
-                    some = pdf.iloc[at : at + 256]
-                    found = _closest(some["id"].to_numpy(), _unit(some["embedding"]), refs, right, k, exclude_self)
-                    yield found.assign(rank=(found.groupby("id", sort=False).cumcount() + 1).astype("int32"))
-
-        return q.mapInPandas(compare, f"id {kind}, ref {kind}, cosine double, rank int")
-    nq, nr = max(1, math.ceil(q.count() / rows)), max(1, math.ceil(n_refs / rows))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = q.select("id", "embedding", deal(nq).alias("q")).select("id", "embedding", F.lit(True).alias("asks"), "q", every(nr).alias("r"))
-    given = r.select("id", "embedding", deal(nr).alias("r")).select("id", "embedding", F.lit(False).alias("asks"), every(nq).alias("q"), "r")
-
-    def meet(both: pd.DataFrame) -> pd.DataFrame:
-        left, right = both[both["asks"]], both[~both["asks"]].sort_values("id")
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "ref": [], "cosine": []})
-        return _closest(left["id"].to_numpy(), _unit(left["embedding"]), right["id"].to_numpy(), _unit(right["embedding"]), k, exclude_self)
-
-    met = asked.unionAll(given).groupBy("q", "r").applyInPandas(lambda both: meet(both), f"id {kind}, ref {kind}, cosine double")
-    best = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "ref")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if numbers > COMPONENTS:
+        return _by_lists(q, r, k, exclude_self, rows)
+    held = r.orderBy("id").toPandas()  # within the checked size
+    sent = queries.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), _unit(held["embedding"]) if len(held) else None))
+
+    def compare(batches):
+        refs, right = sent.value
+        for pdf in batches:
+            for at in range(0, len(pdf) if len(refs) else 0, 256):
+                some = pdf.iloc[at : at + 256]
+                found = _closest(np.arange(len(some)), some["id"].to_numpy(), _unit(some["embedding"]), refs, right, k, exclude_self)
+                yield found.assign(rank=(found.groupby("row", sort=False).cumcount() + 1).astype("int32")).drop(columns="row")
+
+    return q.mapInPandas(compare, f"id {kind}, ref {kind}, cosine double, rank int")
+
+
+def _by_lists(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, rows: int) -> DataFrame:
+    """nearest() for references of any size, exactly, by lists around drawn references and the triangle inequality of angles.
+
+    Each reference is in the list of the centre at the least angle; a list knows its widest angle. A query at an angle a to a
+    centre has at least a minus that width to all of its list. It visits its nearest lists first, then, with its k-th best so
+    far, the lists that may still hold a better one. A list is compared in blocks of about `rows` references with `rows`
+    visitors, so no task holds more; centres and widths, bounded in number, are all that the driver sees.
+    """
+    spark, kind = q.sparkSession, q.schema["id"].dataType.simpleString()
+    refs = saved(r.withColumn("zero", ~F.exists("embedding", lambda x: x != 0)), "near-references")
+    asked = saved(q.select(F.monotonically_increasing_id().alias("row"), "id", "embedding", (~F.exists("embedding", lambda x: x != 0)).alias("zero")), "near-queries")
+    n_refs, width = refs.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    most = max(1, min(LISTS, math.isqrt(n_refs), COMPONENTS // width))
+    drawn = refs.where("not zero").orderBy(F.xxhash64("id", "embedding")).limit(most).select("embedding").collect()
+    centres = _unit([x.embedding for x in drawn]) if drawn else np.zeros((1, width))
+    held = spark.sparkContext.broadcast(centres)
+
+    def angles(x) -> np.ndarray:
+        return np.arccos(np.clip(_unit(x) @ held.value.T, -1, 1))
+
+    def part(batches):
+        for pdf in batches:
+            a = angles(pdf["embedding"])
+            yield pdf.assign(list=np.where(pdf["zero"], -1, a.argmin(1)).astype(np.int32), angle=np.where(pdf["zero"], 0.0, a.min(1)))
+
+    lists = saved(refs.mapInPandas(part, f"id {kind}, embedding {refs.schema['embedding'].dataType.simpleString()}, zero boolean, list int, angle double"), "near-lists")
+    about = {x.list: (x.wide, x.n) for x in lists.groupBy("list").agg(F.max("angle").alias("wide"), F.count("*").alias("n")).collect()}
+    place = np.array(sorted(x for x in about if x >= 0), int)
+    wide, size = (np.array([about[x][i] for x in place]) for i in (0, 1))
+
+    def visits(batches, later: bool):
+        """(row, id, embedding, list): the lists to visit first, or the others that the k-th best doesn't exclude."""
+        for pdf in batches:
+            a = angles(pdf["embedding"])[:, place] if len(place) else np.zeros((len(pdf), 0))
+            order = np.argsort(a, axis=1)
+            # as many lists as are sure to hold k references besides the query itself, and a few at least
+            enough = np.cumsum(size[order], axis=1) >= k + exclude_self if len(place) else np.zeros((len(pdf), 0), bool)
+            first = np.maximum(FIRST_LISTS, np.where(enough.any(1), enough.argmax(1) + 1, len(place))) if len(place) else np.zeros(len(pdf), int)
+            out = []
+            for i in range(len(pdf)):
+                near = order[i, : first[i]]
+                if later:
+                    far = order[i, first[i] :]
+                    near = far[a[i, far] - wide[far] <= pdf["bound"].iat[i] + SLACK]
+                out.append(place[near].tolist() + ([-1] if later and -1 in about and np.pi / 2 <= pdf["bound"].iat[i] + SLACK else []))
+            yield pdf[["row", "id", "embedding"]].assign(list=out).explode("list").dropna(subset="list").astype({"list": "int32"})
+
+    shape = f"row long, id {kind}, embedding {q.schema['embedding'].dataType.simpleString()}, list int"
+    chunks = F.create_map(*[x for c, (_, n) in about.items() for x in (F.lit(c), F.lit(max(1, -(-n // rows))))])
+
+    def compared(visiting: DataFrame) -> DataFrame:
+        visiting = saved(visiting, "near-visits")
+        counts = visiting.groupBy("list").agg(F.count("*").alias("n")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / rows)).cast("int"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = visiting.join(F.broadcast(counts.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("chunk", every(chunks[F.col("list")]))
+        right = lists.join(F.broadcast(counts.select("list", "parts")), "list").withColumn("chunk", F.pmod(F.xxhash64("id", "embedding"), chunks[F.col("list")]).cast("int")).withColumn("part", every(F.col("parts")))
+        names = ["list", "chunk", "part", "row", "id", "embedding"]
+        both = left.select(*names).unionByName(right.withColumn("row", F.lit(None).cast("long")).select(*names))
+
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            mine = pdf["row"].notna()
+            own, given = pdf[mine], pdf[~mine].sort_values("id", kind="stable")
+            if own.empty or given.empty:
+                return pd.DataFrame({"row": [], "id": [], "ref": [], "cosine": []})
+            return _closest(own["row"].to_numpy(np.int64), own["id"].to_numpy(), _unit(own["embedding"]), given["id"].to_numpy(), _unit(given["embedding"]), k, exclude_self)
+
+        return both.groupBy("list", "chunk", "part").applyInPandas(meet, f"row long, id {kind}, ref {kind}, cosine double")
+
+    best = Window.partitionBy("row").orderBy(F.desc(F.round("cosine", 12)), "ref")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    usual = asked.where("not zero")
+    early = saved(ranked(compared(usual.select("row", "id", "embedding").mapInPandas(lambda x: visits(x, False), shape))), "near-early")
+    bound = early.groupBy("row").agg(F.when(F.count("*") >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("cosine"))))).alias("bound"))
+    more = usual.join(bound, "row", "left").select("row", "id", "embedding", F.coalesce("bound", F.lit(10.0)).alias("bound"))
+    late = compared(more.mapInPandas(lambda x: visits(x, True), shape))
+    found = ranked(early.drop("rank").unionByName(late))
+    # a zero vector is as far from all: its k best are the first of all
+    some = refs.select(F.col("id").alias("ref")).orderBy("ref").limit(k + 1 if exclude_self else k)
+    zero = asked.where("zero").select("row", "id").join(F.broadcast(some), ~F.col("id").eqNullSafe(F.col("ref")) if exclude_self else F.lit(True)).withColumn("cosine", F.lit(0.0))
+    return found.unionByName(ranked(zero)).select("id", "ref", "cosine", "rank")
 
 
 def cosine_topk_mean(queries: DataFrame, positives: DataFrame, k: int = CONFIG.neighbours) -> DataFrame:
@@ -259,13 +338,15 @@ def cosine_topk_mean(queries: DataFrame, positives: DataFrame, k: int = CONFIG.n
 def knn_vote(queries: DataFrame, labelled: DataFrame, k: int = CONFIG.neighbours) -> DataFrame:
     """(id, score): share of positives among the k nearest, weighted by 1 / cosine distance (J6). labelled: (id, embedding, y).
 
-    Where a neighbour is at distance 0 only such neighbours vote, equally.
+    Where a neighbour is at distance 0 only such neighbours vote, equally. Ids are unique on both sides; a query without a vector,
+    or with a NaN in it, has no vote: its score is null.
     """
-    near = nearest(queries, labelled, k).join(labelled.select(F.col("id").alias("ref"), "y"), "ref")
+    near = nearest(queries.select("id", "embedding"), labelled, k).join(labelled.select(F.col("id").alias("ref"), "y"), "ref")
     near = near.withColumn("d", F.greatest(F.lit(0.0), F.round(1 - F.col("cosine"), 12)))
     exact = F.max((F.col("d") == 0).cast("int")).over(Window.partitionBy("id")) == 1
     vote = F.when(exact, (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
-    return near.withColumn("w", vote).groupBy("id").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("score"))
+    votes = near.withColumn("w", vote).groupBy("id").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("score"))
+    return queries.select("id").join(votes, "id", "left")
 
 
 def hard_negatives(positives: DataFrame, negatives: DataFrame, k: int = 3) -> DataFrame:
