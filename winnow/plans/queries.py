@@ -312,6 +312,29 @@ def _(spark, d):
     return sampling.leave_one_group_out(_labelled(spark, d), "doc_id", "toxic", "lang")
 
 
+@query("loso_rows")
+def _(spark, d):
+    """A model for each language of toxic documents left out, over vectors of the documents' n-grams."""
+    from winnow.operators.embedders import HashedNgrams, embedded
+    from winnow.operators.folds import leave_one_out_rows
+
+    docs = _labelled(spark, d).select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("y"), "lang")
+    r = leave_one_out_rows(embedded(docs, HashedNgrams(), most=None).select("id", "embedding", "y", "lang"), "lang")
+    return r.select("fold", "n_pos", "n_neg", *[r6(c).alias(c) for c in ("auroc", "auroc_lo", "auroc_hi", "detection_rate")])
+
+
+@query("evaluation_rows")
+def _(spark, d):
+    """All methods over all test splits, one metric row with bounds for each; texts by k-mers, vectors by their n-grams."""
+    from winnow.operators.bootstrap import metric_rows_with_intervals
+    from winnow.operators.scorers import evaluation_scores
+
+    docs = _labelled(spark, d).select("doc_id", F.col("doc_id").alias("id"), "text")
+    rows = _splits(spark, d).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"), "split").join(docs.drop("doc_id"), "id")
+    m = metric_rows_with_intervals(evaluation_scores(rows))
+    return m.select("split", "method", "n_samples", "n_pos", "n_neg", *[r6(c).alias(c) for c in m.columns if c not in ("split", "method", "n_samples", "n_pos", "n_neg")])
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------------
 
 CURVE_SQL = SCORES_SQL + ", h as (select split, method, score, sum(y) as pos, sum(1 - y) as neg from scores group by 1, 2, 3), c as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over a as p, sum(neg) over a as n from h window w as (partition by split, method order by score desc), a as (partition by split, method)) "
