@@ -52,6 +52,10 @@ def test_positives_are_appended_only_if_new(spark):
     assert Counter((r.id, r.y, r.more) for r in files.append_positives(train, extra).collect()) == Counter([(1, 0, None), (2, 1, None), (3, 1, "z")])
     with pytest.raises(ValueError, match="both tables"):
         files.append_positives(train, spark.createDataFrame([(2,)], "id long")).collect()
+    held = spark.createDataFrame([(3,), (None,)], "id long")
+    with pytest.raises(ValueError, match="held-out"):
+        files.append_positives(train, extra, held_out=held).collect()
+    assert files.append_positives(train, extra, held_out=held.where("id is null")).count() == 3
 
 
 def test_ingest(spark, tmp_path):

@@ -22,8 +22,11 @@ def entries_of(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, ENTRY).alias("e")).select("e.*")
 
 
-def parse_entries(raw: DataFrame, family_database: str = "Families", term_database: str = "Terms", term_property: str = "term") -> DataFrame:
-    """Flat rows with defaults (P1-P6): name falls back to id, organism to Unknown, length to the text's; last description wins."""
+def parse_entries(raw: DataFrame, family_database: str = "Families", term_database: str = "Terms", term_property: str = "term", keep: list[str] | None = None) -> DataFrame:
+    """Flat rows with defaults (P1-P6): name falls back to id, organism to Unknown, length to the text's; last description wins.
+
+    keep: columns beside the entry's own that stay.
+    """
     text = F.col("body.value")
     refs = F.coalesce("xrefs", F.array().cast("array<struct<database:string,id:string,props:array<struct<key:string,value:string>>>>"))
     of = lambda db: F.filter(refs, lambda x: x["database"] == db)
@@ -35,6 +38,7 @@ def parse_entries(raw: DataFrame, family_database: str = "Families", term_databa
     told = F.filter(F.coalesce("comments", F.array().cast("array<struct<type:string,texts:array<struct<value:string>>>>")), lambda c: (c["type"] == "FUNCTION") & (F.size(c["texts"]) > 0))
     good = raw.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()) if "_corrupt_record" in raw.columns else raw.where("id is not null")
     return good.where(F.length(text) >= 1).select(
+        *(keep or []),
         "id",
         F.coalesce("name", "id").alias("name"),
         text.alias("text"),
@@ -52,8 +56,13 @@ def within_length(df: DataFrame, least: int = 50, most: int = 2000) -> DataFrame
 
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key by order (W1). Filter before, so a rejected row isn't taken for seen."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    """The first row of each key by order (W1), nulls before others. Filter before, so a rejected row isn't taken for seen.
+
+    Rows of a key are combined before they are shuffled, so a key that most rows have is no more than one row of each task.
+    """
+    rest = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("_first"))
+    return first.select(key, "_first.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def capped(df: DataFrame, query: str, order: list[str], most: int) -> DataFrame:

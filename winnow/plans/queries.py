@@ -11,10 +11,13 @@ from winnow.config import CONFIG
 from winnow.functions import text as T
 from winnow.functions import vector as V
 from winnow.operators import bootstrap, metrics, sampling, simjoin
+from winnow.operators.curation import curate
 from winnow.operators.ingest import capped, entries_of, first_wins, parse_entries, running_totals, with_hard_flag, within_length
+from winnow.operators.prefix import numbered
 from winnow.plans.frames import SCORES_SQL, positives, raw_entries, scores, vector_parts, vectors
-from winnow.session import table
+from winnow.session import new_path, table
 from winnow.sources.files import append_positives, fasta_records, latex_rows
+from winnow.sources.paged import LandedPages, read_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -622,10 +625,42 @@ def _(spark, d):
     return capped(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"], 5)
 
 
-@query("appended_vectors", "select vec_id as id, case when label = 0 or vec_id % 5 = 0 then 1 else 0 end as y from embeddings")
+@query("appended_vectors", "select vec_id as id, case when label = 0 or vec_id % 5 = 1 then 1 else 0 end as y from embeddings where vec_id % 5 <> 0")
 def _(spark, d):
     train, test = vector_parts(spark, d)
-    return append_positives(train.select("id", "y"), test.select("id"))
+    return append_positives(train.where("id % 5 <> 1").select("id", "y"), train.where("id % 5 = 1").select("id"), held_out=test)
+
+
+@query(
+    "paged_entries",
+    "select source as query, ((rn - 1) // 40)::int as page, ((rn - 1) % 40)::int as place, 'e' || doc_id as id, true as complete from (select source, doc_id, row_number() over (partition by source order by doc_id) as rn from documents) where rn <= 100",
+)
+def _(spark, d):
+    """Entries landed as pages of forty for each source, read as a paged service would be, at most a hundred of a source."""
+    docs = numbered(table(spark, d, "documents").select("source", "doc_id", F.to_json(F.struct(F.concat(F.lit("e"), "doc_id").alias("id"), "lang", "text")).alias("entry")), ["source"], [F.col("doc_id").asc()])
+    pages = docs.groupBy(F.col("source").alias("query"), F.expr("cast(pos div 40 as int)").alias("page")).agg(F.sort_array(F.collect_list(F.struct("pos", "entry"))).alias("e"))
+    path = new_path(spark, "landed-pages")
+    pages.select("query", "page", F.transform("e", lambda x: x["entry"]).alias("entries")).repartitionByRange("query", "page").sortWithinPartitions("query", "page").write.parquet(path)
+    sources = [r[0] for r in table(spark, d, "documents").select("source").distinct().collect()]  # the questions that a service is asked
+    return read_pages(spark, sources, LandedPages(path), limit=100, wait=0, pace=0).select("query", "page", "place", F.get_json_object("entry", "$.id").alias("id"), "complete")
+
+
+CURATED_DOCS = (
+    "dd as (select 'e' || doc_id as doc_id, text, lang, source from documents where doc_id % 50 <> 7 and n_chars between 50 and 2000), "
+    "ll as (select 'e' || l.doc_id as doc_id, toxic, case when source in ('src1', 'src2', 'src3') then 0 else 1 end as quality from labels l join documents d on l.doc_id = d.doc_id), "
+)
+
+
+@query("curated_splits", SPLITS_SQL.replace("documents d", "dd d").replace("labels l", "ll l").replace("with p as", f"with {CURATED_DOCS} p as", 1).replace("case when kind = 'positive' then lang end as stratum", "null::varchar as stratum") + "select doc_id as id, o.split, o.toxic as y, dd.source as subcategory, dd.source in ('src1', 'src2', 'src3') as is_hard_negative from o join dd using (doc_id)")
+def _(spark, d):
+    """The whole curation: labelled entries, some of which come again from a later query, to splits that are read back."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    raw = raw_entries(spark, d).select(F.coalesce(F.get_json_object("value", "$.id"), F.lit("")).alias("id"), "value")
+    known = docs.join(table(spark, d, "labels"), "doc_id").select(F.concat(F.lit("e"), "doc_id").alias("id"), F.col("toxic").alias("y"), F.col("source").alias("subcategory"))
+    first = known.join(raw, "id").withColumns({"query_ord": F.lit(0), "row_ord": F.col("id")})
+    again = first.where("y = 1").withColumns({"query_ord": F.lit(1), "y": F.lit(0), "subcategory": F.lit("later")})
+    done = curate(first.unionByName(again), new_path(spark, "curation"), ["src1", "src2", "src3"], items=T.shingles("text", 3), strata=None, small="reuse")
+    return done.split_rows(spark).select("id", "split", "y", "subcategory", "is_hard_negative")
 
 
 @query(

@@ -21,19 +21,19 @@ def fasta_records(df: DataFrame, key: str, text: str, tags: list[str]) -> DataFr
     return df.select(F.concat(F.lit(">"), F.concat_ws("|", *parts), F.lit("\n"), F.coalesce(text, F.lit(""))).alias("record"))
 
 
-def write_fasta(df: DataFrame, path: str, key: str, text: str, tags: list[str]) -> None:
-    fasta_records(df, key, text, tags).write.text(path)
+def write_fasta(df: DataFrame, path: str, key: str, text: str, tags: list[str], mode: str = "errorifexists") -> None:
+    fasta_records(df, key, text, tags).write.mode(mode).text(path)
 
 
-def write_csv(df: DataFrame, path: str, drop: list[str] | None = None) -> None:
+def write_csv(df: DataFrame, path: str, drop: list[str] | None = None, mode: str = "errorifexists") -> None:
     """With a header, without the columns in drop."""
-    df.drop(*(drop or [])).write.option("header", True).csv(path)
+    df.drop(*(drop or [])).write.mode(mode).option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines; NaN becomes null."""
     clean = [F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    df.select(*clean).write.json(path)
+    df.select(*clean).write.mode(mode).json(path)
 
 
 def read_history(spark: SparkSession, path: str, series: list[str]) -> DataFrame:
@@ -69,9 +69,11 @@ def interval_text(lo: str, hi: str, known: str):
     return F.when(F.col(known) & F.col(lo).isNotNull() & F.col(hi).isNotNull(), F.format_string("[%.4f, %.4f]", lo, hi)).otherwise(F.lit("[N/A]"))
 
 
-def append_positives(train: DataFrame, extra: DataFrame, key: str = "id", label: str = "y") -> DataFrame:
-    """train and the extra rows, labelled positive (U2). An extra id that train or anything held out already has is an error."""
-    both = extra.join(train, key, "left_semi").limit(1).collect()
-    if both:
-        raise ValueError(f"{both[0][key]} is in both tables")
+def append_positives(train: DataFrame, extra: DataFrame, key: str = "id", label: str = "y", held_out: DataFrame | None = None) -> DataFrame:
+    """train and the extra rows, labelled positive (U2). An extra id that train already has, or held_out, the rows that anything is
+    measured on, is an error: it would be trained on and tested. Null ids meet nothing."""
+    for name, other in (("training", train), ("held-out", held_out)):
+        both = extra.join(other, key, "left_semi").limit(1).collect() if other is not None else []
+        if both:
+            raise ValueError(f"{both[0][key]} is in both tables, the extra and the {name} rows")
     return train.unionByName(extra.withColumn(label, F.lit(1).cast(train.schema[label].dataType)), allowMissingColumns=True)
