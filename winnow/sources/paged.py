@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from winnow.sources.folders import file_system
+
 SCHEMA = "query string, page int, place int, entry string, complete boolean, error string"
 
 
@@ -107,9 +109,8 @@ class LandedPages:
     def __call__(self, query: str, token: str | None) -> Page:
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
-        import pyarrow.fs as fs
 
-        files, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        files, path = file_system(self.path)
         page = int(token or 0)
         wanted = (pc.field("query") == query) & pc.field("page").isin([page, page + 1])
         # row groups of other queries are skipped by their statistics
