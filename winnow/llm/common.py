@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Python splits bytes without an argument at exactly \\x20 and \\x09-\\x0D, so bytes.split() gives these words.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given as its checkpoint folder.
-
-    A session on one machine without either gets a folder here; on a cluster that is an error, for executors would write to
-    disks of their own.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='winnow-')}")
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
+from winnow.session import free_name, new_path, saved, shared_dir  # noqa: F401  for the modules beside this one
+from winnow.sources.folders import arrow_uri, file_system  # noqa: F401
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str, **options) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again. partitionBy= as in Spark."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path, **options)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have: name with underscores before it."""
-    taken = {c.lower() for c in df.columns}
-    name = f"_{name}"
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+#: Python splits bytes without an argument at exactly \\x20 and \\x09-\\x0D, so bytes.split() gives these words.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

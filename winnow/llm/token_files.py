@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import as_bytes, new_path, saved, slices
+from winnow.llm.common import as_bytes, file_system, new_path, saved, slices
 from winnow.llm.tokens import END_ID, encoder_of, send_tokenizer
 
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -27,19 +27,13 @@ MANIFEST = "shard long, path string, n_docs long, n_ids long"
 INDEX = "doc_id long, shard long, path string, place long, start long, n_tokens long"
 
 
-def _open_fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class ShardWriter:
     """Gathers documents into frames of about frame_bytes; close() adds the index and the seek table and puts the file in its place."""
 
     def __init__(self, uri: str, frame_bytes: int, level: int):
         import zstandard
 
-        self.fs, self.path = _open_fs(uri)
+        self.fs, self.path = file_system(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.attempt{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
         self.out = self.fs.open_output_stream(self.part)
@@ -80,7 +74,7 @@ class ShardReader:
     """Reads a shard's tables, then only the frames that hold what is asked for, each held against its checksum."""
 
     def __init__(self, uri: str):
-        fs, path = _open_fs(uri)
+        fs, path = file_system(uri)
         self.file, self.uri = fs.open_input_file(path), uri
         end = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self.file.read_at(9, end - 9))

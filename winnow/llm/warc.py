@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.common import as_bytes, new_path, saved, slices
+from winnow.llm.common import as_bytes, file_system, new_path, saved, slices
 
 #: The header lines' fields by ARC version, as the format defines them.
 ARC_FIELDS = {
@@ -30,17 +30,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "file long, path string, records long"
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class _Out:
     """A file of gzip members, one for each record, put in its place when it is whole."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = _fs(uri)
+        self.fs, self.path = file_system(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.attempt{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
         self.out, self.at = self.fs.open_output_stream(self.part, compression=None), 0
@@ -58,7 +52,7 @@ class _Out:
 
 
 def _open(uri: str):
-    fs, path = _fs(uri)
+    fs, path = file_system(uri)
     return gzip.GzipFile(fileobj=fs.open_input_stream(path, compression=None), mode="rb")
 
 
