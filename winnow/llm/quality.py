@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm.common import as_bytes, held_out, mixed, slices
+from winnow.operators.folds import minimised
 
 GRAMS = (3, 4)
 BITS = 16
@@ -141,15 +142,17 @@ def frequencies(text: bytes, words: Words, known: dict[bytes, list[int]]) -> tup
     return columns.astype(np.int32), (n / len(found)).astype(np.float32)
 
 
-def _descend(margins, gradient, width: int, y: np.ndarray, weight: np.ndarray, decay: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
-    """Weighted L2 logistic regression by full-batch Adam; the last entry is the bias."""
-    w = np.zeros(width + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        e = weight * (1 / (1 + np.exp(-np.clip(margins(w[:-1]) + w[-1], -30, 30))) - y)
-        grad = np.append(gradient(e) + decay * w[:-1], e.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+def _descend(margins, gradient, width: int, y: np.ndarray, weight: np.ndarray, decay: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weighted L2 logistic regression by quasi-Newton steps, some tens of them; the last entry is the bias."""
+
+    def value_and_gradient(all_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (w,) = all_of
+        z = margins(w[:-1]) + w[-1]
+        loss = (weight * (np.logaddexp(0, z) - y * z)).sum() + decay / 2 * (w[:-1] ** 2).sum()
+        e = weight * (0.5 * (1 + np.tanh(z / 2)) - y)
+        return np.array([loss]), np.append(gradient(e) + decay * w[:-1], e.sum())[None]
+
+    (w,) = minimised(value_and_gradient, np.zeros((1, width + 1)), steps, 1e-4)
     return w[:-1], float(w[-1])
 
 
@@ -170,13 +173,13 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, calibrate:
     share = y[at].mean()
     weight = np.where(y[at] == 1, 0.5 / share, 0.5 / (1 - share)) / len(at)
     centre = mean / std
-    w, b = _descend(lambda w: train.margins(w) - centre @ w, lambda e: train.gradient(e, width) - centre * e.sum(), width, y[at], weight, 1e-3, 150, 0.01)
+    w, b = _descend(lambda w: train.margins(w) - centre @ w, lambda e: train.gradient(e, width) - centre * e.sum(), width, y[at], weight, 1e-3, 60)
     raw, b = w / std, b - float(centre @ w)
     on = np.flatnonzero(calibrate) if len(set(good[calibrate].tolist())) == 2 else at
     margins = Rows.of([texts[i] for i in on]).margins(raw) + b
     n1, n0 = y[on].sum(), (1 - y[on]).sum()
     smooth = np.where(y[on] == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # Platt's targets
-    slope, shift = _descend(lambda s: margins * s[0], lambda e: np.array([(margins * e).sum()]), 1, smooth, np.full(len(on), 1 / len(on)), 0.0, 800, 0.05)
+    slope, shift = _descend(lambda s: margins * s[0], lambda e: np.array([(margins * e).sum()]), 1, smooth, np.full(len(on), 1 / len(on)), 0.0, 200)
     return QualityModel(raw, b, max(0.0, float(slope[0])), shift)
 
 
