@@ -16,7 +16,7 @@ from winnow.operators.ingest import capped, entries_of, first_wins, parse_entrie
 from winnow.operators.prefix import numbered
 from winnow.plans.frames import SCORES_SQL, positives, raw_entries, scores, vector_parts, vectors
 from winnow.session import new_path, table
-from winnow.sources.files import append_positives, fasta_records, latex_rows
+from winnow.sources.files import append_positives, fasta_records, interval_text, latex_rows
 from winnow.sources.paged import LandedPages, read_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,6 +502,23 @@ def _(spark, d):
     return m.select("split", "method", "n_pos", "n_neg", *[r6(c).alias(c) for c in ("auroc", "auprc", "auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")])
 
 
+def _four(c: str) -> str:
+    return f"floor({c} * 10000 + 0.5) / 10000"
+
+
+@query(
+    "result_table",
+    f"with m as ({ORACLES['metric_rows_ci']}) select split || ' & ' || method || ' & ' || printf('%.4f', {_four('auroc')}) || ' & ' || case when auroc_lo is null then '[N/A]' else printf('[%.4f, %.4f]', {_four('auroc_lo')}, {_four('auroc_hi')}) end "
+    f"|| ' & ' || printf('%.4f', {_four('auprc')}) || ' & ' || case when auprc_lo is null then '[N/A]' else printf('[%.4f, %.4f]', {_four('auprc_lo')}, {_four('auprc_hi')}) end || ' ' || chr(92) || chr(92) as line from m",
+)
+def _(spark, d):
+    """Rows of the results' table with intervals as text; halves are rounded up before they are printed, as engines print halves differently."""
+    m = QUERIES["metric_rows_ci"](spark, d)
+    m = m.withColumn("known", (F.col("n_pos") > 0) & (F.col("n_neg") > 0)).withColumns({c: F.expr(_four(c)) for c in ("auroc", "auroc_lo", "auroc_hi", "auprc", "auprc_lo", "auprc_hi")})
+    m = m.withColumns({f"{c}_ci": interval_text(f"{c}_lo", f"{c}_hi", "known") for c in ("auroc", "auprc")})
+    return latex_rows(m, ["split", "method", "auroc", "auroc_ci", "auprc", "auprc_ci"])
+
+
 @query(
     "detection_bin_ci",
     SCORES_SQL.replace("with u as", "with recursive u as", 1) + f", bs as (select *, {BIN_SQL} as bin_lo from (select *, (id % 100) / 99.0::double as s from scores where y = 1)), cl as (select split, method, bin_lo, score >= 0.5 as hit, count(*) as n from bs group by 1, 2, 3, 4)"
