@@ -57,5 +57,6 @@ def test_same_rows_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_queries_without_sql_give_rows(spark, name):
-    df = QUERIES[name](spark, str(DATA))
+    # no language of the smallest tables has the three positives that a fold asks for
+    df = QUERIES[name](spark, str(DATA.with_name("sf0.01") if name == "loso_rows" else DATA))
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
