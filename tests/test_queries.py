@@ -12,7 +12,7 @@ from winnow.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 #: They train or draw, which SQL can't express: held to plain Python in test_learners.py and test_folds.py, to the shape of their rows here.
-WITHOUT_SQL = {"screen_metrics", "linear_scores", "contrastive_scores", "ablation_grid", "certification_grid", "pca_map", "train_auroc", "ngram_embeddings", "attention_positions", "loso_rows", "evaluation_rows"}
+WITHOUT_SQL = {"screen_metrics", "linear_scores", "contrastive_scores", "ablation_grid", "certification_grid", "pca_map", "neighbour_graph", "neighbour_map", "saved_embeddings", "train_auroc", "ngram_embeddings", "attention_positions", "loso_rows", "evaluation_rows"}
 
 
 @pytest.fixture(scope="module")

@@ -215,7 +215,7 @@ def _closest(rows: np.ndarray, ids: np.ndarray, left: np.ndarray, refs: np.ndarr
     return out[np.isfinite(out["cosine"])]
 
 
-def _whole(df: DataFrame) -> DataFrame:
+def whole(df: DataFrame) -> DataFrame:
     """(id, embedding) of the rows that can be compared."""
     return df.where("id is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x))").select("id", "embedding")
 
@@ -228,7 +228,7 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: boo
     References of up to COMPONENTS numbers, which is counted first, go to all tasks, and nothing is shuffled. More are parted
     into lists, of which a query visits only those that can hold one of its k best; see _by_lists(). Both ways give the same.
     """
-    q, r = _whole(queries), _whole(references)
+    q, r = whole(queries), whole(references)
     numbers = r.agg(F.sum(F.size("embedding"))).first()[0] or 0
     kind = queries.schema["id"].dataType.simpleString()
     if numbers > COMPONENTS:

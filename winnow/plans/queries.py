@@ -600,6 +600,20 @@ def _(spark, d):
     return pca_map(vectors(spark, d))
 
 
+@query("neighbour_graph")
+def _(spark, d):
+    from winnow.operators.neighbour_map import neighbour_graph
+
+    return neighbour_graph(vectors(spark, d))
+
+
+@query("neighbour_map")
+def _(spark, d):
+    from winnow.operators.neighbour_map import neighbour_map
+
+    return neighbour_map(vectors(spark, d))
+
+
 @query("train_auroc")
 def _(spark, d):
     from winnow.operators.scorers import NeighbourScreener, train_auroc
@@ -615,6 +629,14 @@ def _(spark, d):
     return embedded(table(spark, d, "documents").select("doc_id", "text"), HashedNgrams()).select("doc_id", "embedding")
 
 
+@query("saved_embeddings")
+def _(spark, d):
+    """Vectors of whole texts, written and read back."""
+    from winnow.operators.embedders import HashedNgrams, embed_and_save
+
+    return embed_and_save(table(spark, d, "documents"), HashedNgrams(), new_path(spark, "embeddings"), key="doc_id", most=None)
+
+
 @query("attention_positions")
 def _(spark, d):
     """Positions that attention pooling weighs most, over hidden states of the benchmark's texts."""
