@@ -164,7 +164,11 @@ def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _extended(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """(text_id, start, end, other): the words [start, end) of maximal matches of `least` words or more, for both texts."""
+    """(text_id, start, end, other): the words [start, end) of maximal matches of `least` words or more, for both texts.
+
+    The first text of a common passage is the `a` of many pairs. Pairs reach a task with b's text and sorted by a, whose text
+    is hashed once for all that follow each other; a hot a is split over tasks by AQE, as each of its pairs stands alone.
+    """
 
     def matches(u: np.ndarray, v: np.ndarray, at: np.ndarray):
         """Ranges of u and of v; at comes sorted by shift, then place."""
@@ -181,19 +185,21 @@ def _extended(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                 yield (s, e), (s + shift, e + shift)
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, last, u = WordHashes(), None, None
         for batch in slices(batches, 128):
             rows = []
             ends = batch.column("at").offsets.to_numpy()
             places = batch.column("at").values.to_numpy()
             for a, b, i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), ends, ends[1:], as_bytes(batch.column("ta")), as_bytes(batch.column("tb")), strict=False):
-                found = [*matches(hashes.of(x.split()), hashes.of(y.split()), places[i:j])]
+                if a != last:
+                    last, u = a, hashes.of(x.split())
+                found = [*matches(u, hashes.of(y.split()), places[i:j])]
                 rows += [(a, s, e, b) for s, e in _merged([f[0] for f in found])] + [(b, s, e, a) for s, e in _merged([f[1] for f in found])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["text_id", "start", "end", "other"])
 
     side = lambda c, t: texts.select(F.col("text_id").alias(c), F.col("text").alias(t))
-    return pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").mapInArrow(run, "text_id long, start long, end long, other long")
+    return pairs.join(side("b", "tb"), "b").join(side("a", "ta").hint("merge"), "a").select("a", "b", "at", "ta", "tb").mapInArrow(run, "text_id long, start long, end long, other long")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
