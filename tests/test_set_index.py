@@ -5,6 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from winnow.operators import simjoin
 
 
@@ -60,3 +62,38 @@ def test_substrings_of_texts(spark, monkeypatch, most):
     got = Counter((r.id, round(r.max_sim, 9)) for r in simjoin.max_kmer_jaccard(df.where("id % 2 = 0"), df, "id", "id", k=3, exclude_self=True).collect())
     every = [(i, of(t)) for i, t in texts]
     assert got == plain([x for x in every if x[0] % 2 == 0], every, True)
+
+
+@pytest.mark.parametrize("items", [8_000_000, 60])
+def test_blocks_hold_a_bounded_number_of_items(spark, monkeypatch, items):
+    """Beyond the bound no task is given more of the references than a block, and pairs are those of brute force, hot items or not."""
+    monkeypatch.setattr(simjoin, "POSTINGS", 10)
+    monkeypatch.setattr(simjoin, "BLOCK_ITEMS", items)
+    most, whole = spark.sparkContext.accumulator(0), simjoin._Block
+
+    def block(sizes, flat):
+        most.add(int(len(flat) > 4 * items))
+        return whole(sizes, flat)
+
+    monkeypatch.setattr(simjoin, "_Block", block)
+    rows = [r for r in sets(4, 90) if r[0] is not None]
+    df = spark.createDataFrame(rows, "id long, items array<string>")
+    got = Counter((r.id, round(r.max_sim, 9)) for r in simjoin.peer_max(df, "id", "items").collect())
+    assert got == plain(rows, rows, True) and most.value == 0
+    pairs = {(r.id_a, r.id_b): round(r.sim, 9) for r in simjoin.pairwise_jaccard(df, "id", "items").collect()}
+    assert pairs == {(i, j): round(jaccard(a, b), 9) for i, a in rows for j, b in rows if i < j and jaccard(a, b) > 0}
+
+
+def test_texts_that_joins_drop_are_not_cut_into_sets(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "POSTINGS", 10)
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        cut.add(1)
+        return text.split()
+
+    texts = spark.createDataFrame([(i, f"a b{i % 7} c{i % 3}") for i in range(400)], "id long, text string")
+    asked = texts.join(spark.createDataFrame([(i,) for i in range(10)], "id long").hint("merge"), "id")
+    assert simjoin.peer_max(asked, "id", words("text")).count() == 10
+    assert cut.value <= 40
