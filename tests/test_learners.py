@@ -153,3 +153,15 @@ def test_models_are_scored_together(spark, rows):
 def test_ablation_rows(spark, rows):
     got = neural.ablation(rows.where("id < 160"), rows.where("id >= 160"), {"negatives": [1, 3], "multi_scale": [True]}, epochs=3).collect()
     assert [(r.ablation_type, r.ablation_value) for r in got] == [("multi_scale", "True"), ("negatives", "1"), ("negatives", "3")] and all(r.n_samples == 80 for r in got)
+
+
+def test_supcon_loss_by_few_anchors_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist(), int(i % 3)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    monkeypatch.setattr(neural, "ANCHORS", 7)
+    got = neural.supcon_loss(df, rows=20).first()
+    z = np.array([r[1] for r in rows])
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    want, _ = neural.supcon(z, np.array([r[2] for r in rows]), 0.1)
+    assert got.n == 50 and abs(got.loss - want) < 1e-9

@@ -17,6 +17,9 @@ from winnow.operators import simjoin
 from winnow.operators.metrics import metric_rows
 from winnow.operators.sampling import numbered, subsample
 
+#: Anchors that a task compares with a block at a time.
+ANCHORS = 256
+
 
 def mixup(rows: DataFrame, weight: float, seed: int = CONFIG.seed) -> DataFrame:
     """(id, partner, mixed): each row with the next one of its label in hash order, interpolated (M11). weight belongs to the row.
@@ -48,11 +51,15 @@ def supcon_loss(batch: DataFrame, temperature: float = 0.1, rows: int = CONFIG.b
         u, v = both[both["asks"]], both[~both["asks"]]
         if u.empty or v.empty:
             return pd.DataFrame({"id": [], "e": [], "z": [], "same": []})
-        s = simjoin._unit(u["embedding"]) @ simjoin._unit(v["embedding"]).T / temperature
-        other = u["id"].to_numpy()[:, None] != v["id"].to_numpy()[None, :]
-        same = (u["label"].to_numpy()[:, None] == v["label"].to_numpy()[None, :]) & other
-        # cosines are at most 1, so no exponent is above 0
-        return pd.DataFrame({"id": u["id"].to_numpy(), "e": (np.exp(s - 1 / temperature) * other).sum(axis=1), "z": np.where(same, s, 0).sum(axis=1), "same": same.sum(axis=1)})
+        out, y, labels, ids = [], simjoin._unit(v["embedding"]), v["label"].to_numpy(), v["id"].to_numpy()
+        for at in range(0, len(u), ANCHORS):
+            some = u.iloc[at : at + ANCHORS]
+            s = simjoin._unit(some["embedding"]) @ y.T / temperature
+            other = some["id"].to_numpy()[:, None] != ids[None, :]
+            same = (some["label"].to_numpy()[:, None] == labels[None, :]) & other
+            # cosines are at most 1, so no exponent is above 0
+            out.append(pd.DataFrame({"id": some["id"].to_numpy(), "e": (np.exp(s - 1 / temperature) * other).sum(axis=1), "z": np.where(same, s, 0).sum(axis=1), "same": same.sum(axis=1)}))
+        return pd.concat(out, ignore_index=True)
 
     kind = batch.schema["id"].dataType.simpleString()
     sums = asked.unionAll(given).groupBy("a", "b").applyInPandas(lambda both: partial(both), f"id {kind}, e double, z double, same long")
