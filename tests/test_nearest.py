@@ -66,3 +66,22 @@ def test_lists_are_skipped(spark, monkeypatch):
     df = spark.createDataFrame(refs, SCHEMA)
     seen = simjoin.nearest(df, df, 3, exclude_self=True).collect()
     assert len(seen) == 1800 and met.value < 0.6 * 600 * 600
+
+
+def test_memory_does_not_grow_with_references():
+    """A few rows against many references, most of them equal to another: the k best as by a full sort, in pieces' memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    right = simjoin._unit(np.repeat(rng.normal(size=(10_000, 8)).round(1), 4, axis=0))
+    left = simjoin._unit(rng.normal(size=(600, 8)).round(1))
+    refs, ids = np.arange(len(right)), np.arange(600)
+    tracemalloc.start()
+    got = simjoin._closest(np.arange(600), ids, left, refs, right, 5, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6  # all at once: 600 x 40,000 numbers, 192 MB
+    for i in range(0, 600, 37):
+        sims = np.round(left[i] @ right.T, 12)
+        sims[i] = -np.inf
+        assert got["ref"][got["row"] == i].tolist() == np.argsort(-sims, kind="stable")[:5].tolist()

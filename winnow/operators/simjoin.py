@@ -350,8 +350,10 @@ def peer_max(df: DataFrame, key: str, items: Column | str) -> DataFrame:
     return index.best(index.rows.select(F.col("own").alias("id"), "items"), exclude_self=True)
 
 
-#: Lists that references are parted into at most, those that a query visits first, and what angles may be off by.
-LISTS, FIRST_LISTS, SLACK = 2048, 4, 1e-6
+#: Lists that references are parted into at most, those that a query visits first, what angles may be off by, and rows and references that a task compares at a time.
+LISTS, FIRST_LISTS, SLACK, PIECE, WIDE = 2048, 4, 1e-6, 512, 2048
+#: Numbers of vectors that a task gives out in one frame.
+GIVEN = 4_000_000
 
 
 def _unit(x) -> np.ndarray:
@@ -361,14 +363,36 @@ def _unit(x) -> np.ndarray:
 
 
 def _closest(rows: np.ndarray, ids: np.ndarray, left: np.ndarray, refs: np.ndarray, right: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """(row, id, ref, cosine): the k best of unit rows `right`, ordered by ref, for each unit row of `left`."""
-    sims = left @ right.T
-    if exclude_self:
-        sims[ids[:, None] == refs[None, :]] = -np.inf
-    order = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
-    width = order.shape[1]
-    out = pd.DataFrame({"row": np.repeat(rows, width), "id": np.repeat(ids, width), "ref": refs[order].ravel(), "cosine": np.take_along_axis(sims, order, 1).ravel()})
-    return out[np.isfinite(out["cosine"])]
+    """(row, id, ref, cosine): the k best of unit rows `right`, ordered by ref, for each unit row of `left`.
+
+    PIECE rows meet WIDE references at a time and keep their k best so far, so the memory depends on neither number.
+    """
+    out = []
+    for a in range(0, len(left), PIECE):
+        some, own = left[a : a + PIECE], ids[a : a + PIECE]
+        i, j, c, edge = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(some), -np.inf)
+        full = np.zeros(len(some), bool)
+        for b in range(0, len(right), WIDE):
+            sims = some @ right[b : b + WIDE].T
+            if exclude_self:
+                sims[own[:, None] == refs[None, b : b + WIDE]] = -np.inf
+            if sims.shape[1] > k and np.isneginf(edge).any():
+                edge = np.maximum(edge, np.partition(sims, -k, axis=1)[:, -k])
+            # all that may be among the k best, and some more within what rounding takes away
+            row, at = np.nonzero((sims >= edge[:, None] - 1e-11) & (sims > -np.inf))
+            # a later reference that ties with a k-th best is no better
+            more = ~full[row] | (np.round(sims[row, at], 12) > np.round(edge[row], 12))
+            row, at = row[more], at[more]
+            i, j, c = np.concatenate((i, row)), np.concatenate((j, at + b)), np.concatenate((c, sims[row, at]))
+            order = np.lexsort((j, -np.round(c, 12), i))
+            i, j, c = i[order], j[order], c[order]
+            starts = np.searchsorted(i, np.arange(len(some)))
+            kept = np.arange(len(i)) - starts[i] < k
+            i, j, c = i[kept], j[kept], c[kept]
+            full = np.bincount(i, minlength=len(some)) == k
+            edge[full] = c[np.cumsum(np.bincount(i, minlength=len(some)))[full] - 1]
+        out.append(pd.DataFrame({"row": rows[a : a + PIECE][i], "id": own[i], "ref": refs[j], "cosine": c}))
+    return pd.concat(out, ignore_index=True)
 
 
 def whole(df: DataFrame) -> DataFrame:
@@ -395,8 +419,8 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: boo
     def compare(batches):
         refs, right = sent.value
         for pdf in batches:
-            for at in range(0, len(pdf) if len(refs) else 0, 256):
-                some = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf) if len(refs) else 0, PIECE):
+                some = pdf.iloc[at : at + PIECE]
                 found = _closest(np.arange(len(some)), some["id"].to_numpy(), _unit(some["embedding"]), refs, right, k, exclude_self)
                 yield found.assign(rank=(found.groupby("row", sort=False).cumcount() + 1).astype("int32")).drop(columns="row")
 
@@ -408,14 +432,15 @@ def _by_lists(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, rows: int)
 
     Each reference is in the list of the centre at the least angle; a list knows its widest angle. A query at an angle a to a
     centre has at least a minus that width to all of its list. It visits its nearest lists first, then, with its k-th best so
-    far, the lists that may still hold a better one. A list is compared in blocks of about `rows` references with `rows`
-    visitors, so no task holds more; centres and widths, bounded in number, are all that the driver sees.
+    far, the lists that may still hold a better one. A list is compared in blocks of about 4 * `rows` references with as many
+    visitors, so no task holds more, and _closest() takes them piece by piece; centres and widths, bounded in number, are all that the driver sees.
     """
-    spark, kind = q.sparkSession, q.schema["id"].dataType.simpleString()
+    spark, kind, rows = q.sparkSession, q.schema["id"].dataType.simpleString(), 4 * rows
     refs = saved(r.withColumn("zero", ~F.exists("embedding", lambda x: x != 0)), "near-references")
     asked = saved(q.select(F.monotonically_increasing_id().alias("row"), "id", "embedding", (~F.exists("embedding", lambda x: x != 0)).alias("zero")), "near-queries")
     n_refs, width = refs.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    most = max(1, min(LISTS, math.isqrt(n_refs), COMPONENTS // width))
+    # a visit carries the query's vector, so there are no more lists than blocks, but for the 64 that any references have
+    most = max(1, min(LISTS, math.isqrt(n_refs), COMPONENTS // width, max(64, n_refs // rows)))
     drawn = refs.where("not zero").orderBy(F.xxhash64("id", "embedding")).limit(most).select("embedding").collect()
     centres = _unit([x.embedding for x in drawn]) if drawn else np.zeros((1, width))
     held = spark.sparkContext.broadcast(centres)
@@ -424,7 +449,7 @@ def _by_lists(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, rows: int)
         return np.arccos(np.clip(_unit(x) @ held.value.T, -1, 1))
 
     def part(batches):
-        for pdf in batches:
+        for pdf in (x.iloc[i : i + PIECE] for x in batches for i in range(0, len(x), PIECE)):
             a = angles(pdf["embedding"])
             yield pdf.assign(list=np.where(pdf["zero"], -1, a.argmin(1)).astype(np.int32), angle=np.where(pdf["zero"], 0.0, a.min(1)))
 
@@ -435,7 +460,7 @@ def _by_lists(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, rows: int)
 
     def visits(batches, later: bool):
         """(row, id, embedding, list): the lists to visit first, or the others that the k-th best doesn't exclude."""
-        for pdf in batches:
+        for pdf in (x.iloc[i : i + PIECE] for x in batches for i in range(0, len(x), PIECE)):
             a = angles(pdf["embedding"])[:, place] if len(place) else np.zeros((len(pdf), 0))
             order = np.argsort(a, axis=1)
             # as many lists as are sure to hold k references besides the query itself, and a few at least
@@ -448,7 +473,11 @@ def _by_lists(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, rows: int)
                     far = order[i, first[i] :]
                     near = far[a[i, far] - wide[far] <= pdf["bound"].iat[i] + SLACK]
                 out.append(place[near].tolist() + ([-1] if later and -1 in about and np.pi / 2 <= pdf["bound"].iat[i] + SLACK else []))
-            yield pdf[["row", "id", "embedding"]].assign(list=out).explode("list").dropna(subset="list").astype({"list": "int32"})
+            # a row for each visit carries the vector, so a few rows' visits are given out at a time
+            given = pdf[["row", "id", "embedding"]].assign(list=out)
+            few = max(1, GIVEN // max(1, max(map(len, out), default=1) * width))
+            for i in range(0, len(given), few):
+                yield given.iloc[i : i + few].explode("list").dropna(subset="list").astype({"list": "int32"})
 
     shape = f"row long, id {kind}, embedding {q.schema['embedding'].dataType.simpleString()}, list int"
     chunks = F.create_map(*[x for c, (_, n) in about.items() for x in (F.lit(c), F.lit(max(1, -(-n // rows))))])
