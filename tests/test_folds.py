@@ -82,3 +82,16 @@ def test_all_methods_over_all_splits(spark):
         assert abs(got["test_a", "knn"][i] - np.average(near % 2, weights=1 / (1 - sims[near]))) < 1e-4
         assert abs(got["test_a", "linear"][i] - 1 / (1 + np.exp(-(unit[i] @ w[:-1] + w[-1])))) < 2e-3
     assert all(got["test_b", m][i] == got["test_a", m][i] for m in ("kmer", "linear") for i in (30, 31))
+
+
+def test_vectors_are_made_once(spark):
+    made, rng = spark.sparkContext.accumulator(0), np.random.default_rng(2)
+
+    @F.udf("array<float>")
+    def vector(x):
+        made.add(1)
+        return [float(x), 1.0 - float(x)]
+
+    rows = spark.createDataFrame([(i, float(rng.random()), i % 2, "ab"[i % 4 // 2]) for i in range(60)], "id long, x double, y int, g string")
+    found = folds.leave_one_out_rows(rows.select("id", vector("x").alias("embedding"), "y", "g"), "g", iterations=3, negatives=5)
+    assert found.count() == 2 and made.value == 60

@@ -138,6 +138,8 @@ def leave_one_out_rows(rows: DataFrame, group: str, iterations: int = CONFIG.ite
     leave_one_group_out(), whose other options go through; a fold whose test or training rows have one class has no row. detection_rate is
     the share of held-out positives that score the threshold or more.
     """
+    # vectors that a model makes would be made again for each of the passes below
+    rows = saved(rows.select("id", "embedding", "y", group), "fold-vectors")
     folds = saved(leave_one_group_out(rows, "id", "y", group, **options), "folds")
     models = fit_folds(rows, folds.where(F.col("role").isin(*roles)))
     scored = saved(models.scores(rows, folds.where("role = 'test'")).select(F.col("fold").alias("split"), F.lit("linear").alias("method"), "id", "y", "score"), "fold-scores")
