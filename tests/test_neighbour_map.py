@@ -107,6 +107,14 @@ def test_neighbours_are_near_on_the_map(spark):
     assert np.isfinite(y).all() and (label[np.argsort(far, axis=1)[:, :10]] == label[:, None]).mean() > 0.9
 
 
+def test_a_map_moves_few_bytes_for_each_row(spark):
+    x = np.random.default_rng(6).normal(size=(2000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    before = written(spark)
+    assert neighbour_map(df, steps=2).count() == len(x)
+    assert (written(spark) - before) / len(x) < 40_000
+
+
 @pytest.mark.parametrize("rows", [[], clusters(1), clusters(2), [(i, 0, [1.0, 2.0]) for i in range(7)] + [(7, 0, [0.0, 0.0]), (8, 0, None), (None, 0, [1.0, 1.0]), (9, 0, [float("nan"), 1.0])]])
 def test_few_equal_and_broken_vectors(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)

@@ -1,4 +1,4 @@
-"""The graph of nearest neighbours by descent, for vectors too many to compare all, and a map in two dimensions laid out from it.
+"""The graph of nearest neighbours by blocks and descent, for vectors too many to compare all, and a map in two dimensions laid out from it.
 
 Both are tables throughout: the graph's rows are (id, ref, cosine), the map's (id, x, y). A step joins them and is written
 before the next one; the driver sees counts and a bounded number of vectors as centres.
@@ -260,7 +260,7 @@ def neighbour_map(rows: DataFrame, k: int = 15, steps: int = 16, seed: int = CON
     for step in range(steps):
         size = 1 - step / steps
         other = places.select(F.col("id").alias("ref"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        drawn = edges.join(places.select(*names), "id").join(other, "ref")
+        drawn = edges.join(other, "ref").join(places.select(*names), "id")  # in this order the sums need no shuffle of their own
         drawn = drawn.groupBy("id").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * bounded(pull * dx)).alias("px"), F.sum(F.col("weight") * bounded(pull * dy)).alias("py"))
         shifts = F.array(*[F.lit(int(s)) for s in rng.integers(1, n, NEGATIVES)])
         asked = places.select(*names, F.explode(F.transform(shifts, lambda s: F.pmod(F.col("place") + s, F.lit(n)))).alias("place"))
