@@ -1,5 +1,6 @@
 """The best reference of each set, held by tasks and by prefix joins, against brute force: hot items, copies, equal ids, nulls."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -97,3 +98,23 @@ def test_texts_that_joins_drop_are_not_cut_into_sets(spark, monkeypatch):
     asked = texts.join(spark.createDataFrame([(i,) for i in range(10)], "id long").hint("merge"), "id")
     assert simjoin.peer_max(asked, "id", words("text")).count() == 10
     assert cut.value <= 40
+
+
+@pytest.mark.parametrize("most", [1_000_000, 700])
+def test_places_that_sets_are_met_at_are_counted_piece_by_piece(monkeypatch, most):
+    """Sets that share nearly all of their items, which aren't columns of the matrix, meet in far more places than there are pairs of sets."""
+    monkeypatch.setattr(simjoin, "HOT_ITEMS", 5)
+    monkeypatch.setattr(simjoin, "MET_PAIRS", most)
+    rng = np.random.default_rng(7)
+    n, width = (120, 1000) if most > 1000 else (40, 60)
+    has = rng.random((n, width)) < 0.9
+    sizes, flat = has.sum(1).astype(np.int32), np.nonzero(has)[1]
+    block = simjoin._Block(sizes, flat)
+    turns = [*block.turns(sizes)]
+    assert [a for a, _ in turns] == [0, *(b for _, b in turns[:-1])] and turns[-1][1] == n
+    assert all(b - a <= block.at_once and (b - a == 1 or sizes[a:b].sum() <= most) for a, b in turns)
+    tracemalloc.start()
+    got = block.common(sizes, flat)  # all at once: 11.6 million places of 120 x 120 pairs
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == has.astype(int) @ has.T.astype(int)).all() and peak < 60e6
