@@ -165,3 +165,41 @@ def test_supcon_loss_by_few_anchors_at_a_time(spark, monkeypatch):
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     want, _ = neural.supcon(z, np.array([r[2] for r in rows]), 0.1)
     assert got.n == 50 and abs(got.loss - want) < 1e-9
+
+
+@pytest.mark.parametrize("most", [20_000, 50])
+def test_screeners_are_fitted_on_all_rows(spark, rows, monkeypatch, most):
+    """Beyond a shard too, where before the first rows by hash were fitted on alone; shards' models are averaged after each epoch."""
+    seen, whole = spark.sparkContext.accumulator(0), neural._by_shard
+    largest = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for shard, x, y in whole(batches):
+            seen.add(len(x))
+            largest.add(int(len(x) > 2 * most))
+            yield shard, x, y
+
+    monkeypatch.setattr(neural, "SHARD", most)
+    monkeypatch.setattr(neural, "_by_shard", counted)
+    train, test = rows.where("id < 160"), rows.where("id >= 160")
+    got = {r.ablation_value: r for r in neural.ablation(train, test, {"negatives": [1, 3]}, epochs=8).collect()}
+    assert seen.value == (40 * 2 + 40 * 4) * (1 if most > 160 else 8) and largest.value == 0
+    assert all(r.n_samples == 80 and r.auroc > 0.8 for r in got.values())
+
+
+def test_shards_are_averaged_by_their_rows(spark, rows, monkeypatch):
+    """One epoch over four shards is the mean of what each shard makes of the first model."""
+    monkeypatch.setattr(neural, "SHARD", 40)
+    all_rows = rows.select(F.col("id").alias("anchor"), F.lit(0).alias("slot"), "embedding", "y")
+    how = neural.Fitting(projection_dim=4, epochs=1)
+    (model,) = neural.fitted(all_rows, {"": how})[""]
+    dealt, count = neural._dealt(all_rows, ["anchor", "slot"], "again")
+    parts, weights = [], []
+    for shard, pdf in dealt.toPandas().groupby("shard"):
+        x, y = np.array([*pdf["embedding"]], float), pdf["y"].to_numpy(float)
+        moving = neural._Moving(how, 8)
+        list(moving.epochs(x, y, range(1), np.random.default_rng([how.seed, shard, 0])))
+        parts.append(np.concatenate([a.ravel() for a in moving.model.arrays().values()]))
+        weights.append(len(x))
+    assert count == 6 == len(parts) and sum(weights) == 240
+    assert np.allclose(np.concatenate([a.ravel() for a in model.arrays().values()]), np.average(parts, axis=0, weights=weights))

@@ -1,24 +1,30 @@
 """A small contrastive screener in NumPy: projection head with batch statistics and dropout, classifier head, supervised
-contrastive and logistic loss, validation after each epoch. Fitting runs on the driver over a bounded sample, whose hard
-negatives Spark finds; scoring is a pandas UDF with broadcast weights."""
+contrastive and logistic loss, validation after each epoch. Spark finds hard negatives and deals all rows into shards; tasks fit
+models to their shards and Spark averages these after each epoch. Scoring is a pandas UDF with broadcast weights."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.config import CONFIG
 from winnow.functions import vector as V
 from winnow.operators import simjoin
-from winnow.operators.metrics import metric_rows
-from winnow.operators.sampling import numbered, subsample
+from winnow.operators.metrics import curve, metric_rows, ranking
+from winnow.operators.sampling import hash_rank, numbered, subsample
+from winnow.session import saved
 
-#: Anchors that a task compares with a block at a time.
-ANCHORS = 256
+#: Anchors that a task compares with a block at a time, and rows that it scores by several models at a time.
+ANCHORS, SCORED = 256, 1000
+#: Rows that a task fits a model to, and numbers of their vectors at most; more rows are more tasks.
+SHARD, NUMBERS = 20_000, 8_000_000
 
 
 def mixup(rows: DataFrame, weight: float, seed: int = CONFIG.seed) -> DataFrame:
@@ -272,67 +278,188 @@ def _mixed_up(x: np.ndarray, y: np.ndarray, rng, alpha: float = 0.2, share: floa
     return x
 
 
-def _drawn(rows: DataFrame, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    pdf = subsample(rows.where("embedding is not null and y is not null").select("id", "embedding", "y"), "id", most, seed).toPandas()
-    return np.array([*pdf["embedding"]], dtype=float), pdf["y"].to_numpy(float)
+@dataclass(frozen=True)
+class Fitting:
+    """How a screener is fitted (M12): AdamW, cosine schedule by epoch, gradients clipped to length 1, incomplete batches dropped."""
+
+    projection_dim: int = 256
+    temperature: float = 0.07
+    epochs: int = 50
+    batch: int = 64
+    rate: float = 1e-3
+    decay: float = 1e-4
+    use_mixup: bool = False
+    multi_scale: bool = False
+    negatives: int = 3
+    seed: int = CONFIG.seed
 
 
-def _mined(train: DataFrame, negatives: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each positive followed by its closest negatives (J7, J8); at most `most` rows in all."""
+class _Moving:
+    """A model and its optimiser's moments, as one flat vector too."""
+
+    def __init__(self, how: Fitting, width: int, flat: np.ndarray | None = None):
+        self.how, self.model = how, ScreenerModel(width, how.projection_dim, how.multi_scale, seed=how.seed)
+        self.layers = [layer for layer in self.model.projection + self.model.head if layer.own]
+        self.moments = [{k: (np.zeros_like(p), np.zeros_like(p)) for k, p in layer.own.items()} for layer in self.layers]
+        at = 0
+        for x in self._all() if flat is not None else ():
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+    def _all(self) -> list[np.ndarray]:
+        return [*self.model.arrays().values(), *(x for held in self.moments for two in held.values() for x in two)]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self._all()])
+
+    def epochs(self, x: np.ndarray, y: np.ndarray, some: range, rng):
+        """Goes over the rows once for each of some epochs; gives the mean losses of each."""
+        how, model = self.how, self.model
+        batch = min(how.batch, len(x))
+        for epoch in some:
+            lr, losses, step = how.rate * 0.5 * (1 + np.cos(np.pi * epoch / how.epochs)), [], epoch * (len(x) // batch)
+            order = rng.permutation(len(x))
+            for at in range(0, len(x) - batch + 1, batch):
+                of = order[at : at + batch]
+                by = y[of]
+                bx = _mixed_up(x[of], by, rng) if how.use_mixup else x[of]
+                z, logit = model.forward(bx, True, rng)
+                con, bce, gz, gl = _loss(z, logit, by, how.temperature)
+                losses.append((0.5 * (con + bce), con, bce))
+                model.backward(gz, gl)
+                length = np.sqrt(sum((g**2).sum() for layer in self.layers for g in layer.grads.values()))
+                step += 1
+                for layer, held in zip(self.layers, self.moments, strict=True):
+                    for k, p in layer.own.items():
+                        g, (m, v) = layer.grads[k] / max(1.0, length), held[k]
+                        m += 0.1 * (g - m)
+                        v += 0.001 * (g**2 - v)
+                        p -= lr * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + how.decay * p)
+            yield np.mean(losses, axis=0)
+
+
+def _mined_rows(train: DataFrame, negatives: int, positives: DataFrame | None = None) -> DataFrame:
+    """(anchor, slot, embedding, y): each positive, or each of some, at slot 0 and its closest negatives at 1 and on."""
     ok = train.where("embedding is not null").select("id", "embedding", "y")
-    pos = subsample(ok.where("y = 1"), "id", max(1, most // (1 + negatives)), seed)
+    pos = ok.where("y = 1") if positives is None else positives
     rows = simjoin.expanded(pos, simjoin.hard_negatives(pos, ok.where("y = 0"), negatives), negatives)
-    pdf = rows.join(ok.select("id", "embedding"), "id").orderBy("anchor", "slot").toPandas()
+    return rows.join(ok.select("id", "embedding"), "id").select("anchor", "slot", "embedding", "y")
+
+
+def _mined(train: DataFrame, negatives: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` of the mined rows, those of the first positives by hash, for a look at them; screeners are fitted on all."""
+    pos = subsample(train.where("embedding is not null and y = 1").select("id", "embedding", "y"), "id", max(1, most // (1 + negatives)), seed)
+    pdf = _mined_rows(train, negatives, pos).orderBy("anchor", "slot").toPandas()
     return np.array([*pdf["embedding"]], dtype=float), pdf["y"].to_numpy(float)
 
 
-def train_screener(train: DataFrame, validation: DataFrame | None = None, projection_dim: int = 256, temperature: float = 0.07, epochs: int = 50, batch: int = 64, rate: float = 1e-3, decay: float = 1e-4, use_mixup: bool = False, multi_scale: bool = False, negatives: int = 3, hard_negatives: bool = True, most: int = 20_000, seed: int = CONFIG.seed, drawn: tuple[np.ndarray, np.ndarray] | None = None) -> ScreenerModel:
-    """AdamW, cosine schedule by epoch, gradients clipped to length 1, incomplete batches dropped (M12). Tables: (id, embedding, y).
+def _dealt(rows: DataFrame, order: list, label: str) -> tuple[DataFrame, int]:
+    """(shard, slot, embedding, y) of all rows (anchor, slot, embedding, y), and how many shards there are, of about SHARD rows or NUMBERS numbers each.
 
-    At most `most` rows are fitted on, the first by hash: positives each with its hard negatives, or all rows. With a
-    validation table (at most `most` rows of it) the model of the epoch with the greatest AUROC is kept, else the last.
-    drawn: vectors and labels to fit on, where they are at hand.
+    Rows are dealt by a hash of anchor and slot. A shard is one file, in order, and smaller than a row group, so a task reads it whole.
+    """
+    rows = saved(rows.select("anchor", "slot", "embedding", F.col("y").cast("int").alias("y")), f"{label}-rows")
+    n, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    shards = max(1, -(-n // max(1, min(SHARD, NUMBERS // max(1, width or 1)))))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("anchor", "slot"), F.lit(shards)).cast("int"))
+    return saved(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", *order).select("shard", "slot", "embedding", "y"), label), shards
+
+
+def _by_shard(batches):
+    """(shard, vectors, labels) of rows that come shard by shard."""
+    of, held = None, []
+    whole = lambda: (of, np.array([v for pdf in held for v in pdf["embedding"]], dtype=float), np.concatenate([pdf["y"] for pdf in held]).astype(float))
+    for pdf in batches:
+        for shard, part in pdf.groupby("shard", sort=False):
+            if held and shard != of:
+                yield whole()
+                held = []
+            of, held = shard, [*held, part]
+    if held:
+        yield whole()
+
+
+def fitted(rows: DataFrame, hows: dict[str, Fitting], every: bool = False) -> dict[str, list[ScreenerModel]]:
+    """For each way the model fitted on all rows (anchor, slot, embedding, y) whose slot is up to its `negatives`; with every, the model after each epoch.
+
+    Up to SHARD rows are one shard, which a task for each way takes through all epochs. More are dealt into shards: in each epoch every
+    shard moves the same model by steps of its own, and Spark averages the models and their moments by the shards' rows. Neither
+    driver nor a task holds more than a shard and a model for each way, whatever the number of rows. All ways have the same number of epochs.
     """
-    x, y = drawn or (_mined(train, negatives, most, seed) if hard_negatives else _drawn(train, most, seed))
-    if len(set(y.tolist())) < 2:
+    shards, count = _dealt(rows, ["anchor", "slot"], "fit")
+    labels, width = shards.agg(F.count_distinct("y"), F.max(F.size("embedding"))).first()
+    if labels < 2:
         raise ValueError("both classes are needed to train on")
-    vx, vy = _drawn(validation, most, seed) if validation is not None else (None, None)
-    model, rng = ScreenerModel(x.shape[1], projection_dim, multi_scale, seed=seed), np.random.default_rng(seed)
-    layers = [layer for layer in model.projection + model.head if layer.own]
-    moments = [{k: (np.zeros_like(p), np.zeros_like(p)) for k, p in layer.own.items()} for layer in layers]
-    batch, step, best = min(batch, len(x)), 0, (-1.0, None)
-    for epoch in range(epochs):
-        lr, losses = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs)), []
-        order = rng.permutation(len(x))
-        for at in range(0, len(x) - batch + 1, batch):
-            some = order[at : at + batch]
-            by = y[some]
-            bx = _mixed_up(x[some], by, rng) if use_mixup else x[some]
-            z, logit = model.forward(bx, True, rng)
-            con, bce, gz, gl = _loss(z, logit, by, temperature)
-            losses.append((0.5 * (con + bce), con, bce))
-            model.backward(gz, gl)
-            length = np.sqrt(sum((g**2).sum() for layer in layers for g in layer.grads.values()))
-            step += 1
-            for layer, held in zip(layers, moments, strict=True):
-                for k, p in layer.own.items():
-                    g, (m, v) = layer.grads[k] / max(1.0, length), held[k]
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g**2 - v)
-                    p -= lr * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + decay * p)
-        told = dict(zip(("train_loss", "train_con", "train_bce"), np.mean(losses, axis=0).tolist(), strict=True))
-        model.history.append({"epoch": epoch, **told, "val_loss": None, "val_auroc": None})
-        if vx is not None and len(vx):
-            parts = [slice(i, i + batch) for i in range(0, len(vx), batch)]
-            seen = [model.forward(vx[p]) for p in parts]
-            found = [_loss(z, logit, vy[p], temperature)[:2] for (z, logit), p in zip(seen, parts, strict=True)]
-            area = auroc(vy, np.concatenate([logit for _, logit in seen]))
-            model.history[-1] |= {"val_loss": float(np.mean([0.5 * (c + b) for c, b in found])), "val_auroc": area}
-            if area > best[0]:
-                best = (area, {k: p.copy() for k, p in model.arrays().items()})
-    if best[1]:
-        model.load_arrays(best[1])
-    return model
+    (epochs,) = {how.epochs for how in hows.values()}
+    states, found, history = {name: _Moving(how, width).flat() for name, how in hows.items()}, {name: [] for name in hows}, {name: [] for name in hows}
+    for some in [range(epochs)] if count == 1 else [range(e, e + 1) for e in range(epochs)]:
+        sent = shards.sparkSession.sparkContext.broadcast(states)
+
+        def moved(name: str, how: Fitting, some=some, sent=sent) -> DataFrame:
+            def run(batches):
+                for shard, x, y in _by_shard(batches):
+                    moving = _Moving(how, width, sent.value[name])
+                    rng = np.random.default_rng(how.seed if count == 1 else [how.seed, shard, some[0]])
+                    for epoch, losses in zip(some, moving.epochs(x, y, some, rng), strict=True):
+                        told = np.concatenate((losses, moving.flat())) if every or epoch == some[-1] else losses
+                        yield pd.DataFrame({"method": [name], "epoch": [epoch], "n": [float(len(x))], "told": [told]})
+
+            return shards.where(F.col("slot") <= how.negatives).mapInPandas(run, "method string, epoch int, n double, told array<double>")
+
+        parts = [moved(name, how) for name, how in hows.items()]
+        mean = Summarizer.mean(array_to_vector("told"), F.col("n")).alias("told")
+        means = reduce(DataFrame.unionAll, parts).groupBy("method", "epoch").agg(mean).collect()  # a model for each way
+        for r in sorted(means, key=lambda r: r.epoch):
+            losses, flat = r.told.toArray()[:3].tolist(), r.told.toArray()[3:]
+            history[r.method].append({"epoch": r.epoch, **dict(zip(("train_loss", "train_con", "train_bce"), losses, strict=True)), "val_loss": None, "val_auroc": None})
+            if len(flat):
+                states[r.method] = flat
+                if every or r.epoch == epochs - 1:
+                    model = _Moving(hows[r.method], width, flat).model
+                    model.history = list(history[r.method])
+                    found[r.method].append(model)
+        sent.destroy()
+    return found
+
+
+def train_screener(train: DataFrame, validation: DataFrame | None = None, projection_dim: int = 256, temperature: float = 0.07, epochs: int = 50, batch: int = 64, rate: float = 1e-3, decay: float = 1e-4, use_mixup: bool = False, multi_scale: bool = False, negatives: int = 3, hard_negatives: bool = True, seed: int = CONFIG.seed) -> ScreenerModel:
+    """A screener fitted on all positives of (id, embedding, y), each with its hard negatives, or on all rows; see fitted().
+
+    With a validation table the model of the epoch with the greatest AUROC over all of it is kept, else the last.
+    """
+    how = Fitting(projection_dim, temperature, epochs, batch, rate, decay, use_mixup, multi_scale, negatives, seed)
+    known = train.where("embedding is not null and y is not null")
+    rows = _mined_rows(known, negatives) if hard_negatives else known.select(F.col("id").alias("anchor"), F.lit(0).alias("slot"), "embedding", "y")
+    models = fitted(rows, {"": how}, validation is not None)[""]
+    if validation is None:
+        return models[-1]
+    told = _validated(models, validation, how)
+    ok = [e for e, x in told.items() if x["val_auroc"] == x["val_auroc"]]
+    out = models[max(ok, key=lambda e: (round(told[e]["val_auroc"], 12), -e)) if ok else -1]  # the first on ties, whatever the order of sums
+    out.history = [h | told.get(h["epoch"], {}) for h in models[-1].history]
+    return out
+
+
+def _validated(models: list[ScreenerModel], validation: DataFrame, how: Fitting) -> dict[int, dict]:
+    """val_loss, by batches in hash order, and val_auroc, NaN where a class is missing, of the model after each epoch over all rows; {} without rows."""
+    known = validation.where("embedding is not null and y is not null")
+    shards, _ = _dealt(known.select(F.col("id").alias("anchor"), F.lit(0).alias("slot"), "embedding", "y"), [hash_rank(how.seed, "anchor"), "anchor"], "validation")
+    sent = validation.sparkSession.sparkContext.broadcast([replace_history(m) for m in models])
+
+    def run(batches):
+        for _, x, y in _by_shard(batches):
+            for epoch, model in enumerate(sent.value):
+                total, n = 0.0, 0
+                for at in range(0, len(x), how.batch):
+                    of = slice(at, at + how.batch)
+                    con, bce, *_ = _loss(*model.forward(x[of]), y[of], how.temperature)
+                    total, n = total + 0.5 * (con + bce), n + 1
+                yield pd.DataFrame({"epoch": [epoch], "total": [total], "n": [n]})
+
+    losses = {r.epoch: r.loss for r in shards.mapInPandas(run, "epoch int, total double, n long").groupBy("epoch").agg((F.sum("total") / F.sum("n")).alias("loss")).collect()}
+    scored = scored_by({str(e): m for e, m in enumerate(models)}, known).withColumn("split", F.lit("validation"))
+    areas = {int(r.method): r.auroc for r in ranking(curve(scored)).where("n_pos > 0 and n_neg > 0").collect()}  # one row for each epoch
+    return {e: {"val_loss": x, "val_auroc": areas.get(e, float("nan"))} for e, x in losses.items()}
 
 
 @dataclass(frozen=True)
@@ -391,7 +518,8 @@ def scored_by(models: dict[str, ScreenerModel], rows: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast({n: replace_history(m) for n, m in models.items()})
 
     def run(batches):
-        for pdf in batches:
+        # layers keep what they last saw, so a few rows go through all models at a time
+        for pdf in (x.iloc[i : i + SCORED] for x in batches for i in range(0, len(x), SCORED)):
             pdf = pdf[pdf["embedding"].notna()]
             x = np.array([*pdf["embedding"]], dtype=float)
             for name, model in sent.value.items() if len(pdf) else ():
@@ -402,14 +530,14 @@ def scored_by(models: dict[str, ScreenerModel], rows: DataFrame) -> DataFrame:
 
 
 def ablation(train: DataFrame, test: DataFrame, grid: dict[str, list], epochs: int = 50) -> DataFrame:
-    """Metric rows with one factor changed at a time (M19): ablation_type, ablation_value and the metrics on test."""
-    models, mined = {}, {}
-    for kind, values in grid.items():
-        for value in values:
-            n = value if kind == "negatives" else 3
-            if n not in mined:
-                mined[n] = _mined(train, n, 20_000, CONFIG.seed)
-            models[f"{kind}={value}"] = train_screener(train, epochs=epochs, drawn=mined[n], **{kind: value})
+    """Metric rows with one factor changed at a time (M19): ablation_type, ablation_value and the metrics on test.
+
+    Models are fitted together, each on all positives with their hard negatives, which are mined once.
+    """
+    hows = {f"{kind}={value}": Fitting(**{"epochs": epochs, kind: value}) for kind, values in grid.items() for value in values}
+    # the closest negatives of fewer are the first of those of more
+    rows = _mined_rows(train.where("y is not null"), max(how.negatives for how in hows.values()))
+    models = {name: found[-1] for name, found in fitted(rows, hows).items()}
     rows = metric_rows(scored_by(models, test).withColumn("split", F.lit("test")))
     part = lambda k: F.element_at(F.split("method", "=", 2), k)
     return rows.withColumn("ablation_type", part(1)).withColumn("ablation_value", part(2)).drop("method").orderBy("ablation_type", "ablation_value")
